@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions.readings import text_reading, title_reading
-from linkloom.session import lookup_join, scratch_path
+from linkloom.session import lookup_join, materialize, scratch_path
 
 #: Size to which files are filled.
 TARGET_BYTES = 128 << 20
@@ -83,7 +83,9 @@ def consolidated(df: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """A file table read from its files after these were consolidated in the shared folder."""
     spark = df.sparkSession
     target = scratch_path(spark, "consolidated")
-    consolidate(spark, df.inputFiles(), target, target_bytes)
+    done = consolidate(spark, df.inputFiles(), target, target_bytes)
+    if (done.agg(F.sum("rows")).first()[0] or 0) != df.count():
+        raise ValueError("the consolidated table has other rows than the table read")
     return spark.read.schema(df.schema).parquet(target)
 
 
@@ -100,5 +102,6 @@ def delivered_once(df: DataFrame, id_col: str = "file_id", title: str = "title",
     Groups are reduced with map-side combine and looked up again, so a text that is a third of all rows is no hot task.
     """
     keyed = df.select(F.col(id_col).alias("__id"), *content_key(title, text)).distinct()
+    keyed = materialize(keyed, "content")
     groups = keyed.groupBy("__title", "__text").agg(F.min("__id").alias("copy_of"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     return lookup_join(keyed, groups, ["__title", "__text"]).select(F.col("__id").alias(id_col), F.coalesce("copy_of", "__id").alias("copy_of"))

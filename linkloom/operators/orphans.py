@@ -8,28 +8,32 @@ from pyspark.sql.window import Window
 
 from linkloom.session import lookup_join, materialize
 
-#: The filter never grows beyond this; with more keys it lets more references through to the exact join.
-MAX_FILTER_BYTES = 32 << 20
+#: The filter never grows beyond this (nor beyond the session's spark.sql.optimizer.runtime.bloomFilter.maxNumBits); with
+#: more keys it lets more references through to the exact join.
+MAX_FILTER_BYTES = 8 << 20
 
 
-def bloom_bytes(df: DataFrame, hash_col: str, items: int, fpp: float = 0.01, max_bytes: int = MAX_FILTER_BYTES) -> bytes:
-    """Serialized Bloom filter of a long column, built by partial aggregation and bounded by max_bytes."""
+def bloom_filter(df: DataFrame, hashed: Column, items: int, fpp: float = 0.01, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
+    """One row with the Bloom filter of a long column: the engine's own aggregate, merged from partial filters."""
     from math import log
 
+    from pyspark.sql.classic.column import Column as ClassicColumn
+
     bits = min(int(-max(items, 1) * log(fpp) / log(2) ** 2) + 64, max_bytes * 8)
-    made = df._jdf.stat().bloomFilter(hash_col, max(items, 1), bits)
-    out = df.sparkSession._jvm.java.io.ByteArrayOutputStream()
-    made.writeTo(out)
-    return bytes(out.toByteArray())
+    jvm = df.sparkSession._jvm
+    to, expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
+    long = lambda n: to.expression(F.lit(n).cast("long")._jc)
+    made = expressions.aggregate.BloomFilterAggregate(to.expression(hashed._jc), long(max(items, 1)), long(bits))
+    return df.agg(ClassicColumn(to.column(made.toAggregateExpression())).alias("filter"))
 
 
-def might_contain(df: DataFrame, filter_bytes: bytes, hashed: Column) -> Column:
-    """Whether the filter may hold the hash: the engine's own JVM expression, evaluated in generated code."""
+def might_contain(filter_row: DataFrame, hashed: Column) -> Column:
+    """Whether the filter may hold the hash. The filter is a scalar subquery: made on the executors, sent to all once."""
     from pyspark.sql.classic.column import Column as ClassicColumn
 
-    jvm = df.sparkSession._jvm
+    jvm = filter_row.sparkSession._jvm
     to = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(F.lit(bytearray(filter_bytes))._jc), to.expression(hashed._jc))
+    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(filter_row.scalar()._jc), to.expression(hashed._jc))
     return ClassicColumn(to.column(test))
 
 
@@ -63,8 +67,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str, parent_
         return refs.withColumn("status", F.lit("missing"))
     kind = "string" if parents.schema[parent_key].dataType.typeName() == "string" else "long"
     hashed = F.xxhash64(F.col(key).cast(kind))
-    filter_bytes = bloom_bytes(lives.select(F.xxhash64(F.col("key").cast(kind)).alias("h")), "h", n)
-    maybe = F.coalesce(might_contain(refs, filter_bytes, hashed), F.lit(False))
+    filter_row = bloom_filter(lives, F.xxhash64(F.col("key").cast(kind)), n)
+    maybe = F.coalesce(might_contain(filter_row, hashed), F.lit(False))
     sure = refs.where(~maybe).withColumn("status", F.lit("missing"))
     # spans of one key do not overlap, so the last one begun by then decides; a reference is looked up once
     packed = lives.groupBy("key").agg(F.min("first_created").alias("__first"), F.array_sort(F.collect_list(F.struct("since", "until"))).alias("__spans")).withColumnRenamed("key", key)
