@@ -9,7 +9,6 @@ overlapping bands; only regions that reach the bound are aligned inside their ba
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -32,14 +31,18 @@ _ORDERED = re.compile(r"^ *1\. ", re.M)
 
 
 @lru_cache(maxsize=1)
-def _dropped() -> dict[int, None]:
-    """Marks and format characters: accents after decomposition, soft hyphens, zero-width characters."""
-    return {c: None for c in range(0x80, sys.maxunicode + 1) if not 0x20000 <= c < 0xE0000 and unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")}
+def _dropped() -> np.ndarray:
+    """Whether a code point is a mark or format character: accents after decomposition, soft hyphens, zero-width signs."""
+    drop = np.zeros(0x110000, dtype=bool)
+    for c in [*range(0x80, 0x20000), *range(0xE0000, 0xE0200)]:
+        drop[c] = unicodedata.category(chr(c)) in ("Mn", "Me", "Cf")
+    return drop
 
 
 def words(text: str) -> list[str]:
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).translate(_dropped())
+        codes = _codes(unicodedata.normalize("NFKD", text))
+        text = codes[~_dropped()[codes]].tobytes().decode("utf-32-le", "surrogatepass")
     return WORD.findall(text.casefold())
 
 
@@ -75,7 +78,7 @@ class Items:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: int = EDITS, min_words: int = MIN_WORDS):
         self.q, self.edits, self.min_words = q, edits, min_words
-        self.ids, self.codes, self.words, self.need = [], [], [], []
+        self.ids, self.codes, self.words, self.need, self.span = [], [], [], [], []
         hashes, owner, place = [], [], []
         for ident, text in items:
             w = words(text)
@@ -91,6 +94,7 @@ class Items:
             self.words.append(w)
             # with short words the bound allows fewer edits than asked for; one shared q-gram is always needed
             self.need.append(max(1, least + 1 - q * (edits + 1)))
+            self.span.append(least + edits - q)
             hashes.append(g)
             owner.append(np.full(len(g), k, dtype=np.int32))
             place.append(np.arange(len(g), dtype=np.int32))
@@ -101,6 +105,16 @@ class Items:
         self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, dtype=np.int32)
         self.place = np.concatenate(place)[order] if place else np.zeros(0, dtype=np.int32)
         self.need_of = np.array(self.need, dtype=np.int64)
+        self.low_bits = np.zeros(1 << 22, dtype=bool)  # most q-grams of a corpus are told apart by these alone
+        self.low_bits[self.keys & np.uint64((1 << 22) - 1)] = True
+
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in grams of q-grams that items have, and the index of each in keys."""
+        at = np.flatnonzero(self.low_bits[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
+        key = np.searchsorted(self.keys, grams[at])
+        key[key == len(self.keys)] = 0
+        same = self.keys[key] == grams[at]
+        return at[same], key[same]
 
     def regions(self, at: np.ndarray, key: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(item, diagonal from, to, document from, to) of the bands that reach the bound; at, key: shared q-grams."""
@@ -115,20 +129,31 @@ class Items:
         doc, item, diagonal = doc[live], item[live].astype(np.int64), diagonal[live]
         width = self.edits + 1
         band = (diagonal + (1 << 40)) // width
-        out = {}
+        found: dict[int, list[tuple[int, int, int, int]]] = {}
         for shift in (0, 1):  # bands two widths broad, each overlapping the next by one
             code = item * (1 << 42) + (band + shift) // 2 * 2 - shift
-            order = np.argsort(code, kind="stable")
-            uniq, start, size = np.unique(code[order], return_index=True, return_counts=True)
-            for u, s, z in zip(uniq, start, size):
-                k = int(u >> 42)
-                if z >= self.need[k]:
-                    rows = order[s : s + z]
-                    out[(k, int(diagonal[rows].min()), int(diagonal[rows].max()))] = (int(doc[rows].min()), int(doc[rows].max()) + self.q)
-        return [(k, lo, hi, a, b) for (k, lo, hi), (a, b) in out.items()]
+            order = np.lexsort((doc, code))
+            edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1))
+            full = np.flatnonzero(np.diff(edges) >= self.need_of[item[order[edges[:-1]]]])
+            for s, e in zip(edges[full], edges[full + 1]):
+                k = int(item[order[s]])
+                need = self.need[k]
+                rows = order[s:e]
+                at = doc[rows]
+                # the bound must be met inside a stretch as long as the shortest part looked for
+                near = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= self.span[k])
+                if len(near):
+                    d = diagonal[rows[near[0] : near[-1] + need]]
+                    found.setdefault(k, []).append((int(d.min()), int(d.max()), int(at[near[0]]), int(at[near[-1] + need - 1]) + self.q))
+        out = []
+        for k, bands in found.items():
+            for x in set(bands):  # a band inside another one says nothing new
+                if not any(y != x and y[0] <= x[0] and x[1] <= y[1] and y[2] <= x[2] and x[3] <= y[3] for y in bands):
+                    out.append((k, *x))
+        return out
 
 
-def aligned(jobs: list[tuple[np.ndarray, np.ndarray, int, int]], edits: int, at_once: int = 512) -> np.ndarray:
+def aligned(jobs: list[tuple[np.ndarray, np.ndarray, int, int]], edits: int, at_once: int = 1024) -> np.ndarray:
     """Per job (item, text part, lowest and highest diagonal) the longest piece of the text part that equals a piece of
     the item with at most `edits` edits, on diagonals (text position minus item position) not further off than `edits`.
 
@@ -209,17 +234,17 @@ def find(texts: list[str | None], items: Items) -> list[list[tuple[int, int, int
         flat += [p, gap]
         at += len(p) + items.q
     g = _grams(np.concatenate(flat), items.q)
-    slot = np.searchsorted(items.keys, g)
-    slot[slot == len(items.keys)] = 0
-    hit = np.flatnonzero(items.keys[slot] == g)
+    hit, slot = items.shared(g)
+    part = np.searchsorted(np.array(starts), hit, side="right") - 1
+    enough = np.bincount(part, minlength=len(parts))[part] >= min(items.need)  # no band can hold more than all
+    hit, slot, part = hit[enough], slot[enough], part[enough]
     if not len(hit):
         return out
-    part = np.searchsorted(np.array(starts), hit, side="right") - 1
     jobs, of = [], []
     for rows in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(part)) + 1):
         p = int(part[rows[0]])
         slack = items.q + items.edits
-        for k, low, high, begin, end in items.regions(hit[rows] - starts[p], slot[hit[rows]]):
+        for k, low, high, begin, end in items.regions(hit[rows] - starts[p], slot[rows]):
             a, b = max(0, begin - slack), min(len(parts[p]), end + slack)
             jobs.append((items.codes[k], parts[p][a:b], low - a, high - a))
             of.append((p, k))
