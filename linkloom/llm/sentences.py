@@ -403,7 +403,8 @@ def sentence_ends(texts: Column, tagger: Tagger) -> Column:
         for batch in batches:
             yield batch.map(lambda t: ends(t, own) if isinstance(t, str) else [])
 
-    return run(texts)
+    # else the optimizer copies the tagging into a filter below the distinct, and every text is tagged twice
+    return run.asNondeterministic()(texts)
 
 
 def sentences(df: DataFrame, id_col: str, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
