@@ -128,14 +128,20 @@ class Items:
             return []
         doc, item, diagonal = doc[live], item[live].astype(np.int64), diagonal[live]
         width = self.edits + 1
-        band = (diagonal + (1 << 40)) // width
+        band = (diagonal - diagonal.min()) // width
+        many = int(band.max()) // 2 + 2
         found: dict[int, list[tuple[int, int, int, int]]] = {}
         for shift in (0, 1):  # bands two widths broad, each overlapping the next by one
-            code = item * (1 << 42) + (band + shift) // 2 * 2 - shift
-            order = np.lexsort((doc, code))
-            edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1))
-            full = np.flatnonzero(np.diff(edges) >= self.need_of[item[order[edges[:-1]]]])
-            for s, e in zip(edges[full], edges[full + 1]):
+            code = item * many + (band + shift) // 2
+            if many * len(self.ids) <= 1 << 22:
+                size = np.bincount(code)[code]
+            else:
+                _, back, count = np.unique(code, return_inverse=True, return_counts=True)
+                size = count[back]
+            full = np.flatnonzero(size >= self.need_of[item])
+            order = full[np.lexsort((doc[full], code[full]))]
+            edges = np.flatnonzero(np.diff(code[order], prepend=-1, append=-1)) if len(order) else []
+            for s, e in zip(edges, edges[1:]):
                 k = int(item[order[s]])
                 need = self.need[k]
                 rows = order[s:e]
