@@ -71,17 +71,20 @@ def fits_broadcast(rows: int, schema: T.StructType, limit: int = BROADCAST_BYTES
 def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", right_rows: int | None = None, salts: int = 32) -> DataFrame:
     """Join left to a lookup side, whatever the skew of left's keys.
 
-    A right side proven small (right_rows given and within BROADCAST_BYTES) is broadcast. Otherwise both sides are
-    shuffled on the key plus a salt: keys that hold more than 1/256 of left (at most 256 of them, so their list may be
-    broadcast) are spread over `salts` tasks, and only their right rows are copied; all other keys keep salt 0.
+    The lookup side is written and counted (unless right_rows tells its rows), and broadcast if it stays within
+    BROADCAST_BYTES. Otherwise left is written too and both sides are shuffled on the key plus a salt: keys that hold
+    more than 1/256 of left (fewer than 256 of them, so their list may be broadcast) are spread over `salts` tasks, and
+    only their right rows are copied; all other keys keep salt 0. Null keys match nothing.
     """
-    if right_rows is not None and fits_broadcast(right_rows, right.schema):
+    if right_rows is None:
+        right = materialize(right, "lookup")
+        right_rows = right.count()
+    if fits_broadcast(right_rows, right.schema):
         return left.join(F.broadcast(right), on, how)
+    left = materialize(left, "probe")
     keyed = left.where(" and ".join(f"`{k}` is not null" for k in on))
-    counts = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n"))
-    total = left.count()
-    heavy = counts.where(F.col("__n") > max(total // 256, 1000)).select(*on, F.lit(True).alias("__heavy"))
-    heavy = heavy.limit(256)  # there cannot be more
+    heavy = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(left.count() // 256, 1000))
+    heavy = heavy.select(*on, F.lit(True).alias("__heavy"))
     # a hash of the row, not a running number: a task that is run again sends each row where it went before
     spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema if not isinstance(f.dataType, T.MapType)]), F.lit(salts)).cast("int")
     tagged = left.withColumn("__spread", spread).join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy"), F.col("__spread")).otherwise(F.lit(0))).drop("__heavy", "__spread")
