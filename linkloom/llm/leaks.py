@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.markup import nodes
+from linkloom.llm.markup import running_text
 
 Q = 8
 EDITS = 2
@@ -27,7 +27,6 @@ MIN_WORDS = 12
 BLOCK_CHARS = 16_000_000
 
 WORD = re.compile(r"[^\W_]+")
-_ORDERED = re.compile(r"^ *1\. ", re.M)
 
 
 @lru_cache(maxsize=1)
@@ -48,11 +47,8 @@ def words(text: str) -> list[str]:
 
 def streams(text: str) -> list[list[str]]:
     """The words of a document without its markup, and as they stand where that differs."""
-    raw = words(text)
-    found, kinds = nodes(text)
-    if not kinds:
-        return [raw]
-    plain = words("\n".join(_ORDERED.sub("", body) if kind == "list" else body for kind, _, body in found))
+    raw, bare = words(text), running_text(text)
+    plain = raw if bare is None else words(bare)
     return [plain, raw] if plain != raw else [raw]
 
 
@@ -187,13 +183,13 @@ def aligned(jobs: list[tuple[np.ndarray, np.ndarray, int, int]], edits: int, at_
             same = item[line, np.clip(i, 0, long_item - 1)] == text[:, j][:, None]
             row = np.zeros_like(above)
             for e in range(edits + 1):
-                # before: this diagonal, one character back; the neighbours have a character more on one side
+                # a character more in the text comes from the diagonal below, one more in the item from the one above
                 cell = np.where(same, above[e][:, 1:-1] + 1, 0)
                 if e:
-                    less, up = above[e - 1][:, 1:-1], above[e - 1][:, 2:]
+                    less, up = above[e - 1][:, 1:-1], above[e - 1][:, :-2]
                     cell = np.maximum(cell, np.where(~same & (less > 0), less + 1, 0))
                     cell = np.maximum(cell, np.where(up > 0, up + 1, 0))
-                    cell = np.maximum(cell, np.maximum(row[e - 1][:, :-2], row[e - 1][:, 1:-1]))
+                    cell = np.maximum(cell, np.maximum(row[e - 1][:, 2:], row[e - 1][:, 1:-1]))
                 row[e][:, 1:-1] = np.where(inside, cell, 0)
             top = np.maximum(top, row[edits].max(axis=1))
             above = row

@@ -17,10 +17,12 @@ OVERLAP = 100
 #: Penalty of a cut after: a paragraph, a line, a sentence, a clause, a word, and inside a word.
 PENALTIES = {"paragraph": 0.0, "line": 1.0, "sentence": 2.0, "clause": 5.0, "word": 9.0, "inside": 40.0}
 NAMES = list(PENALTIES)
+#: Penalty of a cut whose overlap begins inside a word.
+SPLIT_START = 1.5
 #: Penalty of a piece that is twice its even share.
 IMBALANCE = 6.0
 
-_KIND = re.compile(r"(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>[\n\r\v\f\x85  ]\s*)|(?P<sentence>(?:[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*)\s*)|(?P<clause>[,;:،，、；：]\s*)|(?P<word>\s+)")
+_KIND = re.compile(r"(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>[\n\r\v\f\x85\u2028\u2029]\s*)|(?P<sentence>(?:[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*))|(?P<clause>[,;:،，、；：]+)|(?P<word>\s+)")
 
 
 def _kinds(text: str) -> np.ndarray:
@@ -34,11 +36,11 @@ def _kinds(text: str) -> np.ndarray:
     return kind
 
 
-def cut_positions(n: int, kinds: np.ndarray, allowed: np.ndarray, limit: int, overlap: int) -> list[int] | None:
+def cut_positions(n: int, kinds: np.ndarray, allowed: np.ndarray, limit: int, overlap: int, extra: np.ndarray | None = None) -> list[int] | None:
     """Cuts 0 < c < n (in tokens) of least penalty and imbalance with all pieces within limit; None if there are none.
 
-    The first piece holds limit new tokens at most, each later one limit - overlap. kinds[c] is the kind of a cut, and
-    allowed[c] whether one may be made at c.
+    The first piece holds limit new tokens at most, each later one limit - overlap. kinds[c] is the kind of a cut,
+    allowed[c] whether one may be made at c, and extra[c] a further penalty of it.
     """
     room = limit - overlap
     count = 1 + -(-(n - limit) // room)
@@ -46,7 +48,7 @@ def cut_positions(n: int, kinds: np.ndarray, allowed: np.ndarray, limit: int, ov
     at = np.flatnonzero(allowed[:n])
     at = at[at > overlap]
     points = np.concatenate([[0], at, [n]])
-    weight = np.array([PENALTIES[k] for k in NAMES])[kinds]
+    weight = np.array([PENALTIES[k] for k in NAMES])[kinds] + (0.0 if extra is None else extra)
     cost = np.full(len(points), np.inf)
     back = np.zeros(len(points), dtype=np.int64)
     cost[0] = 0.0
@@ -98,13 +100,12 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int = MAX_TOKENS, overlap
     starts_word = np.zeros(n + 1, dtype=bool)
     starts_word[whole] = kinds[whole] < len(NAMES) - 1
     pad = lambda a: np.concatenate([np.zeros(overlap, dtype=bool), a])[: n + 1]
-    both, clean = whole & pad(whole), whole & pad(starts_word)
+    both, extra = whole & pad(whole), np.where(pad(starts_word), 0.0, SPLIT_START)
     for room in (limit, limit - 8, limit - 40, limit - limit // 8, limit - limit // 4, limit - limit // 2):
         if room <= overlap * 2:
             break
         for level in range(2, len(NAMES) + 1):
-            allowed = (clean if level < len(NAMES) else both) & (kinds < level if level < len(NAMES) else True)
-            cuts = cut_positions(n, kinds, allowed, room, overlap)
+            cuts = cut_positions(n, kinds, both & (kinds < level), room, overlap, extra)
             if cuts is not None:
                 break
         else:

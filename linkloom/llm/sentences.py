@@ -13,8 +13,10 @@ stops a second tagger (`train_unspaced`) is trained on text whose spaces were st
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,11 +45,12 @@ SAID = {
 }
 OPEN = {"(": ")", "[": "]", "{": "}", "«": "»", "„": "“", "“": "”", "‘": "’", "「": "」", "『": "』", "《": "》", "〈": "〉", "（": "）", "［": "］", "【": "】", "‹": "›"}
 CLOSE = {c: o for o, c in OPEN.items()} | {"“": "„"}
+MARK = re.compile("[\"%s]" % re.escape("".join([*OPEN, *CLOSE])))
 QUOTES = set("«„“‘「『\"'‹")
 TITLES = set("《〈")
 STOPS = set(".!?…。！？।॥؟۔｡")
 WIDE = set("。！？…｡")
-LINE = re.compile(r"\r\n|[\n\r\v\f\x85  ]")
+LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 ANNOTATION = re.compile(r"\[\[[^\[\]\n]*\]\]")
 ANCHOR = re.compile(r"""[.!?…。！？।॥؟۔｡]+""")
 WORD_BEFORE = re.compile(r"[^\s(\[«„“‘”»\"「『（,;:/—–]*$")
@@ -77,29 +80,30 @@ def _shadow(line: str) -> str:
 def _pairs(s: str) -> dict[int, int]:
     """Positions of opening marks and of the marks that close them, unmatched ones left out."""
     stack: list[tuple[str, int]] = []
+    held: dict[str, int] = defaultdict(int)  # how many of each opening mark the stack holds
     pairs: dict[int, int] = {}
     n = len(s)
-    for i, c in enumerate(s):
-        if c == '"':
-            if any(o == '"' for o, _ in stack):
-                while stack[-1][0] != '"':
-                    stack.pop()
-                pairs[stack.pop()[1]] = i
-            else:
-                stack.append((c, i))
-        elif c in CLOSE:
-            o = CLOSE[c]
-            if c == "“" and not any(x == "„" for x, _ in stack):
-                stack.append((c, i))
-                continue
-            if c == "’" and (not any(x == "‘" for x, _ in stack) or (0 < i < n - 1 and s[i - 1].isalpha() and s[i + 1].isalpha())):
-                continue
-            if any(x == o for x, _ in stack):
-                while stack[-1][0] != o:
-                    stack.pop()
-                pairs[stack.pop()[1]] = i
-        elif c in OPEN:
+
+    def close(mark: str, at: int) -> None:
+        while True:
+            o, i = stack.pop()
+            held[o] -= 1
+            if o == mark:
+                pairs[i] = at
+                return
+
+    for m in MARK.finditer(s):
+        i, c = m.start(), m[0]
+        mark = CLOSE.get(c, c)
+        if c == "“" and not held["„"]:
+            mark = ""
+        elif c == "’" and 0 < i < n - 1 and s[i - 1].isalpha() and s[i + 1].isalpha():
+            continue
+        if (c == '"' or c in CLOSE) and mark and held[mark]:
+            close(mark, i)
+        elif c == '"' or c in OPEN:
             stack.append((c, i))
+            held[c] += 1
     return pairs
 
 
@@ -148,7 +152,7 @@ def _word_kind(s: str, start: int) -> tuple[str, str]:
     if low in MAYBE:
         return "maybe", low
     if len(word) == 1 and word.isalpha():
-        before = s[: start - 1]
+        before = s[max(0, start - 60) : start - 1]
         if word == "A" and re.search(r"[^\W\d_]*[a-zà-ÿ] S\. $", before) and re.search(r"(?:^|\s)[A-ZÀ-Þ][^\W\d_]+ S\. $", before):
             return "maybe", "s.a"
         if low == "е" and before.endswith("т. "):
@@ -170,9 +174,15 @@ def spots(line: str, label: bool = False) -> list[Spot]:
     found: list[Spot] = []
     pairs = _pairs(s)
     opener = {c: o for o, c in pairs.items()}
-    spans = sorted(pairs.items())
+    opens_at = sorted(pairs)
+    reach = list(accumulate((pairs[o] for o in opens_at), max))  # how far the marks opened so far are open
     thai = bool(THAI.search(s))
     last_end, first = 0, len(s) - len(s.lstrip())
+
+    def covered(start: int, end: int) -> bool:
+        k = bisect_left(opens_at, start)
+        return k > 0 and reach[k - 1] >= end
+
     for m in (re.finditer(r"\s+", s[:n]) if thai else ANCHOR.finditer(s, 0, n)):
         i, j = m.span()
         if thai and not i:
@@ -183,14 +193,14 @@ def spots(line: str, label: bool = False) -> list[Spot]:
             continue
         if thai:
             near = s[i - 1].isdigit() or s[j].isdigit()
-            inside = any(o < i < c for o, c in spans)
+            inside = covered(i, i + 1)
             f = [f"th:{near}:{inside}", f"th1:{s[i - 1]}|{s[j]}"]
             found.append(Spot(i, f, "thai", not near and not inside if label else None))
             continue
         end, closed = j, []
         while True:  # closing marks after the stop, in French with a space before them
             k = end
-            while k < n and s[k] in "   " and end - k > -3:
+            while k < n and s[k] in " \xa0\u202f" and end - k > -3:
                 k += 1
             if k < n and k in opener and (k == end or s[k] == "»") and opener[k] < i:
                 closed.append(opener[k])
@@ -202,7 +212,7 @@ def spots(line: str, label: bool = False) -> list[Spot]:
                 break
         if end >= n:
             continue  # the end of the line, which is a boundary anyway
-        inside = any(o < i and c >= end for o, c in spans)
+        inside = covered(i, end)
         stop = s[i:j]
         kind, at = _next_kind(s, end, n)
         gap = at > end
@@ -342,7 +352,7 @@ def ends(text: str, tagger: Tagger) -> list[int]:
         length = len(line.rstrip())
         if length:
             chain = spots(line)
-            out += [at + x.end for x, tag in zip(chain, tagger.decode(chain)) if tag and line[x.end :].strip()]
+            out += [at + x.end for x, tag in zip(chain, tagger.decode(chain)) if tag]
             out.append(at + length)
         if m:
             at = m.end()
@@ -361,7 +371,7 @@ def _unspaced_chain(s: str) -> list[Spot]:
     return out
 
 
-def train_unspaced(texts: list[str], epochs: int = EPOCHS, tagger: Tagger | None = None) -> Tagger:
+def train_unspaced(texts: list[str], epochs: int = 3 * EPOCHS, tagger: Tagger | None = None) -> Tagger:
     """Tagger for unspaced, unpunctuated text, from documents whose sentences `tagger` (else silver labels) can tell."""
     tagger = tagger or train(texts)
     chains = []
