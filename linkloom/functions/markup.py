@@ -101,7 +101,7 @@ def drop_external_links(c: Column) -> Column:
 
 
 def external_labels(c: Column) -> Column:
-    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\[\w+://[^\s\]]*([^\]\n]*)\]"), F.lit(1)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(c, F.lit(r"\[\w+://[^\s\]]*([^\]\n]*)\]"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def categories(c: Column, pack: LanguagePack = ENGLISH) -> Column:

@@ -52,13 +52,14 @@ def _local_forests(with_paths: bool):
 
 
 def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool = False) -> DataFrame:
-    """(node, root, depth, path, looped) for every distinct child of links, each of which has one parent.
+    """(node, root, depth, path, looped) for every distinct child of links; of several parents the smallest counts.
 
     root is the last node reached, depth the number of links to it; path holds the nodes from node up to, without,
     root (empty unless with_paths). Nodes on a loop or leading into one have looped = true, root and depth null. Links
     with a null end are left out; no links give no rows.
     """
     edges = links.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null")
+    edges = edges.groupBy("child").agg(F.min("parent").alias("parent"))
     open_ = materialize(edges.mapInPandas(_local_forests(with_paths), _FOREST), "forest")
     none = open_.limit(0)
     ended, before = none, None

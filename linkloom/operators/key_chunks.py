@@ -19,8 +19,8 @@ from linkloom.session import scratch_path
 CHUNK_ROWS = 262_144
 
 
-def number_rows(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
-    """df with `position`: 0, 1, 2, ... in the order of the given columns, without gaps and without a single-task sort.
+def number_rows(df: DataFrame, order: list[str], partitions: int | None = None, name: str = "position") -> DataFrame:
+    """df with `position` (or another name): 0, 1, 2, ... in the order of the given columns, without gaps and without a single-task sort.
 
     The sort cuts ranges by all order columns, so equal leading keys spread over partitions. Counts per partition come
     to the driver: one row per partition, never per key. An empty input gives an empty result.
@@ -35,16 +35,16 @@ def number_rows(df: DataFrame, order: list[str], partitions: int | None = None)
     starts = [0, *accumulate(c[2] for c in counts)][:-1] if counts else []
     offsets = spark.createDataFrame([(f, s) for (_, f, _), s in zip(counts, starts)], "__file string, __start long")
     # one row per partition file: bounded by the number of partitions
-    return ordered.join(F.broadcast(offsets), "__file").withColumn("position", F.col("__start") + F.col("__row")).drop("__file", "__row", "__start", "__part")
+    return ordered.join(F.broadcast(offsets), "__file").withColumn(name, F.col("__start") + F.col("__row")).drop("__file", "__row", "__start", "__part")
 
 
 def chunked_states(df: DataFrame, keys: list[str], order: list[str], state: dict[str, Column], merge: dict[str, Column], chunk_rows: int = CHUNK_ROWS, partitions: int | None = None) -> DataFrame:
     """One row per key: `state` reduces the rows of a key in a chunk, `merge` reduces the states of a key over its chunks.
 
-    merge may use the column `chunk`, by which states are ordered. Keys may be null (null is a key of its own).
+    merge may use the column `__chunk`, by which states are ordered. Keys may be null (null is a key of its own).
     """
-    numbered = number_rows(df, [*keys, *order], partitions).withColumn("chunk", F.floor(F.col("position") / chunk_rows))
-    states = numbered.groupBy("chunk", *keys).agg(*[c.alias(k) for k, c in state.items()])
+    numbered = number_rows(df, [*keys, *order], partitions, "__position").withColumn("__chunk", F.floor(F.col("__position") / chunk_rows))
+    states = numbered.groupBy("__chunk", *keys).agg(*[c.alias(k) for k, c in state.items()])
     return states.groupBy(*keys).agg(*[c.alias(k) for k, c in merge.items()])
 
 

@@ -58,7 +58,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str, parent_
 
     missing: no such parent at all; deleted: one had been created by then, but none was alive; late: all came later. A
     null key is no reference; with a null time a known key is 'late'. An empty parent table makes every row 'missing'.
-    All columns of refs are kept; those of parents do not appear.
+    All columns of refs are kept (one named status is replaced); those of parents do not appear.
     """
     lives = materialize(lifetimes(parents, parent_key, created, deleted), "lifetimes")
     n = lives.count()

@@ -174,9 +174,10 @@ def _group_span(group: list) -> tuple[int, int]:
         meta = get(chunk, CHUNK_META)
         if meta is None or get(chunk, 1):
             raise ValueError("column data outside the file is not supported")
-        start = min(x for x in (get(meta, COLUMN_DATA), get(meta, COLUMN_DICT)) if x)
-        spans.append((start, start + get(meta, COLUMN_COMPRESSED)))
-    return min(s for s, _ in spans), max(e for _, e in spans)
+        pages = [x for x in (get(meta, COLUMN_DATA), get(meta, COLUMN_DICT)) if x]
+        if pages:  # a group without rows may have none
+            spans.append((min(pages), min(pages) + get(meta, COLUMN_COMPRESSED)))
+    return (min(s for s, _ in spans), max(e for _, e in spans)) if spans else (0, 0)
 
 
 def _moved(group: list, shift: int, ordinal: int) -> list:
