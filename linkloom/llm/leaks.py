@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.markup import running_text
+from linkloom.session import spread
 
 Q = 8
 EDITS = 2
@@ -284,7 +285,7 @@ def leaks(df: DataFrame, id_col: str, items: DataFrame, text: str = "text", q: i
     spark = df.sparkSession
     total = items.agg(F.sum(F.char_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
-    docs = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where(F.octet_length("__text") > 2 * min_words - 2)
+    docs = spread(df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where(F.octet_length("__text") > 2 * min_words - 2))
     out = None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b).collect()

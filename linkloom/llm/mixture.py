@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from linkloom.llm.tokens import DEFAULT_TOKENIZER, token_count
-from linkloom.session import materialize
+from linkloom.session import distinct_over, materialize
 
 #: Buckets into which ranks are counted before the one that holds the cut is put in order.
 RANK_BUCKETS = 4096
@@ -69,7 +69,7 @@ def mixture(df: DataFrame, weights: DataFrame, id_col: str, text: str = "text",
     spark = df.sparkSession
     listed = spark.createDataFrame([(w["source"],) for w in rows], "source string")
     docs = df.select(F.col(id_col).alias("id"), F.col(text).alias("text"), source_reading(F.col(source)).alias("source"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
-    docs = docs.where("text <> '' and source is not null").distinct().join(F.broadcast(listed), "source", "left_semi")
+    docs = distinct_over(docs.where("text <> '' and source is not null")).join(F.broadcast(listed), "source", "left_semi")
     sized = materialize(docs.withColumn("tokens", token_count(F.col("text"), tokenizer)).drop("text").where("tokens > 0"), "sized")
     band = F.round(F.log2("w") * 8).cast("int")
     groups = sized.groupBy("source", band.alias("band")).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.avg("w").alias("w")).collect()

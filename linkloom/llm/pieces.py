@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.tokens import DEFAULT_TOKENIZER, Tokenizer, load
+from linkloom.session import distinct_over
 
 MAX_TOKENS = 2_000
 OVERLAP = 100
@@ -133,8 +134,8 @@ def split_documents(df: DataFrame, id_col: str, text: str = "text", limit: int =
         for batch in batches:
             yield batch.map(lambda x: [dict(zip(("start_char", "end_char", "tokens", "cut"), p)) for p in split_text(x, t, limit, overlap)])
 
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__text is not null").distinct()
-    cut = rows.withColumn("p", run.asNondeterministic()("__text"))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__text is not null")
+    cut = distinct_over(rows).withColumn("p", run.asNondeterministic()("__text"))
     each = cut.select("__id", "__text", F.size("p").alias("pieces"), F.posexplode("p").alias("piece", "c"))
     return each.select(F.col("__id").alias(id_col), "piece", "pieces", "c.start_char", "c.end_char", "c.tokens", "c.cut", F.substring(F.col("__text"), F.col("c.start_char") + 1, F.col("c.end_char") - F.col("c.start_char")).alias("piece_text"))
 

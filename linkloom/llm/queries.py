@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm import leaks, markup, mixture, pieces, sentences
 from linkloom.llm.sql import oracle_sql  # noqa: F401
-from linkloom.session import read_table
+from linkloom.session import read_table, spread
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Kinds of markup of each document: (doc_id, markup_kind)."""
-    docs = read_table(spark, d, "documents").select("doc_id", "text").where("text <> ''")
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text").where("text <> ''"))
     return docs.select("doc_id", F.explode(markup.markup_kinds(F.col("text"))).alias("markup_kind")).distinct()
 
 

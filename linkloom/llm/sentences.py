@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.session import distinct_over
+
 #: Documents the model is trained on, drawn by a hash of their text. A bound on the sample only; all rows are tagged.
 TRAIN_DOCUMENTS = 2_000
 EPOCHS = 4
@@ -425,8 +427,8 @@ def sentences(df: DataFrame, id_col: str, text: str = "text", tagger: Tagger | N
     not carried over.
     """
     tagger = tagger or fit(df, text)
-    rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__text is not null").distinct()
-    cut = rows.withColumn("__ends", sentence_ends(F.col("__text"), tagger))
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__text is not null")
+    cut = distinct_over(rows).withColumn("__ends", sentence_ends(F.col("__text"), tagger))
     each = cut.select("__id", "__text", F.posexplode("__ends").alias("pos", "end_char"), "__ends")
     raw_start = F.when(F.col("pos") == 0, 0).otherwise(F.element_at("__ends", F.greatest(F.col("pos"), F.lit(1))))
     piece = F.substring(F.col("__text"), raw_start + 1, F.col("end_char") - raw_start)
