@@ -15,7 +15,7 @@ def _compose(c: Column) -> Column:
 
 def nfc(c: Column) -> Column:
     """Unicode NFC. Text whose code points all lie below U+0300 is its own NFC and is passed on; null stays null."""
-    return F.when(c.isNotNull() & c.rlike(r"[^\x00-˿]"), _compose(c)).otherwise(c)
+    return F.when(c.isNotNull() & c.rlike(r"[^\x00-\u02ff]"), _compose(c)).otherwise(c)
 
 
 def squeeze(c: Column) -> Column:

@@ -37,17 +37,18 @@ def parse_annotations(line: Column) -> Column:
 
 def annotation_spans(line: Column) -> Column:
     """Array of (start, len, entity, alias, tag) with positions in the text without link signs."""
-    gaps, links = F.split(line, m.LINK, -1), parse_annotations(line)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,len:int,entity:string,alias:string,tag:string>>").alias("out"))
+    spans = "array<struct<start:int,len:int,entity:string,alias:string,tag:string>>"
+    # gaps and links travel as one array: what a lambda captures would be computed anew for each of its steps
+    pairs = F.zip_with(F.split(line, m.LINK, -1), parse_annotations(line), lambda g, x: F.struct(F.char_length(g).alias("gap"), x.alias("link")))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        link = links[i]
-        start = acc["at"] + F.char_length(gaps[i])
+    def step(acc: Column, x: Column) -> Column:
+        link, start = x["link"], acc["at"] + x["gap"]
         size = F.char_length(link["alias"])
         span = F.struct(start.alias("start"), size.alias("len"), link["entity"].alias("entity"), link["alias"].alias("alias"), link["tag"].alias("tag"))
         return F.struct((start + size).alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    return F.when(F.size(links) > 0, F.aggregate(F.sequence(F.lit(0), F.size(links) - 1), zero, step)["out"]).otherwise(F.array().cast("array<struct<start:int,len:int,entity:string,alias:string,tag:string>>"))
+    return F.aggregate(F.filter(pairs, lambda x: x["link"].isNotNull()), zero, step, lambda acc: acc["out"])
 
 
 def bare_text(line: Column) -> Column:

@@ -59,6 +59,22 @@ def whole_rows_once(df: DataFrame) -> DataFrame:
     return (df.withColumns(maps) if maps else df).distinct()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many tasks as there are cores, where a few small files would leave most of them idle; else df itself.
+
+    For steps that compute much per row. Input with a file per core, or of more than 4 MB per core, is not moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if len(df.inputFiles()) < cores and size < cores * (4 << 20) else df
+
+
+def distinct_over(df: DataFrame) -> DataFrame:
+    """Distinct rows, left in spark.sql.shuffle.partitions partitions even if small: much is computed per row next."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *df.columns).distinct()
+
+
 def row_bytes(schema: T.StructType) -> int:
     fixed = {"long": 8, "integer": 4, "double": 8, "timestamp": 8, "timestamp_ntz": 8, "boolean": 1}
     return 16 + sum(fixed.get(f.dataType.typeName(), 64) for f in schema)
