@@ -59,6 +59,32 @@ def contexts(tokens: Column, start: Column, end: Column, strict: bool = False) -
     return F.struct(F.slice(tokens, 1, left_end).alias("left"), F.reverse(F.slice(tokens, right_start + 1, F.greatest(n - right_start, F.lit(0)))).alias("right"))
 
 
+def token_mentions(line: Column) -> Column:
+    """Array of (token_start, token_len, char_start, entity, alias, tag): the annotations of a line, counted in the word
+    tokens of its bare text."""
+    from linkloom.functions.markup import word_tokens
+    from linkloom.operators.mentions import annotation_spans, bare_text
+
+    pairs = F.transform(annotation_spans(line), lambda x: F.struct(F.substring(bare_text(line), 1, x["start"]).alias("before"), x.alias("x")))
+    return F.transform(
+        pairs,
+        lambda p: F.struct(
+            F.size(word_tokens(p["before"])).alias("token_start"), F.size(word_tokens(p["x"]["alias"])).alias("token_len"), p["x"]["start"].alias("char_start"),
+            p["x"]["entity"].alias("entity"), p["x"]["alias"].alias("alias"), p["x"]["tag"].alias("tag"),
+        ),
+    )
+
+
+def bracket_mention(tokens: Column, start: int, end: int) -> Column:
+    """Tokens with link signs around those from start to end."""
+    return F.array_insert(F.array_insert(tokens, end + 2, F.lit("]]")), start + 1, F.lit("[["))
+
+
+def first_lines(lines: DataFrame, line_no: str = "line_no", most: int = MAX_LINES) -> DataFrame:
+    """The lines of each page that the numeric linker reads; an option of that linker, used nowhere else."""
+    return lines.where(F.col(line_no) < most)
+
+
 def embed(df: DataFrame, key: str, tokens: str, vectors: DataFrame, unknown: str = "unk") -> DataFrame:
     """(key, pos, vector): the vector (word, vector) of each token, that of `unknown` where it has none."""
     words = df.select(key, F.posexplode(tokens).alias("pos", "word"))

@@ -44,15 +44,21 @@ def lifetimes(parents: DataFrame, key: str, created: str, deleted: str) -> DataF
     """
     far = F.lit("9999-12-31 23:59:59").cast(parents.schema[created].dataType)
     spans = parents.select(F.col(key).alias("key"), F.col(created).alias("since"), F.coalesce(deleted, far).alias("until")).where("key is not null")
-    spans = spans.groupBy("key", "since").agg(F.max("until").alias("until"))
-    before = Window.partitionBy("key").orderBy("since").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("key").orderBy("since")
-    numbered = spans.withColumn("new", F.when(F.col("since") <= F.max("until").over(before), 0).otherwise(1)).withColumn("island", F.sum("new").over(upto))
-    merged = numbered.groupBy("key", "island").agg(F.min("since").alias("since"), F.max("until").alias("until"))
+    spans = spans.groupBy("key", "since").agg(F.max("until").alias("until")).withColumn("month", F.date_trunc("month", F.col("since").cast("timestamp")))
+    # first within months, so that no key, however often it came and went, is one task's alone
+    merged = _islands(_islands(spans, ["key", "month"]), ["key"])
     firsts = spans.groupBy("key").agg(F.min("since").alias("first_created"))
     return merged.join(firsts, "key").select("key", "since", F.when(F.col("until") < far, F.col("until")).alias("until"), "first_created")
 
 
+def _islands(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Spans of equal keys that touch or overlap as one."""
+    upto = Window.partitionBy(*keys).orderBy("since")
+    before = upto.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = spans.withColumn("new", F.when(F.col("since") <= F.max("until").over(before), 0).otherwise(1)).withColumn("island", F.sum("new").over(upto))
+    return numbered.groupBy(*keys, "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("island")
+
+
 def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str, parent_key: str, created: str, deleted: str) -> DataFrame:
     """Rows of refs whose key has no living parent at their time, with `status`.
 

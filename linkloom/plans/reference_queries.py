@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import markup as m
 from linkloom.functions import rewriting, viewer
 from linkloom.langpack import ENGLISH
-from linkloom.operators import baseline, cascade, coref, dictionary, linker, mentions, metrics, routing, spans
+from linkloom.operators import baseline, cascade, coref, dictionary, evaluation, linker, mentions, metrics, routing, spans
 from linkloom.session import read_table
 from linkloom.sources import dump, sinks
 
@@ -190,7 +190,7 @@ def first_id_per_title(spark, d):
 def resume_left_anti(spark, d):
     rows = read_table(spark, d, "aliases")
     known = rows.where("alias is not null").join(read_table(spark, d, "title2id").select("title_id").distinct(), "title_id", "left_semi")
-    return sinks.still_to_do(known, rows.where("n > 5"), "alias_row_id").select("alias_row_id", F.char_length("alias").alias("chars"))
+    return sinks.still_to_do(known, rows.where("n > 5"), "alias_row_id").select("alias_row_id", F.char_length("alias").cast("long").alias("chars"))
 
 
 # Routing
@@ -286,7 +286,7 @@ _text_query("files_removed_simple", m.drop_files, r"regexp_replace(text, '(?i)\[
 _text_query("links_unwrapped", m.unlink, r"regexp_replace(text, '\[\[([^\[\]]*\|)?([^\[\]|]*)\]\]', '\2', 'g')")
 _text_query("intro_cut", m.intro, "split_part(text, '==', 1)")
 _text_query("punctuation_once", m.punctuation_once, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\(( ?[;,] ?)*\) ?', '', 'g'), '\(( ?[;,] ?)+', '(', 'g'), ' ,', ',', 'g'), ' \)', ')', 'g'), ',,+ ', ', ', 'g'), ',\)', ')', 'g'), ';\)', ')', 'g')")
-_text_query("word_count", lambda c: F.size(m.word_tokens(F.regexp_replace(c, "[^ -~]", " "))), r"len(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]'))")
+_text_query("word_count", lambda c: F.size(m.word_tokens(F.regexp_replace(c, "[^ -~]", " "))).cast("long"), r"len(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]'))")
 
 
 @query(r"SELECT doc_id, unnest(list_transform(regexp_extract_all(text || '[[Category:' || source || '|key]]', '(?i)\[\[category:([^\[\]]*)\]\]', 1), lambda x: split_part(x, '|', 1))) AS category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
@@ -710,12 +710,12 @@ def prior_fallback(spark, d):
     return got.select("mention_id", F.col("wid").cast("long").alias("wid"), F.round("prior", 6).alias("prior"))
 
 
-@query("""SELECT vec_id, list_transform(list_filter(range(10), lambda i: 1 / (1 + exp(-4 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.75), lambda i: CAST(i AS INTEGER)) AS labels FROM embeddings
+@query("""SELECT vec_id, array_to_string(labels, ',') AS labels FROM (SELECT vec_id, list_transform(list_filter(range(10), lambda i: 1 / (1 + exp(-4 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.75), lambda i: CAST(i AS INTEGER)) AS labels FROM embeddings
 WHERE len(list_filter(range(10), lambda i: 1 / (1 + exp(-4 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.75)) > 0 UNION ALL
-SELECT vec_id, [CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER)] FROM embeddings WHERE len(list_filter(range(10), lambda i: 1 / (1 + exp(-4 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.75)) = 0""")
+SELECT vec_id, [CAST(list_position(embedding[1:10], list_max(embedding[1:10])) - 1 AS INTEGER)] FROM embeddings WHERE len(list_filter(range(10), lambda i: 1 / (1 + exp(-4 * CAST(embedding[i + 1] AS DOUBLE))) >= 0.75)) = 0)""")
 def type_threshold(spark, d):
     scores = F.transform(F.slice("v", 1, 10), lambda x: linker.sigmoid(4 * x))
-    return _vectors(spark, d).select("vec_id", linker.type_labels(scores).alias("labels"))
+    return _vectors(spark, d).select("vec_id", F.array_join(linker.type_labels(scores).cast("array<string>"), ",").alias("labels"))
 
 
 @query("""WITH w AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), b AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) % 60 AS item FROM events),
@@ -808,10 +808,73 @@ def baseline_rounds(spark, d):
 def longest_alias(spark, d):
     rows = read_table(spark, d, "aliases").where("alias is not null and entity is not null").select("alias", "entity").distinct()
     best = F.min(F.struct((-F.char_length("alias")).alias("neg"), "alias"))
-    return rows.groupBy("entity").agg(best.alias("b")).select("b.alias", "entity", (-F.col("b.neg")).alias("chars"))
+    return rows.groupBy("entity").agg(best.alias("b")).select("b.alias", "entity", (-F.col("b.neg")).cast("long").alias("chars"))
 
 
 @query()
 def title_sample(spark, d):
     """Seeded sample of 1,000 titles that begin with a letter: the sample is the feature."""
     return read_table(spark, d, "title2id").select("title").where(F.col("title").rlike(r"^\p{L}")).distinct().orderBy(F.xxhash64("title", F.lit(7)), "title").limit(1000)
+
+
+# Comparison of two annotators
+
+
+def _rivals(spark: SparkSession, d: str) -> DataFrame:
+    """final_articles against itself with every third text changed and all tags replaced."""
+    rows = read_table(spark, d, "final_articles").where("text is not null").select(F.col("file_id").cast("string").alias("title"), "text")
+    other = rows.select("title", F.when(F.col("title").cast("long") % 3 == 0, F.concat("text", F.lit(" x"))).otherwise(F.regexp_replace("text", r"\|[a-z_]+\]\]", "|FIRST]]")).alias("text"))
+    return evaluation.comparable(rows, other)
+
+
+@query("SELECT DISTINCT CAST(file_id AS VARCHAR) AS title FROM final_articles WHERE text IS NOT NULL AND file_id % 3 <> 0")
+def comparable_pages(spark, d):
+    return _rivals(spark, d).select("title").distinct()
+
+
+@query()
+def annotator_agreement(spark, d):
+    return evaluation.agreement(evaluation.side_by_side(_rivals(spark, d)))
+
+
+@query()
+def token_mentions(spark, d):
+    rows = read_table(spark, d, "final_articles").select("file_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return linker.first_lines(rows).select("file_id", "line_no", F.explode(linker.token_mentions(F.col("line"))).alias("x")).select("file_id", "line_no", "x.*")
+
+
+@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z]+'))), ' ') AS bag FROM documents WHERE text IS NOT NULL""")
+def document_bag(spark, d):
+    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", "[^ -~]", " ")), F.lit("[a-z]+"), F.lit(0))
+    return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("bag"))
+
+
+@query("SELECT title, count(*) AS n FROM (SELECT title FROM title2id WHERE title IS NOT NULL UNION SELECT source FROM redirect WHERE source IS NOT NULL) GROUP BY title")
+def title_union(spark, d):
+    a = read_table(spark, d, "title2id").select("title").where("title is not null")
+    b = read_table(spark, d, "redirect").select(F.col("source").alias("title")).where("title is not null")
+    return a.unionByName(b).distinct().groupBy("title").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source AS title FROM redirect WHERE source IS NOT NULL INTERSECT SELECT target FROM redirect WHERE target IS NOT NULL")
+def chained_redirects(spark, d):
+    rows = read_table(spark, d, "redirect")
+    return rows.select(F.col("source").alias("title")).where("title is not null").intersect(rows.select("target").where("target is not null"))
+
+
+@query("SELECT DISTINCT target AS title FROM redirect WHERE target IS NOT NULL EXCEPT SELECT source FROM redirect WHERE source IS NOT NULL")
+def final_targets(spark, d):
+    rows = read_table(spark, d, "redirect")
+    return rows.select(F.col("target").alias("title")).where("title is not null").distinct().join(rows.select(F.col("source").alias("title")), "title", "left_anti")
+
+
+@query(f"WITH {C_SQL} SELECT entity, list_sum(list(n)) :: BIGINT AS n, count(*) AS aliases FROM c GROUP BY entity".replace(":: BIGINT", "::BIGINT"))
+def aliases_by_entity(spark, d):
+    return _counts(spark, d).groupBy("entity").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("aliases"))
+
+
+@query("SELECT page_class, count(*) AS pages FROM (SELECT CASE WHEN title LIKE '%(footballer)' THEN 'human' WHEN title LIKE '%(river)' OR title LIKE 'Mount %' THEN 'geo' ELSE 'article' END AS page_class FROM title2id WHERE title IS NOT NULL) GROUP BY page_class")
+def class_totals(spark, d):
+    t = F.col("title")
+    kind = F.when(t.endswith("(footballer)"), "human").when(t.endswith("(river)") | t.startswith("Mount "), "geo").otherwise("article")
+    return read_table(spark, d, "title2id").where("title is not null").select(kind.alias("page_class")).groupBy("page_class").agg(F.count(F.lit(1)).alias("pages"))
