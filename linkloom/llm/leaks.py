@@ -27,6 +27,9 @@ MIN_WORDS = 12
 #: Characters of items that one pass holds; larger sets are taken in blocks, each against all documents.
 BLOCK_CHARS = 16_000_000
 
+#: Characters of documents whose q-grams a task holds at a time.
+AT_ONCE = 2_000_000
+
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -265,12 +268,29 @@ def passages(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.select(F.col(item_id).alias("id"), F.regexp_replace(F.col(text), r"^[^\n]*\n?", "").alias("text")).where("id is not null and text is not null").distinct()
 
 
+def _portions(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """The texts in runs of about AT_ONCE characters; a longer text is a run of its own."""
+    run, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if run and size + n > AT_ONCE:
+            yield run
+            run, size = [], 0
+        run.append(t)
+        size += n
+    if run:
+        yield run
+
+
 def _finder(held, q: int, edits: int, min_words: int):
     @F.pandas_udf("array<struct<item_id:long,characters:int,words:int>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         index = Items(held.value, q, edits, min_words)
         for batch in batches:
-            yield pd.Series([[{"item_id": i, "characters": c, "words": w} for i, c, w in found] for found in find(list(batch), index)])
+            out = []
+            for texts in _portions(list(batch)):
+                out += [[{"item_id": i, "characters": c, "words": w} for i, c, w in found] for found in find(texts, index)]
+            yield pd.Series(out)
 
     return run
 
