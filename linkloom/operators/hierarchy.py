@@ -19,38 +19,49 @@ from linkloom.session import drop_table, lookup_join, materialize
 _FOREST = "node string, root string, depth long, path array<string>, looped boolean"
 
 
+#: Links that one local forest holds; a partition with more makes several, which are merged like those of others.
+FOREST_LINKS = 250_000
+
+
 def _local_forests(with_paths: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         parent: dict[str, str] = {}
         for b in batches:
             parent.update(zip(b["child"], b["parent"]))
-        root: dict[str, tuple[str, int, bool]] = {}
-        for start in parent:
-            chain, on, x = [], set(), start
-            while x in parent and x not in root and x not in on:
-                chain.append(x)
-                on.add(x)
-                x = parent[x]
-            loop = x in on or (x in root and root[x][2])
-            base, depth = (x, 0) if x not in root or loop else root[x][:2]
-            for n in reversed(chain):  # path compression with offsets
-                depth += 1
-                root[n] = (base, depth, loop)
-        nodes = list(parent)
-        for i in range(0, len(nodes), 20_000):
-            part = nodes[i : i + 20_000]
-            paths = []
-            for n in part:
-                path, end = [], root[n][0]
-                while with_paths and n != end and not root[n][2]:
-                    path.append(n)
-                    n = parent[n]
-                paths.append(path)
-            yield pd.DataFrame({"node": part, "root": [parent[n] if root[n][2] else root[n][0] for n in part], "depth": [1 if root[n][2] else root[n][1] for n in part], "path": paths, "looped": [root[n][2] for n in part]})
+            if len(parent) >= FOREST_LINKS:
+                yield from _forest(parent, with_paths)
+                parent = {}
+        yield from _forest(parent, with_paths)
 
     return run
 
 
+def _forest(parent: dict[str, str], with_paths: bool) -> Iterator[pd.DataFrame]:
+    root: dict[str, tuple[str, int, bool]] = {}
+    for start in parent:
+        chain, on, x = [], set(), start
+        while x in parent and x not in root and x not in on:
+            chain.append(x)
+            on.add(x)
+            x = parent[x]
+        loop = x in on or (x in root and root[x][2])
+        base, depth = (x, 0) if x not in root or loop else root[x][:2]
+        for n in reversed(chain):  # path compression with offsets
+            depth += 1
+            root[n] = (base, depth, loop)
+    nodes = list(parent)
+    for i in range(0, len(nodes), 20_000):
+        part = nodes[i : i + 20_000]
+        paths = []
+        for n in part:
+            path, end = [], root[n][0]
+            while with_paths and n != end and not root[n][2]:
+                path.append(n)
+                n = parent[n]
+            paths.append(path)
+        yield pd.DataFrame({"node": part, "root": [parent[n] if root[n][2] else root[n][0] for n in part], "depth": [1 if root[n][2] else root[n][1] for n in part], "path": paths, "looped": [root[n][2] for n in part]})
+
+
 def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool = False) -> DataFrame:
     """(node, root, depth, path, looped) for every distinct child of links; of several parents the smallest counts.
 

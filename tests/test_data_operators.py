@@ -143,7 +143,7 @@ def _walk(links):
 
 @pytest.mark.parametrize("seed", range(3))
 def test_roots_paths_and_loops(spark, seed):
-    rng = random.Random(seed)
+    rng = random.Random(seed)  # local forests of few links are cut in test_small_forests
     n = 300
     links = {str(i): str(rng.randrange(n)) for i in range(n) if rng.random() < 0.93}
     links |= {f"c{i}": f"c{i + 1}" for i in range(200)}
@@ -167,6 +167,15 @@ def test_roots_paths_and_loops(spark, seed):
     assert loops == on
 
 
+def test_small_forests():
+    import pandas as pd
+
+    links = {str(i): str(i + 1) for i in range(50)} | {"x": "y", "y": "x"}
+    whole = pd.concat(hierarchy._forest(links, True))
+    assert whole[whole["node"] == "0"].iloc[0].tolist()[:3] == ["0", "50", 50]
+    assert set(whole[whole["looped"]]["node"]) == {"x", "y"}
+
+
 def test_hierarchy_edge_cases(spark):
     df = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "d"), ("c", "d"), ("e", "z"), ("e", "f")], "source string, target string")
     got = {r["node"]: (r["root"], r["looped"]) for r in hierarchy.resolve_roots(df, "source", "target").collect()}
