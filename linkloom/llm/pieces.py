@@ -23,17 +23,26 @@ SPLIT_START = 1.5
 #: Penalty of a piece that is twice its even share.
 IMBALANCE = 6.0
 
-_KIND = re.compile(r"(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>[\n\r\v\f\x85\u2028\u2029]\s*)|(?P<sentence>(?:[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*))|(?P<clause>[,;:،，、；：]+)|(?P<word>\s+)")
+_KIND = re.compile(r"(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>[\n\r\v\f\x85\u2028\u2029]\s*)|(?P<sentence>(?:[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*))|(?P<clause>[,;:،，、；：]+)")
+#: Where a text has no border at all, only every so many tokens is a place to cut: fewer places, pieces as even.
+INSIDE_STEP = 8
+
+# White space.
+SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
 
 
 def _kinds(text: str) -> np.ndarray:
-    """For each position between characters the best kind of cut there, as an index into NAMES."""
-    kind = np.full(len(text) + 1, len(NAMES) - 1, dtype=np.int8)
+    """For each position between characters the best kind of cut there, as an index into NAMES.
+
+    Cuts lie before white space: a byte-level token often begins with it, and at the end of a piece it would merge.
+    """
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    space = np.isin(codes, SPACES)
+    kind = np.full(len(text) + 1, NAMES.index("inside"), dtype=np.int8)
+    kind[:-1][space & ~np.concatenate([[False], space[:-1]])] = NAMES.index("word")
     for m in _KIND.finditer(text):
-        k = NAMES.index(m.lastgroup)
-        # before the white space: a byte-level token often begins with it, and at the end of a piece it would merge
         a = m.start() + len(m[0].rstrip())
-        kind[a] = min(kind[a], k)
+        kind[a] = min(kind[a], NAMES.index(m.lastgroup))
     return kind
 
 
@@ -64,7 +73,7 @@ def cut_positions(n: int, kinds: np.ndarray, allowed: np.ndarray, limit: int, ov
         if lo < j:
             prev = points[lo:j]
             c = cost[lo:j] + IMBALANCE * ((p - prev + overlap - share) / share) ** 2
-            k = int(np.argmin(c))
+            k = int(c.argmin())
             if c[k] < best:
                 best, back[j] = c[k], lo + k
         cost[j] = best + (weight[p] if p < n else 0.0)
@@ -77,6 +86,10 @@ def cut_positions(n: int, kinds: np.ndarray, allowed: np.ndarray, limit: int, ov
     return cuts[::-1]
 
 
+def _parted(text: str, at: int) -> bool:
+    return at == 0 or at == len(text) or (text[at].isspace() and not text[at - 1].isspace())
+
+
 def split_text(text: str, tokenizer: Tokenizer, limit: int = MAX_TOKENS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
     """(start_char, end_char, tokens, kind of the cut at its end) of each piece; one piece if the text is within limit.
 
@@ -105,8 +118,9 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int = MAX_TOKENS, overlap
     for room in (limit, limit - 8, limit - 40, limit - limit // 8, limit - limit // 4, limit - limit // 2):
         if room <= overlap * 2:
             break
-        for level in range(2, len(NAMES) + 1):
-            cuts = cut_positions(n, kinds, both & (kinds < level), room, overlap, extra)
+        sparse = np.arange(n + 1) % INSIDE_STEP == 0
+        for places in [*(kinds < level for level in range(2, len(NAMES))), (kinds < len(NAMES) - 1) | sparse, True]:
+            cuts = cut_positions(n, kinds, both & places, room, overlap, extra)
             if cuts is not None:
                 break
         else:
@@ -116,7 +130,8 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int = MAX_TOKENS, overlap
         for k, (a, b) in enumerate(zip(edges, edges[1:])):
             first = a - overlap if k else 0
             pieces.append((int(char_at[first]), int(char_at[b]), b - first, NAMES[kinds[b]] if b < n else "end"))
-        if all(tokenizer.count(text[s:e]) <= limit for s, e, _, _ in pieces):
+        # between a sign and white space the tokenizer cuts anyway: such a piece has the tokens counted already
+        if all((_parted(text, s) and _parted(text, e)) or tokenizer.count(text[s:e]) <= limit for s, e, _, _ in pieces):
             return pieces
     return pieces
 
