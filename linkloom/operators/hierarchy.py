@@ -73,16 +73,17 @@ def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool =
     edges = edges.groupBy("child").agg(F.min("parent").alias("parent"))
     open_ = materialize(edges.mapInPandas(_local_forests(with_paths), _FOREST), "forest")
     none = open_.limit(0)
-    ended, before = none, None
+    ended, closed, before = none, 0, None
     no_path = F.array().cast("array<string>")
     while True:
-        counts = open_.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("looped")).alias("live")).first()
+        # rows by weight: a path counts as so many more
+        counts = open_.agg((F.count(F.lit(1)) + F.coalesce(F.sum(F.size("path")), F.lit(0))).alias("rows"), F.count_if(~F.col("looped")).alias("live")).first()
         if not counts["live"] or counts["live"] == before:
             break
         before = counts["live"]
         up = open_.withColumn("over", F.lit(False)).unionByName(ended.withColumn("over", F.lit(True)))
         up = up.select(F.col("node").alias("root"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "path", "looped", "over")])
-        found = lookup_join(open_, up, ["root"])
+        found = lookup_join(open_, up, ["root"], right_rows=counts["rows"] + closed, written=True)
         top = F.col("up_looped").isNull()  # root is nobody's child
         merged = found.select(
             "node",
@@ -93,6 +94,7 @@ def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool =
             (top | F.coalesce("up_over", F.lit(False))).alias("over"),
         )
         merged = materialize(merged, "forest")
+        closed += counts["rows"]
         ended = ended.unionByName(merged.where("over and not looped").drop("over"))
         open_ = merged.where("not over or looped").drop("over")
     loops = open_.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), no_path.alias("path"), F.lit(True).alias("looped"))

@@ -84,11 +84,11 @@ def fits_broadcast(rows: int, schema: T.StructType, limit: int = BROADCAST_BYTES
     return rows * row_bytes(schema) <= limit
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", right_rows: int | None = None, salts: int = 32) -> DataFrame:
+def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "left", right_rows: int | None = None, salts: int = 32, written: bool = False) -> DataFrame:
     """Join left to a lookup side, whatever the skew of left's keys.
 
     The lookup side is written and counted (unless right_rows tells its rows), and broadcast if it stays within
-    BROADCAST_BYTES. Otherwise left is written too and both sides are shuffled on the key plus a salt: keys that hold
+    BROADCAST_BYTES. Otherwise left is written too (unless it is a written table already) and both sides are shuffled on the key plus a salt: keys that hold
     more than 1/256 of left (fewer than 256 of them, so their list may be broadcast) are spread over `salts` tasks, and
     only their right rows are copied; all other keys keep salt 0. Null keys match nothing.
     """
@@ -97,7 +97,7 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
         right_rows = right.count()
     if fits_broadcast(right_rows, right.schema):
         return left.join(F.broadcast(right), on, how)
-    left = materialize(left, "probe")
+    left = left if written else materialize(left, "probe")
     keyed = left.where(" and ".join(f"`{k}` is not null" for k in on))
     heavy = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(left.count() // 256, 1000))
     heavy = heavy.select(*on, F.lit(True).alias("__heavy"))
