@@ -37,20 +37,20 @@ def first_pages(pages: DataFrame) -> DataFrame:
 
 def read_page_files(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     """(path, text) of the text files below a folder, at any depth."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("wholetext", "true").text(path)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(path, wholetext=True)
     return raw.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_dictionary(spark: SparkSession, path: str, value: str = "string") -> DataFrame:
     """(key, value) of a JSON object {key: value}; value is the type of the values, as in 'long' or 'array<string>'."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", T.MapType(T.StringType(), T._parse_datatype_string(value)))
     return raw.select(F.explode(parsed).alias("key", "value"))
 
 
 def read_counts(spark: SparkSession, path: str, keys: str = "string") -> DataFrame:
     """(key, item, n) of a JSON object {key: {item: n}}; keys='long' reads keys and items as numbers."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     nested = raw.select(F.explode(F.from_json("value", "map<string,map<string,bigint>>")).alias("key", "items"))
     return nested.select(F.col("key").cast(keys).alias("key"), F.explode("items").alias("item", "n")).withColumn("item", F.col("item").cast(keys))
 

@@ -38,7 +38,7 @@ def corpus_blocks(df: DataFrame, name: Column, text: str = "text", keep: list[st
 
 def write_corpus(df: DataFrame, name: Column, path: str, text: str = "text") -> None:
     """The corpus as text files, documents in the order of their names across files."""
-    corpus_blocks(df, name, text).repartitionByRange("name").sortWithinPartitions("name").select(F.regexp_replace("block", r"\n$", "")).write.mode("overwrite").text(path)  # the writer ends each block's last line
+    corpus_blocks(df, name, text).repartitionByRange("name").sortWithinPartitions("name").select(F.regexp_replace("block", r"\n\z", "")).write.mode("overwrite").text(path)  # the writer ends each block's last line
 
 
 def publish(spark: SparkSession, source: str, target: str) -> None:

@@ -190,7 +190,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "public")).count() == 2
     assert sinks.archive(str(tmp_path / "corpus"), str(tmp_path / "all")).endswith("all.zip")
     assert sinks.still_to_do(df, df.where("page_id = 1"), "page_id").count() == 1
-    (tmp_path / "d.json").write_text(json.dumps({"1": {"2": 3}}))
+    (tmp_path / "d.json").write_text(json.dumps({"1": {"2": 3}}, indent=1))
     assert [tuple(r) for r in dump.read_counts(spark, str(tmp_path / "d.json"), "long").collect()] == [(1, 2, 3)]
     (tmp_path / "e.json").write_text(json.dumps({"a": "b"}))
     assert [tuple(r) for r in dump.read_dictionary(spark, str(tmp_path / "e.json")).collect()] == [("a", "b")]
