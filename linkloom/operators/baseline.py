@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import markup as m
 from linkloom.langpack import MONTHS, WEEKDAYS
 from linkloom.operators.dictionary import page_links
-from linkloom.session import lookup_join
+from linkloom.session import lookup_join, spread
 
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 Found = tuple[int, int, str, str, str]  # start, end, entity, alias, round
@@ -105,9 +105,9 @@ def annotate(pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "
         return pairs.groupBy(page).agg(F.array_sort(F.collect_set(F.struct("alias", "entity"))).alias(name))
 
     titles = near.groupBy(page).agg(F.array_sort(F.collect_set(F.struct(F.col("entity").alias("alias"), "entity"))).alias("second"))
-    rows = own.select(page, "__plain")
+    rows = spread(own.select(page, "__plain"))
     for side in (gather(linked, "first"), titles, gather(near.select(page, "entity"), "third")):
-        rows = rows.join(side, page, "left")
+        rows = lookup_join(rows, side, [page])
 
     @F.pandas_udf("text string, mentions array<struct<start:int,end:int,entity:string,alias:string,tag:string>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

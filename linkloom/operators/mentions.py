@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from linkloom.functions import markup as m
 from linkloom.langpack import ENGLISH, LanguagePack
 from linkloom.operators.spans import free_spans
-from linkloom.session import lookup_join
+from linkloom.session import lookup_join, spread
 
 # Labels of the entity recogniser that may stand last in a two-part link.
 NER_TAGS = ("PERSON", "PER", "LOCATION", "LOC", "ORGANIZATION", "ORG", "MISC", "DATE", "TIME", "DURATION", "SET", "MONEY", "PERCENT", "ORDINAL", "NUMBER", "CITY", "COUNTRY", "STATE_OR_PROVINCE", "NATIONALITY", "RELIGION", "TITLE", "IDEOLOGY", "CRIMINAL_CHARGE", "CAUSE_OF_DEATH", "URL", "EMAIL", "HANDLE")
@@ -196,7 +196,7 @@ def find_mentions(pages: DataFrame, counts: DataFrame, redirects: DataFrame, pag
     names = counts.select("entity", "alias").unionByName(redirects.select(F.col("target").alias("entity"), F.regexp_replace("source", "'s$", "").alias("alias"))).distinct()
     of = names.groupBy("entity").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     given = lookup_join(wanted, of, ["entity"], "inner").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("entity", "aliases"))).alias("names"))
-    rows = lookup_join(pages.select(page, title, text), given, [page])
+    rows = lookup_join(spread(pages.select(page, title, text)), given, [page])
 
     @F.pandas_udf(f"texts array<string>, mentions array<{MENTION}>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -10,8 +10,9 @@ from linkloom.functions import markup as m
 from linkloom.functions import rewriting, viewer
 from linkloom.langpack import ENGLISH
 from linkloom.operators import baseline, cascade, coref, dictionary, evaluation, linker, mentions, metrics, routing, spans
-from linkloom.session import read_table
+from linkloom.session import read_table, scratch_path
 from linkloom.sources import dump, sinks
+from linkloom.streaming import ingest
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -348,17 +349,17 @@ def alias_trim(spark, d):
     return read_table(spark, d, "aliases").select("alias_row_id", m.alias_trim(F.col("alias")).alias("alias"))
 
 
-@query()
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\{lang\|[^|{}]*\|([^{}]*)\}\}', '\1', 'g'), '\{\{convert\|([^|{}]*)\|([^|{}]*)\|[^{}]*\}\}', '\1 \2', 'g'), '\{\{quote\|([^{}|]*)\|[^{}]*\}\}', '"\1"', 'g'), '\{\{[^{}]*\}\}', '', 'g') AS out FROM documents WHERE text IS NOT NULL""")
 def templates_rewrite(spark, d):
     return _each(spark, d, rewriting.rewrite_templates_column(F.col("text")))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(text, '(?i)\[\[\s*(file|image)\s*:([^\[\]]|\[\[[^\[\]]*\]\])*\]\]', '', 'g') AS out FROM documents WHERE text IS NOT NULL")
 def files_removed(spark, d):
     return _each(spark, d, rewriting.drop_files_column(F.col("text")))
 
 
-@query()
+@query(r"SELECT doc_id, regexp_replace(text, '\{\|(?s:.*?)\|\}', '', 'g') AS out FROM documents WHERE text IS NOT NULL")
 def tables_removed(spark, d):
     return _each(spark, d, rewriting.drop_tables_column(F.col("text")))
 
@@ -383,12 +384,12 @@ def strip_page(spark, d):
     return _docs(spark, d).select("doc_id", rewriting.strip_page(F.col("text"), F.coalesce("title", F.lit(""))).alias("out"))
 
 
-@query()
+@query(r"SELECT file_id, regexp_replace(replace(text, '[[' || title || ']]', title), '\[\[' || regexp_escape(title) || '\|([^\[\]]*)\]\]', '\1', 'g') AS out FROM final_articles")
 def own_links_removed(spark, d):
     return read_table(spark, d, "final_articles").select("file_id", m.drop_own_links(F.col("text"), F.col("title")).alias("out"))
 
 
-@query()
+@query(r"SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN starts_with(x, '=') THEN regexp_replace(x, '\[\[([^\[\]]*\|)?([^\[\]|]*)\]\]', '\2', 'g') ELSE x END), chr(10)) AS out FROM documents WHERE text IS NOT NULL")
 def headers_flattened(spark, d):
     return _each(spark, d, m.flatten_headers(F.col("text")))
 
@@ -414,7 +415,10 @@ def annotation_parse(spark, d):
     return _annotations(spark, d)
 
 
-@query()
+@query(f"""WITH t AS (SELECT file_id, string_split_regex(text, '{LINK_SQL}') AS gaps, list_transform(regexp_extract_all(text, '{LINK_SQL}', 1), lambda b: string_split(b, '|')) AS links FROM final_articles WHERE text IS NOT NULL),
+a AS (SELECT file_id, list_transform(gaps, lambda g: length(g)) AS g, list_transform(links, lambda p: CASE WHEN len(p) > 1 THEN p[-2] ELSE p[1] END) AS alias, links FROM t),
+u AS (SELECT file_id, g, alias, links, unnest(range(1, len(links) + 1)) AS k FROM a)
+SELECT file_id, CAST(list_sum(g[1:k]) + coalesce(list_sum(list_transform(alias[1:k - 1], lambda x: length(x))), 0) AS INTEGER) AS start, CAST(length(alias[k]) AS INTEGER) AS len, CASE WHEN len(links[k]) > 2 THEN links[k][1] END AS entity, alias[k] AS alias, CASE WHEN len(links[k]) > 1 THEN links[k][-1] END AS tag FROM u""")
 def annotation_spans(spark, d):
     return read_table(spark, d, "final_articles").select("file_id", F.explode(mentions.annotation_spans(F.col("text"))).alias("s")).select("file_id", "s.*")
 
@@ -745,11 +749,12 @@ def posterior_loss(spark, d):
     return p.agg(F.round(F.avg(linker.cross_entropy(F.col("posterior"))), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]') AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_concat(t[1:4], ['_'])[1:30], ' ') AS "left", array_to_string(list_reverse(t[3:])[1:30], ' ') AS "right" FROM t WHERE len(t) > 35""")
 def token_contexts(spark, d):
-    rows = _docs(spark, d).select("doc_id", m.word_tokens(F.col("text")).alias("t")).where(F.size("t") > 5)
+    rows = _docs(spark, d).select("doc_id", m.word_tokens(F.regexp_replace("text", "[^ -~]", " ")).alias("t")).where(F.size("t") > 35)
     c = linker.contexts(F.col("t"), F.lit(2), F.lit(3))
-    return rows.select("doc_id", linker.pad(c["left"], 30, F.lit("_")).alias("left"), linker.pad(c["right"], 30, F.lit("_")).alias("right"))
+    return rows.select("doc_id", F.array_join(linker.pad(c["left"], 5, F.lit("_")), " ").alias("left"), F.array_join(linker.pad(c["right"], 30, F.lit("_")), " ").alias("right"))
 
 
 ACC_SQL = f"""WITH {V_SQL}, {FUSE_SQL}, b AS (SELECT mention_id, arg_max(wid, struct_pack(a := round(prior, 9), b := -wid)) AS prior, max(prior) AS prior_p, arg_max(wid, struct_pack(a := round(posterior, 9), b := -wid)) AS context, max(posterior) AS context_p, arg_max(wid, struct_pack(a := round(joint, 9), b := -wid)) AS joint, max(joint) AS joint_p FROM z GROUP BY mention_id),
@@ -878,3 +883,24 @@ def class_totals(spark, d):
     t = F.col("title")
     kind = F.when(t.endswith("(footballer)"), "human").when(t.endswith("(river)") | t.startswith("Mount "), "geo").otherwise("article")
     return read_table(spark, d, "title2id").where("title is not null").select(kind.alias("page_class")).groupBy("page_class").agg(F.count(F.lit(1)).alias("pages"))
+
+
+# Streams
+
+
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    schema = read_table(spark, d, table).schema
+    return spark.readStream.schema(schema).parquet(f"{d}/{table}.parque[t]")  # a pattern, as the table may be one file
+
+
+@query(f"WITH {L_SQL} SELECT alias, entity, count(*) AS n FROM l WHERE NOT regexp_matches(lower(entity), '^(file:|image:|list of)') GROUP BY ALL")
+def stream_alias_counts(spark, d):
+    counts = ingest.alias_counts(_stream(spark, d, "documents"))
+    return ingest.run_to_files(counts, scratch_path(spark, "stream"), scratch_path(spark, "state"))
+
+
+@query("SELECT strftime(committed_at, '%Y-%m-%d') AS day, count(*) AS pages FROM final_articles WHERE committed_at IS NOT NULL GROUP BY day")
+def stream_daily_revisions(spark, d):
+    daily = ingest.revisions_per_window(_stream(spark, d, "final_articles"), "committed_at")
+    out = ingest.run_to_files(daily, scratch_path(spark, "stream"), scratch_path(spark, "state"))
+    return out.select(F.date_format("from", "yyyy-MM-dd").alias("day"), "pages")

@@ -14,23 +14,25 @@ from pyspark.sql import types as T
 #: A lookup side is broadcast only if its rows times its row width stay under this; beyond it the join is shuffled and salted.
 BROADCAST_BYTES = 16 << 20
 
-_own_dirs: dict[str, str] = {}
+#: The run's own folder below the scratch root, removed when the driver ends if it can be reached as a local path.
+_RUN = f"linkloom-{uuid.uuid4().hex}"
+_roots: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
     """Folder all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="linkloom-")
-        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
-    return f"file://{_own_dirs[app]}"
+    root = (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
+    key = root or spark.sparkContext.applicationId
+    if key not in _roots:
+        _roots[key] = root or f"file://{tempfile.mkdtemp(prefix='linkloom-')}"
+        local = _roots[key].removeprefix("file://") if _roots[key].startswith(("file://", "/")) else None
+        if local:
+            atexit.register(shutil.rmtree, f"{local}/{_RUN}" if root else local, ignore_errors=True)
+    return _roots[key]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/linkloom/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{_RUN}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -40,15 +42,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a materialized table that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/linkloom/" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,7 +59,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if len(df.inputFiles()) < cores and size < cores * (4 << 20) else df
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores and size < cores * (4 << 20) else df
 
 
 def distinct_over(df: DataFrame) -> DataFrame:

@@ -36,6 +36,17 @@ def once_per_key(pages: DataFrame, key: str, at: str, late: str = "7 days") -> D
     return pages.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late).dropDuplicatesWithinWatermark([key])
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Process all that is there; the whole result of the last batch, as files that a later batch replaces."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    query = stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str):
     """Process all that is there into an in-memory table, for tests and small summaries."""
     return stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
