@@ -46,5 +46,5 @@ def marked_terms(df: DataFrame, term: str, record: str, count: str | None = None
     base = whole_rows_once(df) if once else df
     postings = materialize(term_postings(base, term, record, count), "postings")
     total = record_total(postings)
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") >= F.lit(common_share * total), "common")
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") / F.lit(max(total, 1)) >= common_share, "common")  # a quotient of an exact share equals it
     return term_frequencies(postings).withColumn("mark", mark)
