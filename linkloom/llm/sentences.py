@@ -26,6 +26,8 @@ from linkloom.session import distinct_over
 
 #: Documents the model is trained on, drawn by a hash of their text. A bound on the sample only; all rows are tagged.
 TRAIN_DOCUMENTS = 2_000
+#: Longer documents are not drawn, which bounds what the driver receives.
+TRAIN_CHARS = 20_000
 EPOCHS = 4
 
 # Abbreviations that stand before a name, number or explanation and so end no sentence.
@@ -400,8 +402,8 @@ def ends_unspaced(line: str, tagger: Tagger) -> list[int]:
 
 
 def fit(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS, epochs: int = EPOCHS) -> Tagger:
-    """Train on at most `documents` distinct texts, those whose hash is lowest."""
-    sample = df.select(F.col(text).alias("text")).where("text is not null").distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
+    """Train on at most `documents` distinct texts of at most TRAIN_CHARS characters, those whose hash is lowest."""
+    sample = df.select(F.col(text).alias("text")).where(F.char_length("text") <= TRAIN_CHARS).distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
     return train([r["text"] for r in sample.collect()], epochs)
 
 
