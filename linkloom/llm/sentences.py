@@ -29,6 +29,8 @@ TRAIN_DOCUMENTS = 2_000
 #: Longer documents are not drawn, which bounds what the driver receives.
 TRAIN_CHARS = 20_000
 EPOCHS = 4
+#: Scores that a tagger keeps by their facts.
+KNOWN_SCORES = 200_000
 
 # Abbreviations that stand before a name, number or explanation and so end no sentence.
 NEVER = set(
@@ -57,7 +59,7 @@ WIDE = set("。！？…｡")
 LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 ANNOTATION = re.compile(r"\[\[[^\[\]\n]*\]\]")
 ANCHOR = re.compile(r"""[.!?…。！？।॥؟۔｡]+""")
-WORD_BEFORE = re.compile(r"[^\s(\[«„“‘”»\"「『（,;:/—–]*$")
+WORD_ENDS = set("([«„“‘”»\"「『（,;:/—–")
 NEXT_WORD = re.compile(r"[\w.\-’']+")
 LIST_LINE = re.compile(r"\s*(?:[*#•;:]|[-–]\s)")
 THAI = re.compile(r"[฀-๿]")
@@ -112,12 +114,36 @@ def _pairs(s: str) -> dict[int, int]:
 
 
 class Spot:
-    """A place where a sentence may end: `end` is the position after its last character."""
-
-    __slots__ = ("end", "features", "edge", "silver")
-
-    def __init__(self, end: int, features: list[str], edge: str, silver: bool | None):
-        self.end, self.features, self.edge, self.silver = end, features, edge, silver
+    """A place where a sentence may end: `end` is the position after its last character, facts what is known around it."""
+
+    __slots__ = ("end", "facts", "edge", "silver")
+
+    def __init__(self, end: int, facts: tuple, edge: str, silver: bool | None):
+        self.end, self.facts, self.edge, self.silver = end, facts, edge, silver
+
+    @property
+    def features(self) -> list[str]:
+        return _features(self.facts)
+
+
+def _features(facts: tuple) -> list[str]:
+    """Names of the model's features of a place; facts without a stop's details are those of a space or a character."""
+    if len(facts) != 14:
+        return list(facts)
+    inside, stop, word, low, kind, gap, spaced, quoted, opens, said, goes_on, ordinal, devanagari, tail = facts
+    return [
+        "bias",
+        f"in:{inside}",
+        f"a:{stop}:{word}:{kind}:{gap}",
+        f"b:{stop}:{quoted}:{kind}:{opens in ('first', 'after')}",
+        f"c:{stop}:{quoted}:{opens}:{said}:{goes_on}:{kind}",
+        f"d:{ordinal}:{word}",
+        f"e:{stop}:{spaced}:{kind}",
+        f"f:{low}:{kind}" if low else f"f:{word}",
+        f"g:{word}:{gap}:{kind}:{tail}",
+        f"h:{devanagari}:{stop}",
+        f"all:{stop}:{word}:{quoted}:{opens}:{kind}:{gap}:{spaced}:{said}:{goes_on}:{inside}:{ordinal}:{devanagari}:{tail or gap}",
+    ]
 
 
 def _next_kind(s: str, j: int, n: int) -> tuple[str, int]:
@@ -147,7 +173,10 @@ def _next_kind(s: str, j: int, n: int) -> tuple[str, int]:
 
 def _word_kind(s: str, start: int) -> tuple[str, str]:
     """Kind and lower-cased form of the word before a full stop at start."""
-    word = WORD_BEFORE.search(s, max(0, start - 40), start).group()
+    begin, least = start, max(0, start - 40)
+    while begin > least and s[begin - 1] not in WORD_ENDS and not s[begin - 1].isspace():
+        begin -= 1
+    word = s[begin:start]
     low = word.lower().strip("'’")
     if not word:
         return ("closed" if start and s[start - 1] in "”»)）」』\"“" else "none"), ""
@@ -198,7 +227,7 @@ def spots(line: str, label: bool = False) -> list[Spot]:
         if thai:
             near = s[i - 1].isdigit() or s[j].isdigit()
             inside = covered(i, i + 1)
-            f = [f"th:{near}:{inside}", f"th1:{s[i - 1]}|{s[j]}"]
+            f = (f"th:{near}:{inside}", f"th1:{s[i - 1]}|{s[j]}")
             found.append(Spot(i, f, "thai", not near and not inside if label else None))
             continue
         end, closed = j, []
@@ -234,19 +263,7 @@ def spots(line: str, label: bool = False) -> list[Spot]:
         ordinal = word == "number" and nxt in AFTER_ORDINAL
         devanagari = i > 0 and "ऀ" <= s[i - 1] <= "ॿ"
         tail = s[at + 1 : at + 2]
-        f = [
-            "bias",
-            f"in:{inside}",
-            f"a:{stop_kind}:{word}:{kind}:{gap}",
-            f"b:{stop_kind}:{quoted}:{kind}:{opens in ('first', 'after')}",
-            f"c:{stop_kind}:{quoted}:{opens}:{said}:{goes_on}:{kind}",
-            f"d:{ordinal}:{word}",
-            f"e:{stop_kind}:{spaced}:{kind}",
-            f"f:{low}:{kind}" if word in ("never", "maybe", "initial") else f"f:{word}",
-            f"g:{word}:{gap}:{kind}:{tail.islower()}",
-            f"h:{devanagari}:{stop_kind}",
-            f"all:{stop_kind}:{word}:{quoted}:{opens}:{kind}:{gap}:{spaced}:{said}:{goes_on}:{inside}:{ordinal}:{devanagari}:{tail.islower() or gap}",
-        ]
+        f = (inside, stop_kind, word, low if word in ("never", "maybe", "initial") else "", kind, gap, spaced, quoted, opens, said, goes_on, ordinal, devanagari, tail.islower())
         spot = Spot(end, f, opens or "none", None)
         if label:
             spot.silver = silver(inside, stop_kind, word, kind, gap, spaced, quoted, opens, said, goes_on, ordinal, devanagari, tail)
@@ -288,24 +305,41 @@ class Tagger:
 
     def __init__(self, weights: dict[str, float] | None = None):
         self.weights = weights or {}
+        self.known: dict | None = {}  # scores by facts; None while the weights still change
 
-    def decode(self, chain: list[Spot]) -> list[int]:
+    def _emit(self, facts: tuple) -> float:
         w = self.weights.get
-        score, back = [0.0, -1e9], []
-        for k, spot in enumerate(chain):
-            emit = sum(w(f, 0.0) for f in spot.features)
-            new, ptr = [0.0, 0.0], [0, 0]
-            for tag in (0, 1):
-                best = [score[p] + (w(f"t:{p}{tag}", 0.0) + w(f"o:{p}{tag}:{spot.edge}", 0.0) if k else 0.0) for p in (0, 1)]
-                ptr[tag] = int(best[1] > best[0])
-                new[tag] = best[ptr[tag]] + (emit if tag else 0.0)
-            back.append(ptr)
-            score = new
-            if not k:
-                back[-1] = [0, 0]
+        return sum(w(f, 0.0) for f in _features(facts))
+
+    def _edges(self, edge: str) -> tuple[float, float, float, float]:
+        w = self.weights.get
+        return tuple(w(f"t:{p}{t}", 0.0) + w(f"o:{p}{t}:{edge}", 0.0) for t in (0, 1) for p in (0, 1))
+
+    def decode(self, chain: list[Spot]) -> list[int]:
+        """The best tags by Viterbi's recursion; a tie keeps the tag 0."""
         if not chain:
             return []
-        tag, tags = int(score[1] > score[0]), []
+        known, back, low, high = self.known, [], 0.0, 0.0
+        if known and len(known) > KNOWN_SCORES:
+            known.clear()
+        for k, spot in enumerate(chain):
+            if known is None:
+                emit, edges = self._emit(spot.facts), self._edges(spot.edge)
+            else:
+                emit = known.get(spot.facts)
+                if emit is None:
+                    emit = known[spot.facts] = self._emit(spot.facts)
+                edges = known.get(spot.edge)
+                if edges is None:
+                    edges = known[spot.edge] = self._edges(spot.edge)
+            if not k:
+                low, high = 0.0, emit
+                back.append((0, 0))
+                continue
+            a, b, c, d = low + edges[0], high + edges[1], low + edges[2], high + edges[3]
+            back.append((int(b > a), int(d > c)))
+            low, high = (b if b > a else a), (d if d > c else c) + emit
+        tag, tags = int(high > low), []
         for k in range(len(chain) - 1, -1, -1):
             tags.append(tag)
             tag = back[k][tag]
@@ -314,6 +348,7 @@ class Tagger:
     @classmethod
     def train(cls, chains: list[tuple[list[Spot], list[int]]], epochs: int = EPOCHS) -> Tagger:
         tagger = cls()
+        tagger.known = None
         total: dict[str, float] = defaultdict(float)
         step = 1
 
@@ -334,6 +369,7 @@ class Tagger:
                             bump(f"t:{name}", by)
                             bump(f"o:{name}:{spot.edge}", by)
         tagger.weights = {k: v - total[k] / step for k, v in tagger.weights.items() if v or total[k]}
+        tagger.known = {}
         return tagger
 
 
@@ -371,7 +407,7 @@ def _unspaced_chain(s: str) -> list[Spot]:
     out = []
     for i in range(1, len(s)):
         a = i + 3  # boundary lies before padded[a]
-        out.append(Spot(i, ["bias", f"l2{padded[a - 2 : a]}", f"l3{padded[a - 3 : a]}", f"r2{padded[a : a + 2]}", f"r3{padded[a : a + 3]}", f"m{padded[a - 1 : a + 1]}", f"M{padded[a - 2 : a + 2]}"], "char", None))
+        out.append(Spot(i, ("bias", f"l2{padded[a - 2 : a]}", f"l3{padded[a - 3 : a]}", f"r2{padded[a : a + 2]}", f"r3{padded[a : a + 3]}", f"m{padded[a - 1 : a + 1]}", f"M{padded[a - 2 : a + 2]}"), "char", None))
     return out
 
 
