@@ -81,9 +81,10 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     """Join left to a lookup side, whatever the skew of left's keys.
 
     The lookup side is written and counted (unless right_rows tells its rows), and broadcast if it stays within
-    BROADCAST_BYTES. Otherwise left is written too (unless it is a written table already) and both sides are shuffled on the key plus a salt: keys that hold
-    more than 1/256 of left (fewer than 256 of them, so their list may be broadcast) are spread over `salts` tasks, and
-    only their right rows are copied; all other keys keep salt 0. Null keys match nothing.
+    BROADCAST_BYTES. Otherwise left is written too (unless it is a written table already), and both sides are shuffled
+    on the key. Keys that hold more than 1/256 of left (fewer than 256 of them, so the driver may hold and broadcast
+    their list) get a salt: they are spread over `salts` tasks, and only their right rows are copied; all other keys
+    have salt 0. Null keys match nothing.
     """
     if right_rows is None:
         right = materialize(right, "lookup")
@@ -93,7 +94,11 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "le
     left = left if written else materialize(left, "probe")
     keyed = left.where(" and ".join(f"`{k}` is not null" for k in on))
     heavy = keyed.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(left.count() // 256, 1000))
-    heavy = heavy.select(*on, F.lit(True).alias("__heavy"))
+    rows = heavy.select(*on, F.lit(True).alias("__heavy")).collect()
+    if not rows:
+        return left.join(right, on, how)
+    kinds = T.StructType([*(T.StructField(k, left.schema[k].dataType) for k in on), T.StructField("__heavy", T.BooleanType())])
+    heavy = left.sparkSession.createDataFrame([tuple(r) for r in rows], kinds)
     # a hash of the row, not a running number: a task that is run again sends each row where it went before
     spread = F.pmod(F.xxhash64(*[F.col(f"`{f.name}`") for f in left.schema if not isinstance(f.dataType, T.MapType)]), F.lit(salts)).cast("int")
     tagged = left.withColumn("__spread", spread).join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy"), F.col("__spread")).otherwise(F.lit(0))).drop("__heavy", "__spread")
