@@ -10,7 +10,7 @@ from linkloom.functions import markup as m
 from linkloom.functions import rewriting, viewer
 from linkloom.langpack import ENGLISH
 from linkloom.operators import baseline, cascade, coref, dictionary, evaluation, linker, mentions, metrics, routing, spans
-from linkloom.session import read_table, scratch_path
+from linkloom.session import lookup_join, read_table, scratch_path, spread
 from linkloom.sources import dump, sinks
 from linkloom.streaming import ingest
 
@@ -663,11 +663,11 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions (vectors divisible by 25) scored against the candidates (vectors of the same label among ids below 200)."""
+    """Mentions (vectors divisible by 25) scored against all vectors of the same label; the few labels are salted if need be."""
     v = _vectors(spark, d)
     mine = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("mention_id"), "label", F.col("v").alias("context"))
-    given = v.where("vec_id < 200").select(F.col("vec_id").alias("wid"), "label", F.col("v").alias("vector"))
-    return mine.join(given, "label").select("mention_id", "wid", linker.dot(F.col("context"), F.col("vector")).alias("score"), (1 + F.col("wid") % 5).cast("double").alias("prior"))
+    given = spread(v).select(F.col("vec_id").alias("wid"), "label", F.col("v").alias("vector"))
+    return lookup_join(given, mine, ["label"], "inner").select("mention_id", "wid", linker.dot(F.col("context"), F.col("vector")).alias("score"), (1 + F.col("wid") % 5).cast("double").alias("prior"))
 
 
 V_SQL = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
@@ -725,8 +725,8 @@ def type_threshold(spark, d):
 @query("""WITH w AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), b AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) % 60 AS item FROM events),
 x AS (SELECT b.user_id, unnest(range(64)) AS d, unnest(w.v) AS y FROM b JOIN w ON b.item = w.item) SELECT user_id, CAST(d AS INTEGER) AS d, round(greatest(sum(y), 0.0), 6) AS value FROM x GROUP BY ALL""")
 def coherence_relu(spark, d):
-    weights = _vectors(spark, d).where("vec_id < 50").select(F.col("vec_id").alias("item"), F.col("v").alias("vector"))
-    bags = _events(spark, d).select("user_id", (F.col("v") % 60).alias("item"))
+    weights = _vectors(spark, d).select(F.col("vec_id").alias("item"), F.col("v").alias("vector"))
+    bags = _events(spark, d).select("user_id", F.col("v").alias("item"))
     return linker.coherence(bags, weights, "user_id").select("user_id", "d", F.round("value", 6).alias("value"))
 
 
