@@ -287,7 +287,7 @@ _text_query("files_removed_simple", m.drop_files, r"regexp_replace(text, '(?i)\[
 _text_query("links_unwrapped", m.unlink, r"regexp_replace(text, '\[\[([^\[\]]*\|)?([^\[\]|]*)\]\]', '\2', 'g')")
 _text_query("intro_cut", m.intro, "split_part(text, '==', 1)")
 _text_query("punctuation_once", m.punctuation_once, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\(( ?[;,] ?)*\) ?', '', 'g'), '\(( ?[;,] ?)+', '(', 'g'), ' ,', ',', 'g'), ' \)', ')', 'g'), ',,+ ', ', ', 'g'), ',\)', ')', 'g'), ';\)', ')', 'g')")
-_text_query("word_count", lambda c: F.size(m.word_tokens(F.regexp_replace(c, "[^ -~]", " "))).cast("long"), r"len(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]'))")
+_text_query("word_count", lambda c: F.size(m.word_tokens(c)).cast("long"), r"len(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]'))")
 
 
 @query(r"SELECT doc_id, unnest(list_transform(regexp_extract_all(text || '[[Category:' || source || '|key]]', '(?i)\[\[category:([^\[\]]*)\]\]', 1), lambda x: split_part(x, '|', 1))) AS category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
@@ -850,7 +850,7 @@ def token_mentions(spark, d):
 
 @query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z]+'))), ' ') AS bag FROM documents WHERE text IS NOT NULL""")
 def document_bag(spark, d):
-    words = F.regexp_extract_all(F.lower(F.regexp_replace("text", "[^ -~]", " ")), F.lit("[a-z]+"), F.lit(0))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{IsAlphabetic}\p{M}\p{IsJoin_Control}]+"), F.lit(0))
     return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("bag"))
 
 

@@ -39,3 +39,12 @@ def test_every_item_finds_its_vector(spark):
     got = {(r["user_id"], r["d"]): r["value"] for r in q.coherence_relu(spark, DATA).collect()}
     want = {(u, d): max(sum(float(vectors[i][d]) for i in items if i in vectors), 0.0) for u, items in bags.items() if items & vectors.keys() for d in range(64)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_words_of_every_script(spark, tmp_path):
+    rows = [(1, "T", "Größe: l’été 3_x."), (2, "T", "東京 は"), (3, "T", "हिन्दी भाषा"), (4, "T", "Мир، مرحبا"), (5, "T", "ภาษาไทย"), (6, "T", "a B a")]
+    spark.createDataFrame(rows, "doc_id long, title string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = {r["doc_id"]: r["out"] for r in q.queries()["word_count"](spark, str(tmp_path)).collect()}
+    assert counts == {1: 7, 2: 2, 3: 2, 4: 3, 5: 1, 6: 3}
+    bags = {r["doc_id"]: r["bag"] for r in q.document_bag(spark, str(tmp_path)).collect()}
+    assert bags == {1: "größe l x été", 2: "は 東京", 3: "भाषा हिन्दी", 4: "мир مرحبا", 5: "ภาษาไทย", 6: "a b"}
