@@ -10,7 +10,7 @@ from linkloom.functions import markup as m
 from linkloom.functions import rewriting, viewer
 from linkloom.langpack import ENGLISH
 from linkloom.operators import baseline, cascade, coref, dictionary, evaluation, linker, mentions, metrics, routing, spans
-from linkloom.session import lookup_join, read_table, scratch_path, spread
+from linkloom.session import lookup_join, materialize, read_table, scratch_path, spread
 from linkloom.sources import dump, sinks
 from linkloom.streaming import ingest
 
@@ -752,9 +752,16 @@ def posterior_loss(spark, d):
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]') AS t FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, array_to_string(list_concat(t[1:4], ['_'])[1:30], ' ') AS "left", array_to_string(list_reverse(t[3:])[1:30], ' ') AS "right" FROM t WHERE len(t) > 35""")
 def token_contexts(spark, d):
-    rows = _docs(spark, d).select("doc_id", m.word_tokens(F.regexp_replace("text", "[^ -~]", " ")).alias("t")).where(F.size("t") > 35)
-    c = linker.contexts(F.col("t"), F.lit(2), F.lit(3))
-    return rows.select("doc_id", F.array_join(linker.pad(c["left"], 5, F.lit("_")), " ").alias("left"), F.array_join(linker.pad(c["right"], 30, F.lit("_")), " ").alias("right"))
+    """Whole contexts of every annotation in its line, filled up to the longest of all; documents hold no annotations."""
+    lines = read_table(spark, d, "final_articles").select("file_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", m.LINK, " $0 "))  # a mention is cut into tokens by itself
+    found = lines.select("file_id", "line_no", m.word_tokens(mentions.bare_text(F.col("line"))).alias("t"), F.posexplode(linker.token_mentions(F.col("line"))).alias("pos", "x"))
+    c = linker.contexts(F.col("t"), F.col("x.token_start"), F.col("x.token_start") + F.col("x.token_len") - 1)
+    rows = materialize(found.select("file_id", "line_no", "pos", c.alias("c")), "contexts")
+    longest = rows.agg(F.max(F.size("c.left")).alias("l"), F.max(F.size("c.right")).alias("r"))
+    out = rows.crossJoin(F.broadcast(longest))
+    fill = lambda side, n: F.array_join(linker.pad(F.col(f"c.{side}"), F.col(n), F.lit("_")), " ").alias(side)
+    return out.select("file_id", "line_no", "pos", fill("left", "l"), fill("right", "r"))
 
 
 ACC_SQL = f"""WITH {V_SQL}, {FUSE_SQL}, b AS (SELECT mention_id, arg_max(wid, struct_pack(a := round(prior, 9), b := -wid)) AS prior, max(prior) AS prior_p, arg_max(wid, struct_pack(a := round(posterior, 9), b := -wid)) AS context, max(posterior) AS context_p, arg_max(wid, struct_pack(a := round(joint, 9), b := -wid)) AS joint, max(joint) AS joint_p FROM z GROUP BY mention_id),

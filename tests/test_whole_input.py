@@ -48,3 +48,21 @@ def test_words_of_every_script(spark, tmp_path):
     assert counts == {1: 7, 2: 2, 3: 2, 4: 3, 5: 1, 6: 3}
     bags = {r["doc_id"]: r["bag"] for r in q.document_bag(spark, str(tmp_path)).collect()}
     assert bags == {1: "größe l x été", 2: "は 東京", 3: "भाषा हिन्दी", 4: "мир مرحبا", 5: "ภาษาไทย", 6: "a b"}
+
+
+def test_contexts_of_every_annotation(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, "[[Ann Lee|Ann|annotation]] met新[[東京|DATE]]都."), (2, f"É.\n{long} [[B|b c|annotation]] {long} Ende"), (3, "none")]
+    spark.createDataFrame(rows, "file_id long, text string").write.parquet(f"{tmp_path}/final_articles.parquet")
+    got = {(r["file_id"], r["line_no"], r["pos"]): (r["left"].split(), r["right"].split()) for r in q.token_contexts(spark, str(tmp_path)).collect()}
+    words = long.split()
+    left, right = [*words, "b", "c"], ["Ende", *reversed(words), "c", "b"]
+
+    def full(part, whole):
+        return [*part, *["_"] * (len(whole) - len(part))]
+
+    assert got == {
+        (1, 0, 0): (full(["Ann"], left), full([".", "都", "東京", "met新", "Ann"], right)),
+        (1, 0, 1): (full(["Ann", "met新", "東京"], left), full([".", "都", "東京"], right)),
+        (2, 1, 0): (left, right),
+    }
