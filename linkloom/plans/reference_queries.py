@@ -808,12 +808,14 @@ def correct_context_count(spark, d):
 
 @query()
 def baseline_rounds(spark, d):
-    pages = read_table(spark, d, "final_articles").where("page_id is not null").select("page_id", "title", "text").dropDuplicates(["page_id"])
+    """Every file is annotated on its own; its page only tells the entities two links away, none without a page_id."""
+    files = read_table(spark, d, "final_articles").select("file_id", "page_id", "title", "text")
     names = _ids(spark, d)
     hops = dictionary.two_hops(_edges(spark, d))
     near = hops.join(names.select(F.col("page_id").alias("dst_id"), F.col("title").alias("entity")), "dst_id").select(F.col("src_id").alias("page_id"), "entity")
-    out = baseline.annotate(pages, _pruned(spark, d), near)
-    return out.select("page_id", F.explode("mentions").alias("x")).select("page_id", "x.*")
+    near = materialize(files.select("file_id", "page_id").join(near, "page_id").select("file_id", "entity"), "near")  # read twice
+    out = baseline.annotate(files.drop("page_id"), materialize(_pruned(spark, d), "pruned"), near, "file_id")
+    return out.select("file_id", F.explode("mentions").alias("x")).select("file_id", "x.*")
 
 
 @query("SELECT alias, entity, length(alias) AS chars FROM (SELECT DISTINCT alias, entity, row_number() OVER (PARTITION BY entity ORDER BY length(alias) DESC, alias) AS r FROM (SELECT DISTINCT alias, entity FROM aliases WHERE alias IS NOT NULL AND entity IS NOT NULL)) WHERE r = 1")

@@ -66,3 +66,27 @@ def test_contexts_of_every_annotation(spark, tmp_path):
         (1, 0, 1): (full(["Ann", "met新", "東京"], left), full([".", "都", "東京"], right)),
         (2, 1, 0): (left, right),
     }
+
+
+@pytest.fixture
+def files(spark, tmp_path):
+    """Writes final_articles beside empty or given tables of the link queries."""
+
+    def write(rows, ids=(), aliases=(), redirects=()):
+        save = lambda name, rows, schema: spark.createDataFrame(list(rows), schema).write.parquet(f"{tmp_path}/{name}.parquet")
+        save("final_articles", rows, "file_id long, page_id long, title string, text string, article_names array<string>")
+        save("title2id", ids, "title string, title_id long")
+        save("aliases", aliases, "alias string, entity string, n long")
+        save("redirect", redirects, "source string, target string, kind string, seen_at timestamp")
+        return str(tmp_path)
+
+    return write
+
+
+def test_every_file_is_annotated(spark, files):
+    d = files([
+        (1, 10, "T", "[[Ann|Ann|annotation]] one. Cyd Moor", ["Ann"]), (2, 10, "T", "[[Ann|Ann|annotation]] two. Cyd Moor", ["Ann"]), (3, None, "T", "[[Ann|Ann|annotation]] and Cyd Moor", ["Ann"]),
+        (4, 20, "Ann", "x", ["Cyd Moor"]),
+    ], [("T", 10), ("Ann", 20), ("Cyd Moor", 30)])
+    got = {(r["file_id"], r["entity"], r["tag"]) for r in q.baseline_rounds(spark, d).collect()}
+    assert got == {(1, "Ann", "ANCHOR"), (2, "Ann", "ANCHOR"), (3, "Ann", "ANCHOR"), (1, "Cyd Moor", "SECOND"), (2, "Cyd Moor", "SECOND")}
