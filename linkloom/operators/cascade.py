@@ -68,12 +68,13 @@ def resolve(facts: DataFrame, best_links: bool = True) -> DataFrame:
     return facts.withColumns({"resolved": entity, "final_tag": label})
 
 
-def gather_facts(mentions: DataFrame, counts: DataFrame, redirects: DataFrame, popular: DataFrame, edges: DataFrame, ids: DataFrame, persons: DataFrame, human: DataFrame, geo: DataFrame) -> DataFrame:
+def gather_facts(mentions: DataFrame, counts: DataFrame, redirects: DataFrame, popular: DataFrame, edges: DataFrame, ids: DataFrame, persons: DataFrame, human: DataFrame, geo: DataFrame, linked_id: str = "page_id") -> DataFrame:
     """The facts `resolve` reads, for mentions (page_id, title, line_no, start, alias, entity, tag).
 
     A seen entity is one linked in this line or an earlier one, later links of the same line included. counts (alias,
     entity, n), redirects (source, target), popular (entity), edges (src_id, dst_id, n), ids (title, page_id), persons
-    (entity), human and geo (title) may be of any size: each is joined by its key, none is sent whole.
+    (entity), human and geo (title) may be of any size: each is joined by its key, none is sent whole. linked_id is the
+    column of mentions with the page's id in edges, where page_id is another key.
     """
     one = mentions.withColumn("__m", F.xxhash64("page_id", "line_no", "start", "alias"))
     counts, redirects = materialize(counts, "counts"), materialize(redirects, "redirects")
@@ -96,14 +97,14 @@ def gather_facts(mentions: DataFrame, counts: DataFrame, redirects: DataFrame, p
     one = flag(flag(one, "alias", popular.select("entity"), "popular_entity", F.col("alias")), "__to", popular.select("entity"), "popular_redirect", F.col("__to"))
     one = flag(flag(one, "alias", human.select("title"), "human"), "alias", geo.select("title"), "geo")
     one = materialize(one, "facts")
-    open_ = one.where("tag <> 'annotation'").select("__m", "page_id", "title", "line_no", "alias").distinct()
+    open_ = one.where("tag <> 'annotation'").select("__m", "page_id", F.col(linked_id).alias("__page"), "title", "line_no", "alias").distinct()
     pairs = materialize(lookup_join(open_, counts.select("alias", "entity"), ["alias"], "inner"), "pairs")
     of = pairs.groupBy("__m").agg(F.array_sort(F.collect_set("entity")).alias("candidates"), F.max(F.col("entity") == F.col("title")).alias("__own"))
     here = one.where("tag = 'annotation'").select("page_id", "line_no", "entity").distinct()
     inline = pairs.join(here, ["page_id", "line_no", "entity"]).groupBy("__m").agg(F.array_sort(F.collect_set("entity")).alias("line_candidates"))
     all_persons = dictionary.all_entities_in(pairs, "__m", persons).withColumnRenamed("all_in", "all_persons")
     numbered = lookup_join(pairs, ids.select(F.col("title").alias("entity"), F.col("page_id").alias("entity_id")), ["entity"], "inner")
-    linked = dictionary.best_linked(numbered, edges, "__m").select("__m", F.col("entity").alias("best_linked"))
+    linked = dictionary.best_linked(numbered.drop("page_id").withColumnRenamed("__page", "page_id"), edges, "__m").select("__m", F.col("entity").alias("best_linked"))
     words = seen.select("page_id", "__since", F.col("entity").alias("__e"), F.explode(F.split("entity", r"\s+")).alias("alias")).where(m.starts_upper(F.col("alias")))
     part = open_.join(words, ["page_id", "alias"]).where("__since <= line_no").groupBy("__m").agg(F.array_sort(F.collect_set("__e")).alias("part_of"))
     for side in (of, inline, all_persons, linked, part):

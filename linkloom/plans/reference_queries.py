@@ -495,17 +495,19 @@ def capitalised_mentions(spark, d):
 
 
 def _facts(spark: SparkSession, d: str) -> DataFrame:
-    rows = read_table(spark, d, "final_articles").select(F.col("file_id").alias("page_id"), "title", F.explode(mentions.annotation_spans(F.col("text"))).alias("s"))
-    met = rows.select("page_id", "title", F.lit(0).alias("line_no"), "s.start", "s.alias", "s.entity", F.when(F.col("s.tag").startswith("a") & (F.pmod("page_id", F.lit(3)) > 0), "annotation").otherwise("alias_match").alias("tag"))
+    """Files stand as pages, as one page_id may have several; linked_id is the page that links are counted for."""
+    lines = read_table(spark, d, "final_articles").select(F.col("file_id").alias("page_id"), F.col("page_id").alias("linked_id"), "title", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = lines.select("page_id", "linked_id", "title", "line_no", F.explode(mentions.annotation_spans(F.col("line"))).alias("s"))
+    met = rows.select("page_id", "linked_id", "title", "line_no", "s.start", "s.alias", "s.entity", F.when(F.col("s.tag").startswith("a") & (F.pmod("page_id", F.lit(3)) > 0), "annotation").otherwise("alias_match").alias("tag"))
     counts = _pruned(spark, d)
     names = read_table(spark, d, "title2id").select(F.col("title").alias("entity")).where("title like '%(footballer)'").distinct()
     geo = read_table(spark, d, "title2id").select("title").where("title like '%(river)'").distinct()
-    return cascade.gather_facts(met.distinct(), counts, _redirects(spark, d), dictionary.popular(counts, 50), _edges(spark, d), _ids(spark, d), names, names.select(F.col("entity").alias("title")), geo)
+    return cascade.gather_facts(met.distinct(), counts, _redirects(spark, d), dictionary.popular(counts), _edges(spark, d), _ids(spark, d), names, names.select(F.col("entity").alias("title")), geo, "linked_id")
 
 
 @query()
 def candidate_cascade(spark, d):
-    return cascade.resolve(_facts(spark, d)).select("page_id", "start", "alias", "resolved", "final_tag")
+    return cascade.resolve(_facts(spark, d)).select(F.col("page_id").alias("file_id"), "line_no", "start", "alias", "resolved", "final_tag")
 
 
 @query("""SELECT alias_row_id, CASE WHEN alias_row_id % 11 = 0 THEN alias WHEN alias_row_id % 7 = 0 THEN entity WHEN alias_row_id % 5 = 0 THEN 'A###B' WHEN alias_row_id % 3 = 0 THEN 'B' END AS resolved,

@@ -90,3 +90,21 @@ def test_every_file_is_annotated(spark, files):
     ], [("T", 10), ("Ann", 20), ("Cyd Moor", 30)])
     got = {(r["file_id"], r["entity"], r["tag"]) for r in q.baseline_rounds(spark, d).collect()}
     assert got == {(1, "Ann", "ANCHOR"), (2, "Ann", "ANCHOR"), (3, "Ann", "ANCHOR"), (1, "Cyd Moor", "SECOND"), (2, "Cyd Moor", "SECOND")}
+
+
+def test_cascade_reads_lines_and_page_ids(spark, files):
+    people = ["A (footballer)", "B (footballer)"]
+    texts = [
+        (2, 500, "T", "[[x|Sam|non_person_coref]] ran.\n[[x|Berlin|non_person_coref]] and [[x|Sam|non_person_coref]].", []), (8, 501, "U", "[[x|Berlin|non_person_coref]] [[Berlin|Berlin|annotation]]", []),
+        (4, 502, "V", "[[x|Berlin|non_person_coref]].\n[[Berlin|Berlin|annotation]]", []), (5, 20, people[0], "x", ["T", "T"]), (6, 30, people[1], "x", ["T"]), (7, None, "W", "[[x|Sam|non_person_coref]]", []),
+    ]
+    pages = [("T", 500), (people[0], 20), (people[1], 30), ("Berlin", 40), *[(f"P{i}", 100 + i) for i in range(60)]]
+    uses = [("Sam", people[0], 3), ("Sam", people[1], 4), ("Berlin", "Berlin", 2), *[(f"P{i}", f"P{i}", 9) for i in range(60)]]
+    d = files(texts, pages, uses)
+    got = {(r["file_id"], r["line_no"], r["start"]): (r["resolved"], r["final_tag"]) for r in q.candidate_cascade(spark, d).collect()}
+    best = (people[0], "alias_match_best_links")  # links to page 500, which file 2 holds
+    assert got[2, 0, 0] == got[2, 1, 11] == best
+    assert got[2, 1, 0] == ("Berlin", "alias_match_popular_entity")  # rank 61 of the entities
+    assert got[7, 0, 0] == ("###".join(people), "alias_match_multiple_candidates")
+    assert got[8, 0, 0] == ("Berlin", "alias_match_match_candidate")
+    assert got[4, 0, 0] == ("Berlin", "alias_match_popular_entity")  # its link stands in a later line
