@@ -79,6 +79,17 @@ def split_at(line: Column, ends: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p, i: F.when(i > 0, F.ltrim(p)).otherwise(p)), "\n")
 
 
+def shifted_ends(ends: Column, mentions: Column) -> Column:
+    """Sentence ends of a text as positions in it once rendered with mentions; an end inside a mention moves behind it."""
+
+    def moved(end: Column) -> Column:
+        before = F.filter(mentions, lambda x: x["start"] < end)
+        zero = F.greatest(end, F.coalesce(F.array_max(F.transform(before, lambda x: x["start"] + x["len"])), end))
+        return F.aggregate(before, zero, lambda s, x: s + F.char_length(render_link(x["entity"], x["alias"], x["tag"])) - x["len"])
+
+    return F.array_distinct(F.transform(ends, moved))
+
+
 def is_malformed(line: Column) -> Column:
     """Whether a line must be dropped: a link with other than three parts, unless it ends with a known label, or brackets
     inside a link."""

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from linkloom.functions import rewriting
 from linkloom.langpack import ENGLISH, LanguagePack
@@ -24,6 +25,7 @@ class Supplied:
     corefs: DataFrame | None = None  # entity, coref
     genders: DataFrame | None = None  # name, gender
     ner: DataFrame | None = None  # page_id, line_no, start, end, alias, tag
+    sentence_end: DataFrame | None = None  # page_id, line_no, end_char: ends of the sentences in the lines without links
 
 
 class Corpus:
@@ -92,7 +94,14 @@ class Corpus:
         grouped = done.groupBy("page_id", "line_no").agg(F.array_sort(F.collect_list("x")).alias("x"))
         both = lines.select("page_id", "line_no", "text").join(grouped, ["page_id", "line_no"], "left")
         none = F.array().cast("array<struct<start:int,len:int,entity:string,alias:string,tag:string>>")
-        self._keep("annotated_line", both.select("page_id", "line_no", mentions.render(F.col("text"), F.coalesce("x", none)).alias("text")))
+        ends = self._given(self.supplied.sentence_end, "page_id long, line_no int, end_char int")
+        ends = ends.groupBy("page_id", "line_no").agg(F.array_sort(F.collect_set(F.col("end_char").cast("int"))).alias("ends"))
+        both = lookup_join(both.withColumn("x", F.coalesce("x", none)), ends, ["page_id", "line_no"])
+        text = mentions.render(F.col("text"), F.col("x"))
+        text = F.when(F.col("ends").isNull(), text).otherwise(mentions.split_at(text, mentions.shifted_ends(F.col("ends"), F.col("x"))))
+        parts = both.select("page_id", F.col("line_no").alias("__line"), F.posexplode(F.split(text, "\n")).alias("__part", "text"))
+        order = Window.partitionBy("page_id").orderBy("__line", "__part")  # one sentence a line, counted anew
+        self._keep("annotated_line", parts.select("page_id", (F.row_number().over(order) - 1).alias("line_no"), "text"))
 
     def resolve(self) -> None:
         """Stage 4: malformed lines dropped, candidates decided by use, coreferences carried forward, final texts."""
