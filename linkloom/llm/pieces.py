@@ -24,8 +24,6 @@ SPLIT_START = 1.5
 IMBALANCE = 6.0
 
 _KIND = re.compile(r"(?P<paragraph>\n[^\S\n]*\n\s*)|(?P<line>[\n\r\v\f\x85\u2028\u2029]\s*)|(?P<sentence>(?:[.!?…؟।]+[\"'”’»)\]]*(?=\s)|[。！？]+[”」』）]*))|(?P<clause>[,;:،，、；：]+)")
-#: Where a text has no border at all, only every so many tokens is a place to cut: fewer places, pieces as even.
-INSIDE_STEP = 8
 
 # White space.
 SPACES = np.array([*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], dtype=np.uint32)
@@ -118,8 +116,7 @@ def split_text(text: str, tokenizer: Tokenizer, limit: int = MAX_TOKENS, overlap
     for room in (limit, limit - 8, limit - 40, limit - limit // 8, limit - limit // 4, limit - limit // 2):
         if room <= overlap * 2:
             break
-        sparse = np.arange(n + 1) % INSIDE_STEP == 0
-        for places in [*(kinds < level for level in range(2, len(NAMES))), (kinds < len(NAMES) - 1) | sparse, True]:
+        for places in (kinds < len(NAMES) - 1, True):  # inside words only where no other cuts keep within room
             cuts = cut_positions(n, kinds, both & places, room, overlap, extra)
             if cuts is not None:
                 break
