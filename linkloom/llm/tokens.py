@@ -54,9 +54,27 @@ class Tokenizer:
         return len(self.encode(text))
 
     def borders(self, text: str) -> np.ndarray:
-        if self.kind != "tiktoken":
-            raise ValueError("cutting needs a byte-level .tiktoken vocabulary")
-        return np.cumsum(self.lengths[self.encode(text)]) if text else np.zeros(0, dtype=np.int64)
+        """Byte positions at which tokens end. A token that ends inside a character, or shares its end with the next, has
+        the position of a byte inside that character. White space that a vocabulary drops belongs to the token after it;
+        at the end of the text it belongs to the last one."""
+        if not text:
+            return np.zeros(0, dtype=np.int64)
+        if self.kind == "tiktoken":
+            return np.cumsum(self.lengths[self.encode(text)])
+        if self.kind == "json":
+            spans = self.model.encode(text, add_special_tokens=False).offsets
+            widths = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            at = np.concatenate([[0], np.cumsum(1 + (widths > 0x7F) + (widths > 0x7FF) + (widths > 0xFFFF))])
+            begins, ends = (at[np.array([s[k] for s in spans], dtype=np.int64)] for k in (0, 1))
+        else:
+            pieces = self.model.encode(text, return_type="proto").pieces
+            begins, ends = (np.array([getattr(p, k) for p in pieces], dtype=np.int64) for k in ("begin", "end"))
+        ends = np.maximum.accumulate(ends)
+        if len(ends):
+            inside = np.append((begins[1:] < ends[:-1]) | (ends[1:] <= ends[:-1]), False)
+            ends = ends - inside
+            ends[-1] = len(text.encode("utf-8", "surrogatepass"))
+        return ends
 
 
 @lru_cache(maxsize=4)
