@@ -1,9 +1,12 @@
-"""Parent-child links to full hierarchies: weighted disjoint-set forests, merged until every node knows its root.
-
-Each partition joins its own links into trees (a union-find whose weights are the distances to the local root) and
-hands on one row per node. Forests of different partitions are then merged by looking each local root up as a node of
-another forest; every merge at least doubles the distance a row spans, so the number of merges is logarithmic in the
-depth. A merge after which as many rows are open as before leaves nodes on loops, or leading into one, and no others.
+"""Parent-child links to full hierarchies, by weighted disjoint-set forests.
+
+Each partition unites the ends of its links in a disjoint-set forest whose weights are distances: a union by size, with
+path compression that adds the distances up. A set is a piece of one tree with one local root, or, where a union meets
+its own set, a piece with a loop. Of a partition's sets only the local roots that are children elsewhere matter to the
+others: their links to their own local roots, with the distance as offset, form the next, smaller set of links, in which
+several partitions are merged into one. So forests are merged level by level until one holds all that is left, and on
+the way back every node looks its local root up in the level above. Paths are made on that way back too: each forest
+indexes its parents, walks them from the node to its local root, and the path of that root follows.
 """
 
 from __future__ import annotations
@@ -16,105 +19,216 @@ from pyspark.sql import functions as F
 
 from linkloom.session import lookup_join, materialize
 
-_FOREST = "node string, root string, depth long, path array<string>, looped boolean"
+#: Links that one forest holds; a partition with more makes several, which are merged like those of others.
+FOREST_LINKS = 250_000
+#: Forests that are merged into one from level to level.
+FAN_IN = 8
+#: Levels that keep more than this share of their links are thinned out before they are merged.
+SHRINK = 0.75
+#: Path entries that a forest hands on at a time.
+PATH_ENTRIES = 1_000_000
+
+_LINK = "node string, up string, weight long, looped boolean, path array<string>"
+_FOREST = "node string, root string, depth long, looped boolean, loop string, path array<string>"
 
 
-#: Links that one local forest holds; a partition with more makes several, which are merged like those of others.
-FOREST_LINKS = 250_000
+class Forest:
+    """Weighted disjoint sets of the nodes of some links (node, up, weight): weight is the distance between the two.
+
+    A link from a node to itself marks the node as looped.
+    """
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.names: list[str] = []
+        self.boss: list[int] = []  # towards the set's representative
+        self.offset: list[int] = []  # depth minus the boss's depth
+        self.size: list[int] = []
+        self.parent: list[int] = []  # -1: no child here
+        self.weight: list[int] = []
+        self.path: list[list[str] | None] = []
+        self.closes: dict[int, int] = {}  # representative of a set with a loop: a node on the loop
+        self.links = 0
+
+    def _node(self, name: str) -> int:
+        n = self.number.get(name)
+        if n is None:
+            n = self.number[name] = len(self.names)
+            self.names.append(name)
+            self.boss.append(n)
+            self.offset.append(0)
+            self.size.append(1)
+            self.parent.append(-1)
+            self.weight.append(0)
+            self.path.append(None)
+        return n
+
+    def find(self, n: int) -> tuple[int, int]:
+        """The representative of n's set, and n's depth minus its depth; all on the way then point to it directly."""
+        boss, offset = self.boss, self.offset
+        way = []
+        while boss[n] != n:
+            way.append(n)
+            n = boss[n]
+        total = 0
+        for x in reversed(way):
+            total += offset[x]
+            boss[x], offset[x] = n, total
+        return n, total
+
+    def add(self, name: str, up: str, weight: int, path: list[str] | None = None) -> None:
+        a, b = self._node(name), self._node(up)
+        self.parent[a], self.weight[a], self.path[a] = b, weight, path
+        self.links += 1
+        (x, at), (y, to) = self.find(a), self.find(b)
+        if x == y:
+            self.closes[x] = a
+            return
+        shift = weight + to - at  # depth of x minus depth of y
+        if self.size[x] > self.size[y]:
+            x, y, shift = y, x, -shift
+        self.boss[x], self.offset[x] = y, shift
+        self.size[y] += self.size[x]
+        if x in self.closes:
+            self.closes[y] = self.closes.pop(x)
+
+    def rows(self, with_paths: bool) -> Iterator[pd.DataFrame]:
+        """(node, root, depth, looped, loop, path) of every node with a link; and one row with `loop`, the smallest name
+        on it, for each node of the paths that make up a loop (with_paths only; self-made marks are no loop)."""
+        names, parent = self.names, self.parent
+        top: dict[int, tuple[int, int]] = {}
+        for n, p in enumerate(parent):
+            if p < 0:
+                rep, depth = self.find(n)
+                top[rep] = (n, depth)
+        out, entries = [], 0
+        for n, p in enumerate(parent):
+            if p < 0:
+                continue
+            rep, depth = self.find(n)
+            looped = rep in self.closes
+            root, base = (p, depth - 1) if looped else top[rep]
+            walked, x = [], n
+            while with_paths and not looped and x != root:
+                walked += self.path[x]
+                x = parent[x]
+            out.append((names[n], names[root], depth - base, looped, None, walked))
+            entries += 1 + len(walked)
+            if entries > PATH_ENTRIES:
+                yield _frame(out)
+                out, entries = [], 0
+        for start in self.closes.values() if with_paths else ():
+            members, n = [], start
+            while True:
+                members += self.path[n]
+                n = parent[n]
+                if n == start:
+                    break
+            if parent[start] != start or self.weight[start]:
+                least = min(members)
+                out += [(m, None, None, True, least, []) for m in members]
+        yield _frame(out)
 
 
-def _local_forests(with_paths: bool):
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=["node", "root", "depth", "looped", "loop", "path"])
+    return frame.astype({"depth": "Int64"})
+
+
+def _forests(with_paths: bool, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent: dict[str, str] = {}
+        forest = Forest()
         for b in batches:
-            parent.update(zip(b["child"], b["parent"]))
-            if len(parent) >= FOREST_LINKS:
-                yield from _forest(parent, with_paths)
-                parent = {}
-        yield from _forest(parent, with_paths)
+            for name, up, weight, path in zip(b["node"], b["up"], b["weight"].tolist(), b["path"]):
+                forest.add(name, up, weight, list(path) if with_paths else None)
+                if forest.links == most:
+                    yield from forest.rows(with_paths)
+                    forest = Forest()
+        if forest.links:
+            yield from forest.rows(with_paths)
 
     return run
 
 
-def _forest(parent: dict[str, str], with_paths: bool) -> Iterator[pd.DataFrame]:
-    root: dict[str, tuple[str, int, bool]] = {}
-    for start in parent:
-        chain, on, x = [], set(), start
-        while x in parent and x not in root and x not in on:
-            chain.append(x)
-            on.add(x)
-            x = parent[x]
-        loop = x in on or (x in root and root[x][2])
-        base, depth = (x, 0) if x not in root or loop else root[x][:2]
-        for n in reversed(chain):  # path compression with offsets
-            depth += 1
-            root[n] = (base, depth, loop)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 20_000):
-        part = nodes[i : i + 20_000]
-        paths = []
-        for n in part:
-            path, end = [], root[n][0]
-            while with_paths and n != end and not root[n][2]:
-                path.append(n)
-                n = parent[n]
-            paths.append(path)
-        yield pd.DataFrame({"node": part, "root": [parent[n] if root[n][2] else root[n][0] for n in part], "depth": [1 if root[n][2] else root[n][1] for n in part], "path": paths, "looped": [root[n][2] for n in part]})
-
+def _solve(links: DataFrame, with_paths: bool, most: int, forests: int, level: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, root, depth, looped, path) of every node of links (node, up, weight, looped, path), and the rows of loops.
 
-def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool = False) -> DataFrame:
+    A looped node comes with itself as `up` and weight 0.
+    """
+    made = materialize(links.mapInPandas(_forests(with_paths, most), _FOREST), "forest")
+    loops = [made.where("loop is not null").select("node", "loop")] if with_paths else []
+    held = made.where("loop is null").drop("loop")
+    roots = held.where("not looped").select(F.col("root").alias("node")).distinct()
+    entered = materialize(held.join(roots, "node", "left_semi"), "entered")
+    n = entered.count()
+    if not n:
+        return held, loops
+    up = entered.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("root")).alias("up"), F.when(F.col("looped"), 0).otherwise(F.col("depth")).alias("weight"), "looped", F.when(F.col("looped"), F.array("node")).otherwise(F.col("path")).alias("path"))
+    fewer = 1 if n <= most else max(-(-n // most), -(-forests // FAN_IN))
+    gone = None
+    if fewer > 1 and n > SHRINK * made.count():
+        up, gone = _thinned(up, level)
+    up = up.coalesce(1) if fewer == 1 else up.repartition(fewer, F.pmod(F.xxhash64("node"), F.lit(fewer)))
+    above, more = _solve(up, with_paths, most, fewer, level + 1)
+    if gone is not None:
+        above = above.unionByName(_below(gone.select("node", F.col("up").alias("root"), F.col("weight").alias("depth"), "looped", "path"), materialize(above, "above"), with_paths))
+    return _below(held, materialize(above, "above"), with_paths), loops + more
+
+
+def _thinned(links: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """links without some that others can do without, and these: a node with coin 1 whose parent has coin 0 is skipped, and
+    its children point to its parent. A quarter of a long chain goes, wherever its links lie."""
+    coin = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2))
+    skip = ~F.col("looped") & (coin("node") == 1) & (coin("up") == 0)
+    gone = materialize(links.where(skip), "gone")
+    over = gone.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("weight").alias("__weight"), F.col("path").alias("__path"))
+    kept = lookup_join(links.where(~skip), over, ["up"])
+    hit = F.col("__up").isNotNull()
+    kept = kept.select("node", F.coalesce("__up", "up").alias("up"), (F.col("weight") + F.coalesce("__weight", F.lit(0))).alias("weight"), "looped", F.when(hit, F.concat("path", "__path")).otherwise(F.col("path")).alias("path"))
+    return kept, gone
+
+
+def _below(held: DataFrame, above: DataFrame, with_paths: bool) -> DataFrame:
+    """Rows of a level with the roots that their local roots have in the level above."""
+    over = above.select(F.col("node").alias("root"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "looped", *(["path"] if with_paths else []))])
+    found = lookup_join(held, over, ["root"])
+    looped = F.col("looped") | F.coalesce("up_looped", F.lit(False))
+    path = F.concat("path", F.coalesce("up_path", F.array().cast("array<string>"))) if with_paths else F.col("path")
+    return found.select("node", F.coalesce("up_root", "root").alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), looped.alias("looped"), path.alias("path"))
+
+
+def _resolved(links: DataFrame, child: str, parent: str, with_paths: bool, forest_links: int) -> tuple[DataFrame, list[DataFrame]]:
+    edges = links.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null")
+    edges = edges.groupBy("node").agg(F.min("up").alias("up"))
+    path = F.array("node") if with_paths else F.array().cast("array<string>")
+    first = edges.select("node", "up", F.lit(1).cast("long").alias("weight"), F.lit(False).alias("looped"), path.alias("path"))
+    return _solve(first, with_paths, forest_links, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0)
+
+
+def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool = False, forest_links: int = FOREST_LINKS) -> DataFrame:
     """(node, root, depth, path, looped) for every distinct child of links; of several parents the smallest counts.
 
     root is the last node reached, depth the number of links to it; path holds the nodes from node up to, without,
     root (empty unless with_paths). Nodes on a loop or leading into one have looped = true, root and depth null. Links
     with a null end are left out; no links give no rows.
     """
-    edges = links.select(F.col(child).alias("child"), F.col(parent).alias("parent")).where("child is not null and parent is not null")
-    edges = edges.groupBy("child").agg(F.min("parent").alias("parent"))
-    open_ = materialize(edges.mapInPandas(_local_forests(with_paths), _FOREST), "forest")
-    none = open_.limit(0)
-    ended, closed, before = none, 0, None
-    no_path = F.array().cast("array<string>")
-    while True:
-        # rows by weight: a path counts as so many more
-        counts = open_.agg((F.count(F.lit(1)) + F.coalesce(F.sum(F.size("path")), F.lit(0))).alias("rows"), F.count_if(~F.col("looped")).alias("live")).first()
-        if not counts["live"] or counts["live"] == before:
-            break
-        before = counts["live"]
-        up = open_.withColumn("over", F.lit(False)).unionByName(ended.withColumn("over", F.lit(True)))
-        up = up.select(F.col("node").alias("root"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "path", "looped", "over")])
-        found = lookup_join(open_, up, ["root"], right_rows=counts["rows"] + closed, written=True)
-        top = F.col("up_looped").isNull()  # root is nobody's child
-        merged = found.select(
-            "node",
-            F.when(top, F.col("root")).otherwise(F.col("up_root")).alias("root"),
-            (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"),
-            (F.concat("path", F.coalesce("up_path", no_path)) if with_paths else F.col("path")).alias("path"),
-            (F.col("looped") | F.coalesce("up_looped", F.lit(False))).alias("looped"),
-            (top | F.coalesce("up_over", F.lit(False))).alias("over"),
-        )
-        merged = materialize(merged, "forest")
-        closed += counts["rows"]
-        ended = ended.unionByName(merged.where("over and not looped").drop("over"))
-        open_ = merged.where("not over or looped").drop("over")
-    loops = open_.select("node", F.lit(None).cast("string").alias("root"), F.lit(None).cast("long").alias("depth"), no_path.alias("path"), F.lit(True).alias("looped"))
-    return ended.unionByName(loops)
-
-
-def loop_members(links: DataFrame, looped: DataFrame, child: str, parent: str) -> DataFrame:
+    rows, _ = _resolved(links, child, parent, with_paths, forest_links)
+    sure = lambda c: F.when(~F.col("looped"), F.col(c)).alias(c)
+    return rows.select("node", sure("root"), sure("depth"), F.when(F.col("looped"), F.array().cast("array<string>")).otherwise(F.col("path")).alias("path"), "looped")
+
+
+def loop_members(links: DataFrame, looped: DataFrame, child: str, parent: str, forest_links: int = FOREST_LINKS) -> DataFrame:
     """(node, loop): the nodes that lie on a loop, each with the smallest node of its loop as the loop's name.
 
-    looped holds (as `node`) the children that resolve_roots marked. Pointers are doubled until they span more links
-    than there are such nodes; what is still pointed at lies on a loop, and the smallest node passed names it.
+    looped holds (as `node`) the children that resolve_roots marked; only their links are read. The forest in which a
+    union meets its own set walks that loop once.
     """
-    state = links.join(looped.select(F.col("node").alias(child)), child, "left_semi").select(F.col(child).alias("node"), F.col(parent).alias("ptr"), F.least(child, parent).alias("low"))
-    state = materialize(state, "loops")
-    n, span = state.count(), 1
-    while span <= n:
-        up = state.select(F.col("node").alias("ptr"), F.col("ptr").alias("up_ptr"), F.col("low").alias("up_low"))
-        state = materialize(lookup_join(state, up, ["ptr"], "inner", right_rows=n).select("node", F.col("up_ptr").alias("ptr"), F.least("low", "up_low").alias("low")), "loops")
-        span *= 2
-    return state.join(state.select(F.col("ptr").alias("node")).distinct(), "node", "left_semi").select("node", F.col("low").alias("loop"))
+    own = links.join(looped.select(F.col("node").alias(child)), child, "left_semi")
+    _, loops = _resolved(own, child, parent, True, forest_links)
+    out = loops[0]
+    for more in loops[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str, parent_
     sure = refs.where(~maybe).withColumn("status", F.lit("missing"))
     # spans of one key do not overlap, so the last one begun by then decides; a reference is looked up once
     packed = lives.groupBy("key").agg(F.min("first_created").alias("__first"), F.array_sort(F.collect_list(F.struct("since", "until"))).alias("__spans")).withColumnRenamed("key", key)
-    checked = lookup_join(refs.where(maybe), packed, [key], right_rows=n)
+    checked = lookup_join(refs.where(maybe), packed, [key])
     alive = F.exists("__spans", lambda s: (s["since"] <= F.col(at)) & (s["until"].isNull() | (s["until"] > F.col(at))))
     status = F.when(F.col("__spans").isNull(), "missing").when(F.coalesce(alive, F.lit(False)), F.lit(None)).when(F.col("__first") <= F.col(at), "deleted").otherwise("late")
     doubtful = checked.withColumn("status", status).where("status is not null").drop("__first", "__spans")

@@ -171,9 +171,44 @@ def test_small_forests():
     import pandas as pd
 
     links = {str(i): str(i + 1) for i in range(50)} | {"x": "y", "y": "x"}
-    whole = pd.concat(hierarchy._forest(links, True))
+    forest = hierarchy.Forest()
+    for a, b in links.items():
+        forest.add(a, b, 1, [a])
+    rows = pd.concat(forest.rows(True))
+    whole = rows[rows["loop"].isna()]
     assert whole[whole["node"] == "0"].iloc[0].tolist()[:3] == ["0", "50", 50]
+    assert whole[whole["node"] == "0"].iloc[0]["path"] == [str(i) for i in range(50)]
     assert set(whole[whole["looped"]]["node"]) == {"x", "y"}
+    assert {(r["node"], r["loop"]) for _, r in rows[rows["loop"].notna()].iterrows()} == {("x", "x"), ("y", "x")}
+
+
+def test_weights_are_distances():
+    rng = random.Random(5)
+    links = {str(i): str(rng.randrange(i)) for i in range(1, 400)}
+    order = list(links.items())
+    rng.shuffle(order)
+    forest = hierarchy.Forest()
+    for a, b in order:
+        forest.add(a, b, 1)
+    for n, (root, depth) in _walk(links).items():
+        (rep, at), (_, top) = forest.find(forest.number[n]), forest.find(forest.number[root])
+        assert at - top == depth and forest.size[rep] == 400
+
+
+@pytest.mark.parametrize("most", [7, 40, 1000])
+def test_forests_merge_over_levels(spark, most):
+    rng = random.Random(most)
+    links = {f"c{i}": f"c{i + 1}" for i in range(300)} | {f"o{i}": f"o{(i + 1) % 90}" for i in range(90)} | {f"i{i}": f"o{i}" for i in range(30)}
+    links |= {f"h{i}": rng.choice(["c7", "c250", "hub"]) for i in range(200)} | {"s": "s", "t": "s"}
+    df = spark.createDataFrame(list(links.items()), "source string, target string").repartition(5)
+    full = hierarchy.resolve_roots(df, "source", "target", True, most)
+    got = {r["node"]: (r["root"], r["depth"]) for r in full.collect()}
+    assert got == _walk(links)
+    for r in full.where("not looped").collect():
+        assert r["path"][0] == r["node"] and len(r["path"]) == r["depth"] and all(links[a] == b for a, b in zip(r["path"], [*r["path"][1:], r["root"]]))
+    loops = {r["node"]: r["loop"] for r in hierarchy.loop_members(df, full.where("looped"), "source", "target", most).collect()}
+    assert loops == {f"o{i}": "o0" for i in range(90)} | {"s": "s"}
+    assert {(r["ancestor"], r["node"]) for r in hierarchy.descendants(full).where("ancestor = 'c290'").collect()} >= {("c290", "c0"), ("c290", "c289")}
 
 
 def test_hierarchy_edge_cases(spark):
@@ -226,6 +261,35 @@ def test_salted_lookup_equals_join(spark, monkeypatch, how):
     assert a.exceptAll(b.select(a.columns)).count() == 0 and a.count() == b.count()
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_salted_join_without_adaptive_plans(spark, monkeypatch, how):
+    monkeypatch.setattr(session.fits_broadcast, "__defaults__", (0,))
+    left = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id")
+    right = spark.range(0, 20_000, 2).select((F.col("id") + 1).alias("k"), (F.col("id") * 2).alias("v"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        a = lookup_join(left, right, ["k"], how)
+        assert "__salt" in a._jdf.queryExecution().toString()
+        assert a.exceptAll(left.join(right, ["k"], how).select(a.columns)).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_broadcast_sizes_are_measured(spark):
+    long = session.materialize(spark.range(20_000).select("id", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.xxhash64(i, "id")).alias("a")), "long")
+    assert not session.fits_broadcast(long)
+    assert session.fits_broadcast(session.materialize(long.select("id"), "short"))
+    assert session.fits_broadcast(session.materialize(long.limit(0), "none"))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    made = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="app-x"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_root(made)
+
+
 def test_whole_rows_once_with_maps(spark):
     df = spark.createDataFrame([(1, {"a": 1, "b": 2}), (1, {"b": 2, "a": 1}), (1, {"a": 2}), (None, None), (None, None)], "i int, m map<string,int>")
     assert whole_rows_once(df).count() == 3
