@@ -99,6 +99,28 @@ def test_term_frequencies_match_sets(spark):
     assert term_bitmaps.record_total(post) == len(set().union(*docs.values()))
 
 
+def test_containers_round_trip():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    cases = [np.zeros(0, dtype=np.int64), np.array([0]), np.array([65535]), np.arange(65536), np.arange(0, 65536, 2), np.arange(100, 9000), np.array([1, 2, 3, 4, 9, 10, 11, 12, 13, 65535])]
+    cases += [np.unique(rng.integers(0, 65536, n)) for n in (2, 5, 300, 4096, 5000, 60_000)]
+    for places in cases:
+        kind, raw = term_bitmaps.encode(places)
+        assert term_bitmaps.decode(kind, raw).tolist() == places.tolist()
+        assert len(raw) <= min(2 * len(places), 8192)
+
+
+def test_postings_of_many_tasks_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(term_bitmaps, "OPEN_BLOCKS", 2)
+    rows = spark.range(400_000, numPartitions=6).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("t"), (F.col("id") % 997).cast("string"))).alias("w"), (F.xxhash64("id") % 3_000_000).alias("r"))
+    want = {r["w"]: (r["o"], r["n"]) for r in rows.groupBy("w").agg(F.count(F.lit(1)).alias("o"), F.countDistinct("r").alias("n")).collect()}
+    post = term_bitmaps.term_postings(rows, "w", "r")
+    assert post.groupBy("term", "block").count().where("count > 1").count() == 0
+    assert {r["term"]: (r["occurrences"], r["records"]) for r in term_bitmaps.term_frequencies(post).collect()} == want
+    assert term_bitmaps.record_total(post) == rows.select("r").distinct().count()
+
+
 def test_marks_and_repeated_rows(spark):
     rows = [("rare", i, 1) for i in (1, 2)] + [("mid", i, 1) for i in (1, 2, 3)] + [("all", i, 1) for i in range(100)] + [("all", 1, 1)] * 5 + [("none", None, 2)]
     df = spark.createDataFrame(rows, "term string, records long, occurrences long")  # names that clash with the result's
