@@ -136,11 +136,31 @@ def drop_pipe_lines(c: Column) -> Column:
 
 def drop_interlanguage_links(c: Column) -> Column:
     """Links to other editions at the end of the text."""
-    return _drop(c, r"(?:\n\[\[[a-z][a-z][\w-]*:[^:\]]+\]\])+$")
+    return F.regexp_replace(c, r"(?:\n\[\[[a-z][a-z][\w-]*:[^:\]]+\]\])+(\n?)\z", "$1")
 
 
 def strip_space(c: Column) -> Column:
-    return _drop(c, r"(?U)^\s+|\s+$")
+    return _drop(c, r"(?U)^\s+|\s+\z")
+
+
+# Attributes by which a line is known as the rest of a table cell.
+CELL_ATTRIBUTES = ("bgcolor", "colspan", "rowspan", "style=", "class=", "align=", "scope=")
+#: Signs that may stand in front of such an attribute: on the first line, where the last attribute is none, on any other.
+CELL_INDENT = (2, 4)
+
+
+def drop_cell_lines(c: Column) -> Column:
+    """Text without the lines that begin with an attribute of a table cell; the first line is emptied, others go whole."""
+    first, other = (rf"^.{{0,{n}}}(?:{'|'.join(names)})" for n, names in zip(CELL_INDENT, (CELL_ATTRIBUTES[:-1], CELL_ATTRIBUTES)))
+    lines = F.split(c, "\n")
+    rest = F.filter(F.slice(lines, 2, 1 << 30), lambda x: ~x.rlike(other))
+    return F.array_join(F.concat(F.array(F.when(lines[0].rlike(first), "").otherwise(lines[0])), rest), "\n")
+
+
+def drop_bars(c: Column) -> Column:
+    """Text without the bars and exclamation marks that open a cell: behind a line break, a tab or two spaces, together
+    with what stands up to the last bar that no bracket comes before."""
+    return F.regexp_replace(c, r"(\n ?|\t|  )[|!](?:[^\[\]\n|]*\|)*", "$1")
 
 
 def clean_text(c: Column, comments: bool = True) -> Column:
@@ -151,18 +171,20 @@ def clean_text(c: Column, comments: bool = True) -> Column:
     for f in ([drop_comments] if comments else []) + [drop_interlanguage_links, drop_references, drop_math, drop_tags]:
         c = f(c)
     c = strip_space(F.regexp_replace(c, r"\n{2,}", "\n\n"))
-    c = drop_pipe_lines(c)
-    c = _drop(c, r"(?<=\n |\n\n|  |.\n|.\t)[|!](?:[^\[\]\n]*?\|)*")
-    c = drop_interlanguage_links(c)
-    c = _drop(c, r"(?:\n.{0,4}|^.{0,2})(?:bgcolor|\d?[ ]?colspan|rowspan|style=|class=|align=|scope=).*")
+    for f in (drop_pipe_lines, drop_bars, drop_interlanguage_links, drop_cell_lines):
+        c = f(c)
     c = F.regexp_replace(_drop(c, "'''"), "''", '"')
     c = F.regexp_replace(_drop(c, "&thinsp;"), " +", " ")
     return _drop(c, r" ?\( *\)")
 
 
+# The repairs of punctuation, in order.
+REPAIRS = ((r"\(( ?(;|,) ?)*\) ?", ""), (r"\(( ?(;|,) ?)+", "("), (r" ,", ","), (r" \)", ")"), (r",,+ ", ", "), (r",\)", ")"), (r";\)", ")"))
+
+
 def punctuation_once(c: Column) -> Column:
     """One round of punctuation repair, all places at once: an approximation of rewriting.repair_punctuation."""
-    for pattern, to in ((r"\((?: ?[;,] ?)*\) ?", ""), (r"\((?: ?[;,] ?)+", "("), (" ,", ","), (r" \)", ")"), (",,+ ", ", "), (r",\)", ")"), (r";\)", ")")):
+    for pattern, to in REPAIRS:
         c = F.regexp_replace(c, pattern, to)
     return c
 

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from linkloom.functions.markup import REPAIRS
 from linkloom.langpack import CONVERT_SEPARATORS, DASHES, ENGLISH, MONTHS, LanguagePack
 
 
@@ -178,8 +179,6 @@ def link_bold_mentions(text: str, title: str) -> str:
 
 # Punctuation
 
-# The repairs, in order.
-REPAIRS = ((r"\(( ?(;|,) ?)*\) ?", ""), (r"\(( ?(;|,) ?)+", "("), (r" ,", ","), (r" \)", ")"), (r",,+ ", ", "), (r",\)", ")"), (r";\)", ")"))
 _REPAIRS = [(re.compile(p), to) for p, to in REPAIRS]
 
 

@@ -12,10 +12,10 @@ from linkloom.session import lookup_join
 
 # Pronouns and their gender, per language.
 PRONOUNS = {
-    "en": {"he": "male", "him": "male", "his": "male", "himself": "male", "she": "female", "her": "female", "hers": "female", "herself": "female"},
+    "en": dict.fromkeys("he his him himself".split(), "male") | dict.fromkeys("she her hers herself".split(), "female"),
     "fr": {"il": "male", "lui": "male", "elle": "female"},
     "es": {"él": "male", "ella": "female"},
-    "de": {"er": "male", "ihn": "male", "ihm": "male", "sie": "female", "ihr": "female"},
+    "de": dict.fromkeys("er ihn ihm sein seine seiner seinem seinen seines".split(), "male") | dict.fromkeys("sie ihr ihre ihrem ihres ihrer".split(), "female"),
 }
 
 

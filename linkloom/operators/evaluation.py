@@ -44,3 +44,9 @@ def agreement(joined: DataFrame) -> DataFrame:
     return joined.agg(
         F.count_if(F.col("l_start").isNotNull() & F.col("r_start").isNotNull()).alias("both"), F.count_if(F.col("r_start").isNull()).alias("left_only"), F.count_if(F.col("l_start").isNull()).alias("right_only")
     )
+
+
+def sample(pages: DataFrame, title: str, size: int, seed: int = 0) -> DataFrame:
+    """A seeded sample of `size` distinct titles that begin with a letter: those whose hash is lowest."""
+    names = pages.select(title).where(F.col(title).rlike(r"^\p{L}")).distinct()
+    return names.orderBy(F.md5(F.concat(F.col(title), F.lit(str(seed)))), title).limit(size)

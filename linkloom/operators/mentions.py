@@ -15,7 +15,7 @@ from linkloom.operators.spans import free_spans
 from linkloom.session import lookup_join, spread
 
 # Labels of the entity recogniser that may stand last in a two-part link.
-NER_TAGS = ("PERSON", "PER", "LOCATION", "LOC", "ORGANIZATION", "ORG", "MISC", "DATE", "TIME", "DURATION", "SET", "MONEY", "PERCENT", "ORDINAL", "NUMBER", "CITY", "COUNTRY", "STATE_OR_PROVINCE", "NATIONALITY", "RELIGION", "TITLE", "IDEOLOGY", "CRIMINAL_CHARGE", "CAUSE_OF_DEATH", "URL", "EMAIL", "HANDLE")
+NER_TAGS = ("SET", "ORDINAL", "PER", "LOC", "ORG", "DATE", "NUMBER", "MISC", "LOCATION", "PERSON", "ORGANIZATION", "DURATION", "MONEY", "PERCENT", "TIME")
 MENTION = "struct<line_no:int,start:int,len:int,entity:string,alias:string,tag:string>"
 
 
@@ -110,17 +110,29 @@ def droppable(entity: Column, alias: Column, tag: Column) -> Column:
 # Matching
 
 
+_ACRONYM = re.compile(r"\s\(([A-Z.]+)\)")
+
+
 def acronym_pairs(text: str) -> list[tuple[int, str, int, str]]:
-    """(start, expansion, start of the acronym, acronym) for each ' (ABC)' spelled by the last capitals before it."""
+    """(start, expansion, start of the acronym, acronym) for each ' (ABC)' spelled by the last capitals before it.
+
+    Each bracket is read against the text from its right end to the left: the capitals met must be the acronym's letters
+    backwards. Where the last of them fits, the expansion begins.
+    """
     out = []
-    for hit in re.finditer(r"\s\(([A-Z.]+)\)", text):
-        letters = hit[1].replace(".", "")
-        capitals = [i for i in range(hit.start()) if text[i].isupper()]
-        if letters and len(capitals) >= len(letters) and "".join(text[i] for i in capitals[-len(letters) :]) == letters:
-            start = capitals[-len(letters)]
-            name = text[start : hit.start()].strip()
-            name = name if name[-1].isalnum() else name[:-1]
-            out.append((start, name, hit.start(1), hit[1]))
+    for hit in _ACRONYM.finditer(text):
+        wanted = [c for c in reversed(hit[1]) if c != "."]
+        at = hit.start()
+        while wanted and at:
+            at -= 1
+            if text[at].isupper():
+                if text[at] != wanted[0]:
+                    break
+                del wanted[0]
+        if wanted or not hit[1].strip("."):
+            continue
+        name = text[at : hit.start()].rstrip()
+        out.append((at, name if name[-1].isalnum() else name[:-1], hit.start(1), hit[1]))
     return out
 
 

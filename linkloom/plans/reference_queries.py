@@ -54,6 +54,12 @@ def _redirects(spark: SparkSession, d: str) -> DataFrame:
 
 R_SQL = "r AS (SELECT source, target FROM (SELECT source, target, row_number() OVER (PARTITION BY source ORDER BY seen_at DESC, target) AS k FROM redirect WHERE source <> '' AND target <> '') WHERE k = 1)"
 LINK_SQL = r"\[\[([^\[\]]*)\]\]"
+# Letters, word signs and white space as Unicode has them, spelled out for an engine whose \\w and \\s know ASCII only.
+ALPHABETIC_SQL = r"\p{L}\p{Nl}\x{24b6}-\x{24e9}\x{1f130}-\x{1f149}\x{1f150}-\x{1f169}\x{1f170}-\x{1f189}"
+WORD_SQL = ALPHABETIC_SQL + r"\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+SPACE_SQL = r"\t\n\v\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_LINES_SQL = "SELECT file_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no, unnest(string_split(text, chr(10))) AS line FROM final_articles WHERE text IS NOT NULL"
+TOKEN_SQL = f"[{WORD_SQL}]+|[^{WORD_SQL}{SPACE_SQL}]"
 L_SQL = f"""b AS (SELECT doc_id, unnest(regexp_extract_all(text, '{LINK_SQL}', 1)) AS body, unnest(range(len(regexp_extract_all(text, '{LINK_SQL}', 1)))) AS pos FROM documents),
 l AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, split_part(body, '|', 1) AS entity, CASE WHEN instr(body, '|') > 0 THEN substr(body, instr(body, '|') + 1) ELSE body END AS alias FROM b)"""
 
@@ -287,7 +293,7 @@ _text_query("files_removed_simple", m.drop_files, r"regexp_replace(text, '(?i)\[
 _text_query("links_unwrapped", m.unlink, r"regexp_replace(text, '\[\[([^\[\]]*\|)?([^\[\]|]*)\]\]', '\2', 'g')")
 _text_query("intro_cut", m.intro, "split_part(text, '==', 1)")
 _text_query("punctuation_once", m.punctuation_once, r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\(( ?[;,] ?)*\) ?', '', 'g'), '\(( ?[;,] ?)+', '(', 'g'), ' ,', ',', 'g'), ' \)', ')', 'g'), ',,+ ', ', ', 'g'), ',\)', ')', 'g'), ';\)', ')', 'g')")
-_text_query("word_count", lambda c: F.size(m.word_tokens(c)).cast("long"), r"len(regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]'))")
+_text_query("word_count", lambda c: F.size(m.word_tokens(c)).cast("long"), rf"len(regexp_extract_all(text, '{TOKEN_SQL}'))")
 
 
 @query(r"SELECT doc_id, unnest(list_transform(regexp_extract_all(text || '[[Category:' || source || '|key]]', '(?i)\[\[category:([^\[\]]*)\]\]', 1), lambda x: split_part(x, '|', 1))) AS category FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
@@ -374,7 +380,23 @@ def punctuation_fixpoint(spark, d):
     return _each(spark, d, rewriting.repair_punctuation_column(F.col("text")))
 
 
-@query()
+def _clean_sql() -> str:
+    foreign = r"(?:\n\[\[[a-z][a-z][\w-]*:[^:\]]+\]\])+(\n?)$"
+    steps = [
+        ("&nbsp;", " "), ("<!--(?s:.*?)-->", ""), (foreign, r"\1"), ("<ref[> ](?s:.*?)(</ref>|/>)", ""), ("<math[> ](?s:.*?)(</math>|/>)", ""), ("<(?s:.*?)>", ""), (r"\n{2,}", r"\n\n"),
+        (f"^[{SPACE_SQL}]+|[{SPACE_SQL}]+$", ""), (r"(?m)^\|[^\n]*\n?", ""), (r"(\n ?|\t|  )[|!](?:[^\[\]\n|]*\|)*", r"\1"), (foreign, r"\1"),
+    ]
+    out = "text"
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', " + ("E'\\n\\n'" if to == r"\n\n" else f"'{to}'") + ", 'g')"
+    names = "|".join(m.CELL_ATTRIBUTES)
+    lines = f"string_split({out}, chr(10))"
+    kept = f"list_concat(list_transform({lines}[1:1], lambda x: CASE WHEN regexp_matches(x, '^.{{0,2}}(?:{names.removesuffix('|scope=')})') THEN '' ELSE x END), list_filter({lines}[2:], lambda x: NOT regexp_matches(x, '^.{{0,4}}(?:{names})')))"
+    out = f"""replace(replace(replace(array_to_string({kept}, chr(10)), '''''''', ''), '''''', '"'), '&thinsp;', '')"""
+    return f"regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), ' ?\\( *\\)', '', 'g')"
+
+
+@query(f"SELECT doc_id, {_clean_sql()} AS out FROM documents WHERE text IS NOT NULL")
 def clean_text(spark, d):
     return _each(spark, d, m.clean_text(F.col("text")))
 
@@ -394,7 +416,14 @@ def headers_flattened(spark, d):
     return _each(spark, d, m.flatten_headers(F.col("text")))
 
 
-@query()
+_REJOIN_ONCE = r"(^|[^\n=])\n([^\n=]|$)', '\1 \2', 'g')"
+
+
+def _rejoin_sql(c: str) -> str:
+    return f"regexp_replace(regexp_replace({c}, '{_REJOIN_ONCE}, '{_REJOIN_ONCE}"  # twice: a place takes its neighbours with it
+
+
+@query(f"SELECT doc_id, {_rejoin_sql('text')} AS out FROM documents WHERE text IS NOT NULL")
 def lines_rejoined(spark, d):
     return _each(spark, d, m.rejoin_lines(F.col("text")))
 
@@ -463,7 +492,16 @@ def dictionary_json_roundtrip(spark, d):
     return back.select("key", F.size("m").alias("items"), F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query()
+_ESCAPED = "replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(rf"""WITH {I_SQL}, l AS ({_LINES_SQL}), s AS (SELECT file_id, line_no, {_ESCAPED} AS line FROM l),
+g AS (SELECT file_id, line_no, string_split_regex(line, '{LINK_SQL}') AS gaps, regexp_extract_all(line, '{LINK_SQL}', 1) AS links FROM s),
+u AS (SELECT file_id, line_no, unnest(range(1, len(gaps) + 1)) AS k, unnest(gaps) AS gap, unnest(list_concat(links, [NULL])) AS body FROM g), v AS (SELECT *, string_split(body, '|') AS p FROM u),
+w AS (SELECT v.*, i.page_id, CASE WHEN len(p) > 1 THEN p[-2] ELSE p[1] END AS alias FROM v LEFT JOIN i ON i.title = p[1]),
+x AS (SELECT file_id, line_no, string_agg(gap || CASE WHEN body IS NULL THEN '' WHEN len(p) <= 2 THEN '<a class="name">' || alias || '</a>' WHEN page_id IS NOT NULL THEN '<a style="color:blue" href="?curid=' || page_id || '">' || alias || '</a>' ELSE '<a style="color:green">' || alias || '</a>' END, '' ORDER BY k) AS body FROM w GROUP BY ALL),
+y AS (SELECT file_id, line_no, CASE WHEN starts_with(body, '===') THEN '<h4>' || trim(regexp_replace(body, '^=+|=+$', '', 'g'), ' ') || '</h4>' WHEN starts_with(body, '==') THEN '<h2>' || trim(regexp_replace(body, '^=+|=+$', '', 'g'), ' ') || '</h2>' WHEN trim(body, ' ') = '' THEN '' ELSE '<p>' || body || '</p>' END AS html FROM x)
+SELECT file_id AS page_id, string_agg(html, chr(10) ORDER BY line_no) AS html FROM y GROUP BY file_id""")
 def html_render(spark, d):
     lines = read_table(spark, d, "final_articles").select(F.col("file_id").alias("page_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "text"))
     return viewer.render_page(lines, _ids(spark, d))
@@ -665,15 +703,15 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    """Mentions (vectors divisible by 25) scored against all vectors of the same label; the few labels are salted if need be."""
+    """Mentions (vectors divisible by 100) scored against all vectors of the same label; few labels are a skewed key."""
     v = _vectors(spark, d)
-    mine = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("mention_id"), "label", F.col("v").alias("context"))
+    mine = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("mention_id"), "label", F.col("v").alias("context"))
     given = spread(v).select(F.col("vec_id").alias("wid"), "label", F.col("v").alias("vector"))
     return lookup_join(given, mine, ["label"], "inner").select("mention_id", "wid", linker.dot(F.col("context"), F.col("vector")).alias("score"), (1 + F.col("wid") % 5).cast("double").alias("prior"))
 
 
 V_SQL = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-s AS (SELECT m.vec_id AS mention_id, c.vec_id AS wid, list_inner_product(m.v, c.v) AS score, CAST(1 + c.vec_id % 5 AS DOUBLE) AS prior FROM v m JOIN v c ON m.label = c.label WHERE m.vec_id % 25 = 0 AND c.vec_id < 200),
+s AS (SELECT m.vec_id AS mention_id, c.vec_id AS wid, list_inner_product(m.v, c.v) AS score, CAST(1 + c.vec_id % 5 AS DOUBLE) AS prior FROM v m JOIN v c ON m.label = c.label WHERE m.vec_id % 100 = 0),
 x AS (SELECT *, exp(score - max(score) OVER (PARTITION BY mention_id)) AS e FROM s), p AS (SELECT mention_id, wid, prior, e / sum(e) OVER (PARTITION BY mention_id) AS posterior FROM x)"""
 FUSE_SQL = """q AS (SELECT *, prior / sum(prior) OVER (PARTITION BY mention_id) AS a, posterior / sum(posterior) OVER (PARTITION BY mention_id) AS b FROM p), j AS (SELECT *, a + b - a * b AS ab FROM q), z AS (SELECT mention_id, wid, prior, posterior, ab / sum(ab) OVER (PARTITION BY mention_id) AS joint FROM j)"""
 
@@ -724,7 +762,7 @@ def type_threshold(spark, d):
     return _vectors(spark, d).select("vec_id", F.array_join(linker.type_labels(scores).cast("array<string>"), ",").alias("labels"))
 
 
-@query("""WITH w AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 50), b AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) % 60 AS item FROM events),
+@query("""WITH w AS (SELECT vec_id AS item, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), b AS (SELECT DISTINCT user_id, CAST(floor(value) AS BIGINT) AS item FROM events),
 x AS (SELECT b.user_id, unnest(range(64)) AS d, unnest(w.v) AS y FROM b JOIN w ON b.item = w.item) SELECT user_id, CAST(d AS INTEGER) AS d, round(greatest(sum(y), 0.0), 6) AS value FROM x GROUP BY ALL""")
 def coherence_relu(spark, d):
     weights = _vectors(spark, d).select(F.col("vec_id").alias("item"), F.col("v").alias("vector"))
@@ -751,8 +789,20 @@ def posterior_loss(spark, d):
     return p.agg(F.round(F.avg(linker.cross_entropy(F.col("posterior"))), 6).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[^ -~]', ' ', 'g'), '\w+|[^\w\s]') AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, array_to_string(list_concat(t[1:4], ['_'])[1:30], ' ') AS "left", array_to_string(list_reverse(t[3:])[1:30], ' ') AS "right" FROM t WHERE len(t) > 35""")
+
+
+def _mentions_sql(line: str) -> str:
+    """u: each annotation of a line with its number k, the text before it, and the line's bare text."""
+    return rf"""l AS ({_LINES_SQL}), s AS (SELECT file_id, line_no, {line} AS line FROM l),
+g AS (SELECT file_id, line_no, string_split_regex(line, '{LINK_SQL}') AS gaps, list_transform(regexp_extract_all(line, '{LINK_SQL}', 1), lambda b: string_split(b, '|')) AS links FROM s),
+h AS (SELECT *, list_transform(links, lambda p: CASE WHEN len(p) > 1 THEN p[-2] ELSE p[1] END) AS names FROM g),
+u AS (SELECT file_id, line_no, k, coalesce(array_to_string(list_transform(range(1, k), lambda i: gaps[i] || names[i]), ''), '') || gaps[k] AS before, names[k] AS alias, links[k] AS p,
+array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(names[i], '')), '') AS bare FROM (SELECT *, unnest(range(1, len(links) + 1)) AS k FROM h))"""
+
+
+@query(rf"""WITH {_mentions_sql(f"regexp_replace(line, '({LINK_SQL})', ' \\1 ', 'g')")}, t AS (SELECT *, regexp_extract_all(bare, '{TOKEN_SQL}') AS t, len(regexp_extract_all(before, '{TOKEN_SQL}')) AS n, len(regexp_extract_all(alias, '{TOKEN_SQL}')) AS w FROM u),
+c AS (SELECT file_id, line_no, k, t[1:n + w] AS l, list_reverse(t[n + 1:]) AS r FROM t), m AS (SELECT max(len(l)) AS l, max(len(r)) AS r FROM c)
+SELECT file_id, line_no, CAST(k - 1 AS INTEGER) AS pos, array_to_string(list_concat(c.l, list_transform(range(m.l - len(c.l)), lambda i: '_')), ' ') AS "left", array_to_string(list_concat(c.r, list_transform(range(m.r - len(c.r)), lambda i: '_')), ' ') AS "right" FROM c, m""")
 def token_contexts(spark, d):
     """Whole contexts of every annotation in its line, filled up to the longest of all; documents hold no annotations."""
     lines = read_table(spark, d, "final_articles").select("file_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -827,10 +877,10 @@ def longest_alias(spark, d):
     return rows.groupBy("entity").agg(best.alias("b")).select("b.alias", "entity", (-F.col("b.neg")).cast("long").alias("chars"))
 
 
-@query()
+@query(r"SELECT title FROM (SELECT DISTINCT title FROM title2id WHERE regexp_matches(title, '^\p{L}')) ORDER BY md5(title || '7'), title LIMIT 1000")
 def title_sample(spark, d):
     """Seeded sample of 1,000 titles that begin with a letter: the sample is the feature."""
-    return read_table(spark, d, "title2id").select("title").where(F.col("title").rlike(r"^\p{L}")).distinct().orderBy(F.xxhash64("title", F.lit(7)), "title").limit(1000)
+    return evaluation.sample(read_table(spark, d, "title2id").select("title"), "title", 1000, seed=7)
 
 
 # Comparison of two annotators
@@ -848,18 +898,33 @@ def comparable_pages(spark, d):
     return _rivals(spark, d).select("title").distinct()
 
 
-@query()
+def _side_sql(name: str, text: str) -> str:
+    """Spans of one annotator's introductions: those it added, neighbours merged two and two."""
+    return rf"""{name}0 AS (SELECT title, {_rejoin_sql(f"regexp_replace(split_part({text}, '==', 1), '^[{SPACE_SQL}]+|[{SPACE_SQL}]+$', '', 'g')")} AS t FROM pairs),
+{name}1 AS (SELECT title, string_split_regex(t, '{LINK_SQL}') AS gaps, list_transform(regexp_extract_all(t, '{LINK_SQL}', 1), lambda b: string_split(b, '|')) AS links FROM {name}0),
+{name}2 AS (SELECT *, list_transform(links, lambda p: CASE WHEN len(p) > 1 THEN p[-2] ELSE p[1] END) AS names FROM {name}1),
+{name}3 AS (SELECT title, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(names[i], '')), '') AS bare, length(coalesce(array_to_string(list_transform(range(1, k), lambda i: gaps[i] || names[i]), ''), '') || gaps[k]) AS s, length(names[k]) AS n, links[k] AS p FROM (SELECT *, unnest(range(1, len(links) + 1)) AS k FROM {name}2)),
+{name}4 AS (SELECT title, bare, s, s + n AS e FROM {name}3 WHERE (len(p) > 1 AND p[-1] NOT IN ('ANCHOR', 'annotation')) OR (len(p) > 2 AND p[1] = title)),
+{name}5 AS (SELECT *, CASE WHEN lag(e) OVER w <= s AND trim(substr(bare, CAST(lag(e) OVER w + 1 AS INTEGER), CAST(s - lag(e) OVER w AS INTEGER)), ' ') = '' THEN 0 ELSE 1 END AS fresh FROM {name}4 WINDOW w AS (PARTITION BY title ORDER BY s, e)),
+{name}6 AS (SELECT *, sum(fresh) OVER (PARTITION BY title ORDER BY s, e) AS run FROM {name}5), {name}7 AS (SELECT *, (row_number() OVER (PARTITION BY title, run ORDER BY s, e) - 1) // 2 AS pair FROM {name}6),
+{name} AS (SELECT title, min(s) AS s, max(e) AS e FROM {name}7 GROUP BY title, run, pair)"""
+
+
+@query(rf"""WITH pairs AS (SELECT CAST(file_id AS VARCHAR) AS title, text AS a, regexp_replace(text, '\|[a-z_]+\]\]', '|FIRST]]', 'g') AS b FROM final_articles WHERE text IS NOT NULL AND file_id % 3 <> 0),
+{_side_sql('x', 'a')}, {_side_sql('y', 'b')}, j AS (SELECT x.s AS l, y.s AS r FROM x FULL OUTER JOIN y ON x.title = y.title AND x.s < y.e AND y.s < x.e)
+SELECT count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) AS both, count(*) FILTER (r IS NULL) AS left_only, count(*) FILTER (l IS NULL) AS right_only FROM j""")
 def annotator_agreement(spark, d):
     return evaluation.agreement(evaluation.side_by_side(_rivals(spark, d)))
 
 
-@query()
+@query(rf"""WITH {_mentions_sql("line")} SELECT file_id, line_no, CAST(len(regexp_extract_all(before, '{TOKEN_SQL}')) AS INTEGER) AS token_start, CAST(len(regexp_extract_all(alias, '{TOKEN_SQL}')) AS INTEGER) AS token_len, CAST(length(before) AS INTEGER) AS char_start,
+CASE WHEN len(p) > 2 THEN p[1] END AS entity, alias, CASE WHEN len(p) > 1 THEN p[-1] END AS tag FROM u WHERE line_no <= 3000""")
 def token_mentions(spark, d):
     rows = read_table(spark, d, "final_articles").select("file_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return linker.first_lines(rows).select("file_id", "line_no", F.explode(linker.token_mentions(F.col("line"))).alias("x")).select("file_id", "line_no", "x.*")
 
 
-@query(r"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[^ -~]', ' ', 'g')), '[a-z]+'))), ' ') AS bag FROM documents WHERE text IS NOT NULL""")
+@query(rf"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[{ALPHABETIC_SQL}\p{{M}}\x{{200c}}\x{{200d}}]+'))), ' ') AS bag FROM documents WHERE text IS NOT NULL""")
 def document_bag(spark, d):
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{IsAlphabetic}\p{M}\p{IsJoin_Control}]+"), F.lit(0))
     return _docs(spark, d).select("doc_id", F.array_join(F.array_sort(F.array_distinct(words)), " ").alias("bag"))

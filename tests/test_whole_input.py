@@ -16,7 +16,7 @@ def test_every_vector_is_a_candidate(spark):
     rows = [(r["vec_id"], r["label"], [float(x) for x in r["embedding"]]) for r in q.read_table(spark, DATA, "embeddings").collect()]
     want = {}
     for m, label, v in rows:
-        if m % 25 == 0:
+        if m % 100 == 0:
             scores = {w: sum(a * b for a, b in zip(v, u)) for w, k, u in rows if k == label}
             top = max(scores.values())
             e = {w: math.exp(s - top) for w, s in scores.items()}
