@@ -45,14 +45,14 @@ def _brute(items, docs, n):
         w = leaks.words(t)
         for k in range(len(w) - n + 1):
             grams[tuple(w[k : k + n])].add(i)
-    return {(d, i) for d, t in docs for s in leaks.streams(t or "") for k in range(len(s) - n + 1) for i in grams.get(tuple(s[k : k + n]), ())}
+    return {(d, i) for d, t in docs for s in map(str.split, leaks.streams(t or "")) for k in range(len(s) - n + 1) for i in grams.get(tuple(s[k : k + n]), ())}
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_leaks_against_brute_force(seed):
     items, docs = _planted(seed)
     index = leaks.Items(items)
-    got = {(d, i) for (d, _), found in zip(docs, leaks.find([t for _, t in docs], index)) for i, _, w in found if w >= 12}
+    got = {(d, i) for (d, _), found in zip(docs, leaks.find([leaks.streams(t) for _, t in docs], index)) for i, _, w in found if w >= 12}
     assert got == _brute(items, docs, 12)
 
 
@@ -60,8 +60,42 @@ def test_near_matches_within_the_budget():
     w = "the quick brown foxes jumped over seventeen lazy dogs beside nine quiet rivers yesterday evening".split()
     index = leaks.Items([(7, " ".join(w))])
     changed = " ".join(w[:7] + ["laxy"] + w[8:])
-    assert [(i, run) for i, _, run in leaks.find([changed], index)[0]] == [(7, 7)]
-    assert leaks.find(["nothing of it", "", None], index) == [[], [], []]
+    assert [(i, run) for i, _, run in leaks.find([leaks.streams(changed)], index)[0]] == [(7, 7)]
+    assert leaks.find([leaks.streams("nothing of it"), [], None], index) == [[], [], []]
+
+
+def test_repetitive_documents_stay_small():
+    """A 40 KB document of twelve words against 300 such items: bounded memory, and all that brute force finds."""
+    import tracemalloc
+
+    rng = random.Random(1)
+    vocabulary = "river mountain bridge town old market lake valley castle harbour road church".split()
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(350))) for i in range(300)]
+    doc = " ".join(rng.choice(vocabulary) for _ in range(6_600))
+    doc += " " + " ".join(items[7][1].split()[40:60])
+    index = leaks.Items(items)
+    tracemalloc.start()
+    found = leaks.find([leaks.streams(doc)], index)[0]
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert {(0, i) for i, _, w in found if w >= 12} == _brute(items, [(0, doc)], 12)
+
+
+@pytest.mark.parametrize("pairs", [50, 3_000])
+def test_tiles_change_nothing(monkeypatch, pairs):
+    items, docs = _planted(4)
+    texts = [leaks.streams(t) for _, t in docs]
+    want = leaks.find(texts, leaks.Items(items))
+    monkeypatch.setattr(leaks, "PAIRS_AT_ONCE", pairs)
+    got = leaks.find(texts, leaks.Items(items))
+    assert [{(i, w) for i, _, w in f if w >= 12} for f in got] == [{(i, w) for i, _, w in f if w >= 12} for f in want]
+
+
+def test_runs_by_hashes():
+    rng = random.Random(6)
+    for _ in range(200):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(1, 60))] for _ in range(2))
+        assert leaks.run_length(a, b, leaks.word_hashes(a), leaks.word_hashes(b)) == leaks.longest_run(a, b)
 
 
 def test_alignment_by_itself():
