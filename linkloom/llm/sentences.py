@@ -2,12 +2,15 @@
 
 Every character is tagged boundary (B: last character of a sentence) or inside (I) by a linear-chain model with
 averaged-perceptron weights and Viterbi decoding. Characters that no sentence of the script can end with (they are no
-stop, no closing mark after a stop, no space in Thai) have the tag I fixed, so the chain is decoded over the others
-only, which gives the same best path. Edge weights see the tag before and whether a quotation was opened right there.
+stop of any script, no closing mark after one, no space between letters of a script that parts sentences by spaces) have
+the tag I fixed, so the chain is decoded over the others only, which gives the same best path. Which of these a place is
+depends on the letters around it, not on the line. Edge weights see the tag before and whether a quotation was opened
+right there.
 
 Training labels come from the text itself: `silver` labels the stops of a bounded sample of documents by the
-orthography around them, the model generalises from the parts of that evidence. For scripts that are written without
-stops a second tagger (`train_unspaced`) is trained on text whose spaces were stripped and reads character n-grams.
+orthography around them, the model generalises from the parts of that evidence. Long stretches of a script without
+spaces between words, in which there is no stop and no space at all, are cut by a second tagger (`train_unspaced`): it
+is trained on the same sample with stops and spaces stripped and reads character n-grams.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +33,15 @@ TRAIN_DOCUMENTS = 2_000
 #: Longer documents are not drawn, which bounds what the driver receives.
 TRAIN_CHARS = 20_000
 EPOCHS = 4
+#: Rounds of the tagger for stretches without stops, which reads every character.
+UNSPACED_EPOCHS = 6
 #: Scores that a tagger keeps by their facts.
 KNOWN_SCORES = 200_000
 
 # Abbreviations that stand before a name, number or explanation and so end no sentence.
 NEVER = set(
     "mr mrs ms dr prof rev gen capt col lt sgt maj hon st fr mt no nos vol vols pp ch chap fig figs ed eds cf sec art ca approx env aprox "
-    "e.g i.e viz vs vgl bd bde nr abb hptm z.b u.a d.h c.-à-d p.ex pág págs sr sra srta dra dña mme mlle mgr me "
+    "e.g i.e viz vs vgl bd bde nr abb hptm mio mrd tsd z.b u.a d.h c.-à-d p.ex pág págs sr sra srta dra dña mme mlle mgr me "
     "см им акад проф г-н т.е т.к напр стр рис гл ул тов डॉ श्री कि.मी सन् पृ د أ م ص".split()
 )
 # Abbreviations that may also be the last word of a sentence.
@@ -54,15 +60,28 @@ CLOSE = {c: o for o, c in OPEN.items()} | {"“": "„"}
 MARK = re.compile("[\"%s]" % re.escape("".join([*OPEN, *CLOSE])))
 QUOTES = set("«„“‘「『\"'‹")
 TITLES = set("《〈")
-STOPS = set(".!?…。！？।॥؟۔｡")
-WIDE = set("。！？…｡")
+#: Sentence terminals of all scripts by their Unicode property, without the Burmese comma, which has it too; and marks that
+#: end sentences though the property leaves them out: ellipsis and Tibetan strokes.
+STOPS = {c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Terminal}", c)} - {"\u104a"} | set("…།༎")
+#: Stops that mean more than one thing, or that are followed by a space like them; all others end a sentence by themselves.
+NARROW = set(".!?؟।॥۔\u2024‼‽⁇⁈⁉")
+WIDE = STOPS - NARROW
 LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 ANNOTATION = re.compile(r"\[\[[^\[\]\n]*\]\]")
-ANCHOR = re.compile(r"""[.!?…。！？।॥؟۔｡]+""")
+ANCHOR = re.compile("[%s]+" % re.escape("".join(sorted(STOPS))))
 WORD_ENDS = set("([«„“‘”»\"「『（,;:/—–")
 NEXT_WORD = re.compile(r"[\w.\-’']+")
 LIST_LINE = re.compile(r"\s*(?:[*#•;:]|[-–]\s)")
-THAI = re.compile(r"[฀-๿]")
+#: Scripts that part sentences, not words, by spaces: Thai, Lao.
+THAI = re.compile("[\u0e00-\u0eff]")
+#: Scripts without spaces between words: those, Burmese, Khmer, kana and Chinese characters.
+UNSPACED = "\u0e00-\u0eff\u1000-\u1049\u1050-\u109f\u1780-\u17d3\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff"
+HAN = re.compile("[\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
+#: Characters without stop and space that are too many for one sentence.
+LONG_STRETCH = 60
+STRETCH = re.compile(f"[{UNSPACED}]{{{LONG_STRETCH},}}")
+NUMBER = re.compile(r"[\d.,:/]+")
+INITIALS = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
 SAID_EN = re.compile(r"(?:[^\W\d_][\w’'\-]* ){1,3}(?:%s)\b" % "|".join(SAID["en"].split()))
 SAID_AR = re.compile(r"(?:و|ف)?(?:%s)\b" % "|".join(SAID["ar"].split()))
 SAID_HI = re.compile(r"\S+(?: \S+)? ने [^।?!]{0,20}?(?:%s)" % "|".join(SAID["hi"].split()))
@@ -72,17 +91,40 @@ STARTER = re.compile(r"al-[^\W\d_]|[a-zа-я][A-ZА-Я]|(?:г-н|г-жа|им\.|
 
 
 def _shadow(line: str) -> str:
-    """The line with each annotation as a plain word of its length, its first and last character those of the alias."""
+    """The line with each annotation as a plain word of its length that begins and ends like its alias."""
 
     def word(m: re.Match) -> str:
         parts = m.group()[2:-2].split("|")
         alias = (parts[-2] if len(parts) > 1 else parts[0]).strip() or "x"
-        fill = "0" if alias.isdigit() else "x"
-        return (alias[0] if alias[0].isalnum() else "X") + fill * (len(m.group()) - 1)
+        if alias.isdigit():
+            return alias[0] + "0" * (len(m.group()) - 1)
+        end = alias[-1] if THAI.match(alias[-1]) or HAN.match(alias[-1]) else "x"
+        return (alias[0] if alias[0].isalnum() else "X") + "x" + "_" * (len(m.group()) - 3) + end
 
     return ANNOTATION.sub(word, line) if "[[" in line else line
 
 
+def _near(s: str, at: int, step: int, least: int, most: int) -> str:
+    """The nearest letter from `at` on in the direction of step, '' if there is none nearby."""
+    while least <= at < most:
+        c = s[at]
+        if c.isalpha() or THAI.match(c):
+            return c
+        at += step
+    return ""
+
+
+def _parting(s: str, i: int, j: int, unstopped: bool) -> bool:
+    """Whether the white space s[i:j] may end a sentence by itself: between letters of a script that does so, with most
+    letters around of that script; and between Chinese or Japanese letters in lines without any stop."""
+    left, right = _near(s, i - 1, -1, max(0, i - 40), i), _near(s, j, 1, j, min(len(s), j + 40))
+    if left and right and THAI.match(left) and THAI.match(right):
+        around = s[max(0, i - 40) : j + 40]
+        own = len(THAI.findall(around))
+        return own >= sum(c.isalpha() and not THAI.match(c) for c in around)
+    return bool(unstopped and HAN.match(s[i - 1]) and HAN.match(s[j]))
+
+
 def _pairs(s: str) -> dict[int, int]:
     """Positions of opening marks and of the marks that close them, unmatched ones left out."""
     stack: list[tuple[str, int]] = []
@@ -171,31 +213,42 @@ def _next_kind(s: str, j: int, n: int) -> tuple[str, int]:
     return "mark", j
 
 
+_kinds: dict[str, tuple[str, str]] = {}
+
+
+def _plain_kind(word: str) -> tuple[str, str]:
+    """Kind and lower-cased form of a word that tells its kind by itself."""
+    low = word.lower().strip("'’")
+    if word.isdigit() or NUMBER.fullmatch(word):
+        return "number", low
+    if low in MAYBE:
+        return "maybe", low
+    if low in NEVER:
+        return "never", low
+    return ("initial" if INITIALS.fullmatch(word) else "word"), low
+
+
 def _word_kind(s: str, start: int) -> tuple[str, str]:
     """Kind and lower-cased form of the word before a full stop at start."""
     begin, least = start, max(0, start - 40)
     while begin > least and s[begin - 1] not in WORD_ENDS and not s[begin - 1].isspace():
         begin -= 1
     word = s[begin:start]
-    low = word.lower().strip("'’")
     if not word:
         return ("closed" if start and s[start - 1] in "”»)）」』\"“" else "none"), ""
-    if word.isdigit() or re.fullmatch(r"[\d.,:/]+", word):
-        return "number", low
-    if low in MAYBE:
-        return "maybe", low
-    if len(word) == 1 and word.isalpha():
-        before = s[max(0, start - 60) : start - 1]
+    if len(word) == 1 and word.isalpha() and word.lower() not in MAYBE:
+        low, before = word.lower(), s[max(0, start - 60) : start - 1]
         if word == "A" and re.search(r"[^\W\d_]*[a-zà-ÿ] S\. $", before) and re.search(r"(?:^|\s)[A-ZÀ-Þ][^\W\d_]+ S\. $", before):
             return "maybe", "s.a"
         if low == "е" and before.endswith("т. "):
             return "never", low
         return "initial", low
-    if low in NEVER:
-        return "never", low
-    if re.fullmatch(r"(?:[^\W\d_]\.)+[^\W\d_]", word):
-        return "initial", low
-    return "word", low
+    kind = _kinds.get(word)
+    if kind is None:
+        if len(_kinds) > KNOWN_SCORES:
+            _kinds.clear()
+        kind = _kinds[word] = _plain_kind(word)
+    return kind
 
 
 def spots(line: str, label: bool = False) -> list[Spot]:
@@ -209,26 +262,28 @@ def spots(line: str, label: bool = False) -> list[Spot]:
     opener = {c: o for o, c in pairs.items()}
     opens_at = sorted(pairs)
     reach = list(accumulate((pairs[o] for o in opens_at), max))  # how far the marks opened so far are open
-    thai = bool(THAI.search(s))
+    places = [m.span() for m in ANCHOR.finditer(s, 0, n)]
+    parting: set[int] = set()  # where the spaces are that may end a sentence
+    if THAI.search(s) or (not places and HAN.search(s)):
+        for m in re.finditer(r"\s+", s[:n]):
+            if m.start() and _parting(s, *m.span(), not places):
+                parting.add(m.start())
+        places = sorted({*[(i, j) for i, j in places if j not in parting and not (s[i] == "." and THAI.match(_near(s, i - 1, -1, max(0, i - 40), i)))], *[(i, -1) for i in parting]})
     last_end, first = 0, len(s) - len(s.lstrip())
 
     def covered(start: int, end: int) -> bool:
         k = bisect_left(opens_at, start)
         return k > 0 and reach[k - 1] >= end
 
-    for m in (re.finditer(r"\s+", s[:n]) if thai else ANCHOR.finditer(s, 0, n)):
-        i, j = m.span()
-        if thai and not i:
-            continue
-        if thai and not (THAI.match(s[i - 1]) or THAI.match(s[j : j + 1]) or s[j : j + 1] in "“”\"'("):
-            continue
-        if not thai and s[i] == "." and j - i == 1 and 0 < i < n - 1 and s[i - 1].isdigit() and s[i + 1].isdigit():
-            continue
-        if thai:
+    for i, j in places:
+        if j < 0:
+            j = i + len(s[i:n]) - len(s[i:n].lstrip())
             near = s[i - 1].isdigit() or s[j].isdigit()
             inside = covered(i, i + 1)
             f = (f"th:{near}:{inside}", f"th1:{s[i - 1]}|{s[j]}")
-            found.append(Spot(i, f, "thai", not near and not inside if label else None))
+            found.append(Spot(i, f, "parting", not near and not inside if label else None))
+            continue
+        if s[i] == "." and j - i == 1 and 0 < i < n - 1 and s[i - 1].isdigit() and s[i + 1].isdigit():
             continue
         end, closed = j, []
         while True:  # closing marks after the stop, in French with a space before them
@@ -249,7 +304,7 @@ def spots(line: str, label: bool = False) -> list[Spot]:
         stop = s[i:j]
         kind, at = _next_kind(s, end, n)
         gap = at > end
-        stop_kind = "wide" if set(stop) <= WIDE and stop[0] != "…" or stop == "……" else "dots" if len(stop) > 1 and set(stop) <= set(".…") or stop == "…" else "danda" if stop[0] in "।॥" else stop[-1]
+        stop_kind = "wide" if set(stop) <= WIDE and stop[0] != "…" or stop == "……" else "dots" if len(stop) > 1 and set(stop) <= set(".…") or stop == "…" else "danda" if stop[0] in "।॥" else stop[-1] if stop[-1] in NARROW else "wide"
         word, low = _word_kind(s, i) if stop == "." else ("-", "")
         spaced = i > 0 and s[i - 1].isspace()
         o = closed[-1] if closed else None
@@ -384,15 +439,20 @@ def train(texts: list[str], epochs: int = EPOCHS) -> Tagger:
     return Tagger.train(chains, epochs)
 
 
-def ends(text: str, tagger: Tagger) -> list[int]:
-    """Positions after the last character of each sentence of text."""
+def ends(text: str, tagger: Tagger, unspaced: Tagger | None = None) -> list[int]:
+    """Positions after the last character of each sentence of text; `unspaced` cuts stretches without stop and space."""
     out, at = [], 0
     for m in [*LINE.finditer(text), None]:
         line = text[at : m.start() if m else len(text)]
         length = len(line.rstrip())
         if length:
             chain = spots(line)
-            out += [at + x.end for x, tag in zip(chain, tagger.decode(chain)) if tag]
+            own = [x.end for x, tag in zip(chain, tagger.decode(chain)) if tag]
+            if unspaced is not None:
+                for run in STRETCH.finditer(line):
+                    own += [run.start() + e for e in ends_unspaced(run[0], unspaced)[:-1]]
+                own.sort()
+            out += [at + e for e in own]
             out.append(at + length)
         if m:
             at = m.end()
@@ -402,6 +462,9 @@ def ends(text: str, tagger: Tagger) -> list[int]:
 # Scripts written without stops: characters of text whose spaces were stripped, tagged from the n-grams around them.
 
 
+STRIPPED = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+
+
 def _unspaced_chain(s: str) -> list[Spot]:
     padded = f"^^^{s}$$$"
     out = []
@@ -412,14 +475,18 @@ def _unspaced_chain(s: str) -> list[Spot]:
 
 
 def train_unspaced(texts: list[str], epochs: int = 3 * EPOCHS, tagger: Tagger | None = None) -> Tagger:
-    """Tagger for unspaced, unpunctuated text, from documents whose sentences `tagger` (else silver labels) can tell."""
+    """Tagger for unspaced, unpunctuated text, from the lines in such scripts of documents whose sentences `tagger` (else
+    silver labels) can tell, those that have stretches without stops left out. All else than letters, marks and digits is
+    stripped from them."""
     tagger = tagger or train(texts)
     chains = []
     for text in texts:
         for line in LINE.split(text or ""):
+            if 2 * sum(map(len, re.findall(f"[{UNSPACED}]+", line))) < len(line) or STRETCH.search(line):
+                continue
             cuts, stripped, seen, at = [], [], 0, 0
             for end in ends(line, tagger):
-                part = re.sub(r"[\s.!?…。！？।॥؟۔]+", "", line[at:end])
+                part = STRIPPED.sub("", line[at:end])
                 stripped.append(part)
                 seen += len(part)
                 cuts.append(seen)
@@ -437,36 +504,50 @@ def ends_unspaced(line: str, tagger: Tagger) -> list[int]:
     return [x.end for x, tag in zip(chain, tagger.decode(chain)) if tag] + ([len(line)] if line else [])
 
 
+def sample(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS) -> list[str]:
+    """At most `documents` distinct texts of at most TRAIN_CHARS characters, those whose hash is lowest."""
+    rows = df.select(F.col(text).alias("text")).where(F.char_length("text") <= TRAIN_CHARS).distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
+    return [r["text"] for r in rows.collect()]
+
+
 def fit(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS, epochs: int = EPOCHS) -> Tagger:
-    """Train on at most `documents` distinct texts of at most TRAIN_CHARS characters, those whose hash is lowest."""
-    sample = df.select(F.col(text).alias("text")).where(F.char_length("text") <= TRAIN_CHARS).distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
-    return train([r["text"] for r in sample.collect()], epochs)
+    """Tagger trained on a bounded sample of df."""
+    return train(sample(df, text, documents), epochs)
+
+
+def has_stretches(df: DataFrame, text: str = "text") -> bool:
+    """Whether any text has a stretch that only the second tagger can cut."""
+    return not df.where(F.col(text).rlike(STRETCH.pattern)).isEmpty()
 
 
-def sentence_ends(texts: Column, tagger: Tagger) -> Column:
+def sentence_ends(texts: Column, tagger: Tagger, unspaced: Tagger | None = None) -> Column:
     """Column of arrays: for each text the character positions at which its sentences end."""
-    weights = dict(tagger.weights)
+    weights, more = dict(tagger.weights), None if unspaced is None else dict(unspaced.weights)
 
     @F.pandas_udf("array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = Tagger(weights)
+        own, second = Tagger(weights), None if more is None else Tagger(more)
         for batch in batches:
-            yield batch.map(lambda t: ends(t, own) if isinstance(t, str) else [])
+            yield batch.map(lambda t: ends(t, own, second) if isinstance(t, str) else [])
 
     # else the optimizer copies the tagging into a filter below the distinct, and every text is tagged twice
     return run.asNondeterministic()(texts)
 
 
-def sentences(df: DataFrame, id_col: str, text: str = "text", tagger: Tagger | None = None) -> DataFrame:
+def sentences(df: DataFrame, id_col: str, text: str = "text", tagger: Tagger | None = None, unspaced: Tagger | None = None) -> DataFrame:
     """(id, start_char, end_char, sentence), one row per sentence of every distinct (id, text).
 
     Positions count code points; start is that of the sentence's first character that is no white space. Null, empty
     and blank texts have no sentences. Very long texts are read line by line and never cut. Other columns of df are
-    not carried over.
+    not carried over. Taggers that are not given are trained on a sample of df, the one for stretches without stops only
+    where there are any.
     """
-    tagger = tagger or fit(df, text)
+    if tagger is None or unspaced is None and has_stretches(df, text):
+        texts = sample(df, text)
+        tagger = tagger or train(texts)
+        unspaced = unspaced or (train_unspaced(texts, UNSPACED_EPOCHS, tagger) if has_stretches(df, text) else None)
     rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text")).where("__text is not null")
-    cut = distinct_over(rows).withColumn("__ends", sentence_ends(F.col("__text"), tagger))
+    cut = distinct_over(rows).withColumn("__ends", sentence_ends(F.col("__text"), tagger, unspaced))
     each = cut.select("__id", "__text", F.posexplode("__ends").alias("pos", "end_char"), "__ends")
     raw_start = F.when(F.col("pos") == 0, 0).otherwise(F.element_at("__ends", F.greatest(F.col("pos"), F.lit(1))))
     piece = F.substring(F.col("__text"), raw_start + 1, F.col("end_char") - raw_start)
