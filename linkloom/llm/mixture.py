@@ -13,9 +13,11 @@ from linkloom.llm.tokens import DEFAULT_TOKENIZER, token_count
 from linkloom.session import distinct_over, materialize
 
 #: Buckets into which ranks are counted before the one that holds the cut is put in order.
-RANK_BUCKETS = 4096
-#: A weights table is configuration: more rows than this are refused.
-MAX_SOURCES = 10_000
+RANK_BUCKETS = 1_024
+#: A weights table is configuration: more rows than this are refused, so the driver gets a million counts at most.
+MAX_SOURCES = 1_000
+#: Share of a source's quota that may be missing in the end, as long as anything is left that fits.
+TOLERANCE = 0.002
 
 
 def source_reading(c: Column) -> Column:
@@ -50,6 +52,29 @@ def _scale(rest: float, groups: list[tuple[float, float]]) -> float:
     return high
 
 
+def _cuts(units: DataFrame, order: str, rest: dict[str, float], width: float) -> DataFrame:
+    """units (id, source, tokens, `order`) in that order as far as `rest` tokens of their source reach; the first that does
+    not fit and all behind it are left out.
+
+    The order is counted in buckets; only the bucket with the cut is sorted, so no source is one task.
+    """
+    spark = units.sparkSession
+    given = spark.createDataFrame(list(rest.items()), "source string, rest double")
+    units = units.join(F.broadcast(given), "source").withColumn("bucket", F.floor(F.col(order) * width).cast("int"))
+    counted = sorted((r["source"], r["bucket"], r["t"]) for r in units.groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).collect())
+    cuts: dict[str, tuple[int, float]] = {}
+    run: dict[str, float] = {}
+    for s, b, t in counted:
+        if s not in cuts and run.get(s, 0.0) + t > rest[s]:
+            cuts[s] = (b, rest[s] - run.get(s, 0.0))
+        run[s] = run.get(s, 0.0) + t
+    edge = spark.createDataFrame([(s, *cuts.get(s, (1 << 30, 0.0))) for s in rest], "source string, cut int, missing double")
+    units = units.join(F.broadcast(edge), "source")
+    upto = F.sum("tokens").over(Window.partitionBy("source").orderBy(order, "id"))
+    at_cut = units.where("bucket = cut").withColumn("upto", upto).where("upto <= missing")
+    return units.where("bucket < cut").select("id", "source").unionByName(at_cut.select("id", "source"))
+
+
 def mixture(df: DataFrame, weights: DataFrame, id_col: str, text: str = "text", source: str = "source", weight: Column | None = None, total_tokens: int | None = None, seed: int = 0, tokenizer: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """The mixture (id, source, tokens, copies) and its report (source, target_share, tokens, share, documents, copies).
 
@@ -57,11 +82,12 @@ def mixture(df: DataFrame, weights: DataFrame, id_col: str, text: str = "text",
     documents can bear at its share; with it, sources that cannot are used max_repeat times and fall short. Shares of
     sources without documents go to the others in proportion. Whole copies of all documents of a source are certain;
     the rest is a Pareto order sample: documents are ranked by U/(1-U) over p/(1-p), U a hash of the id, p the
-    inclusion probability in proportion to `weight` (default 1), and taken in that order until the tokens are reached,
-    to the nearest document. No document is used more than max_repeat times.
+    inclusion probability in proportion to `weight` (default 1), and taken in that order as far as the tokens reach.
+    What is then missing is filled up in the same order with documents that still fit, once more each as long as none
+    is used more than max_repeat times, until TOLERANCE is met or nothing fits.
 
     Null and empty texts have no tokens and are left out, as are documents without a listed source. Rows that repeat as
-    a whole count once. Ranks are counted in buckets; only the bucket with the cut is sorted, so no source is one task.
+    a whole count once.
     """
     rows = weights.select(source_reading(F.col("source")).alias("source"), "target_share", "max_repeat").distinct().limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
@@ -78,28 +104,32 @@ def mixture(df: DataFrame, weights: DataFrame, id_col: str, text: str = "text",
         t, n = have.get(g["source"], (0, 0))
         have[g["source"]] = (t + g["tokens"], n + g["n"])
     plan = _plan(rows, have, total_tokens)
+    most = {w["source"]: w["max_repeat"] for w in rows}
     scales = {s: _scale(p["rest"], [(g["w"], g["tokens"]) for g in groups if g["source"] == s]) for s, p in plan.items()}
-    known = spark.createDataFrame([(s, p["copies"], float(p["rest"]), float(scales[s])) for s, p in plan.items()], "source string, copies int, rest double, scale double")
+    known = spark.createDataFrame([(s, p["copies"], most[s], float(scales[s])) for s, p in plan.items()], "source string, copies int, most int, scale double")
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     p = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("scale") * F.col("w")))
     odds = (u / (1 - u)) / (p / (1 - p))
-    ranked = sized.join(F.broadcast(known), "source").withColumn("rank", odds / (1 + odds)).withColumn("bucket", F.least(F.floor(F.col("rank") * RANK_BUCKETS), F.lit(RANK_BUCKETS - 1)).cast("int"))
-    counted = sorted((r["source"], r["bucket"], r["t"]) for r in ranked.where("rest > 0").groupBy("source", "bucket").agg(F.sum("tokens").alias("t")).collect())
-    cuts: dict[str, tuple[int, float]] = {}
-    run: dict[str, float] = {}
-    for s, b, t in counted:
-        if s not in cuts:
-            if run.get(s, 0.0) + t >= plan[s]["rest"]:
-                cuts[s] = (b, plan[s]["rest"] - run.get(s, 0.0))
-            run[s] = run.get(s, 0.0) + t
-    edge = spark.createDataFrame([(s, *cuts.get(s, (RANK_BUCKETS, 0.0))) for s in plan], "source string, cut int, missing double")
-    ranked = ranked.join(F.broadcast(edge), "source")
-    order = Window.partitionBy("source").orderBy("rank", "id")
-    at_cut = ranked.where("bucket = cut").withColumn("before", F.sum("tokens").over(order) - F.col("tokens"))
-    at_cut = at_cut.withColumn("extra", (F.col("missing") - F.col("before") > F.col("tokens") / 2).cast("int")).drop("before")
-    other = ranked.where("bucket <> cut").withColumn("extra", ((F.col("bucket") < F.col("cut")) & (F.col("rest") > 0)).cast("int"))
-    mixed = other.unionByName(at_cut).select(F.col("id").alias(id_col), "source", "tokens", (F.col("copies") + F.col("extra")).alias("copies")).where("copies > 0")
-    mixed = materialize(mixed, "mixture")
+    ranked = materialize(sized.join(F.broadcast(known), "source").select("id", "source", "tokens", "copies", "most", (odds / (1 + odds)).alias("rank")), "ranked")
+    missing = {s: p["rest"] for s, p in plan.items() if p["rest"] > 0}
+    extra = ranked.select("id", F.lit(0).alias("extra")).limit(0)
+    if missing:
+        extra = materialize(_cuts(ranked, "rank", missing, RANK_BUCKETS).select("id", F.lit(1).alias("extra")), "extra")
+    while True:
+        now = ranked.join(extra, "id", "left").withColumn("copies", F.col("copies") + F.coalesce("extra", F.lit(0))).drop("extra")
+        used = {r["source"]: r["t"] for r in now.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("t")).collect()}
+        missing = {s: p["quota"] - used[s] for s, p in plan.items() if p["quota"] - used[s] > TOLERANCE * p["quota"]}
+        if not missing:
+            break
+        given = spark.createDataFrame([(s, float(m)) for s, m in missing.items()], "source string, gap double")
+        fits = now.join(F.broadcast(given), "source").where("tokens <= gap and copies < most")
+        each = fits.select("id", "source", "tokens", "rank", F.posexplode(F.sequence(F.col("copies"), F.col("most") - 1)).alias("turn", "copy")).withColumn("at", F.col("turn") + F.col("rank"))
+        # few and small documents are what fits into a gap, in as many copies as they may still have
+        more = materialize(_cuts(each, "at", missing, 64).groupBy("id").agg(F.count(F.lit(1)).cast("int").alias("extra")), "fill")
+        if more.isEmpty():
+            break
+        extra = materialize(extra.unionByName(more).groupBy("id").agg(F.sum("extra").cast("int").alias("extra")), "extra")
+    mixed = materialize(now.where("copies > 0").select(F.col("id").alias(id_col), "source", "tokens", "copies"), "mixture")
     used = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.sum("copies").cast("long").alias("copies"))
     wanted = spark.createDataFrame([(w["source"], w["target_share"], w["max_repeat"]) for w in rows], T.StructType([T.StructField("source", T.StringType()), T.StructField("target_share", T.DoubleType()), T.StructField("max_repeat", T.IntegerType())]))
     full = wanted.join(F.broadcast(used), "source", "left").fillna(0, ["tokens", "documents", "copies"])

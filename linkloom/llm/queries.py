@@ -56,8 +56,9 @@ def p8_regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Longer documents are likelier to be drawn: their inclusion odds grow with the logarithm of their length."""
     docs = read_table(spark, d, "documents")
-    return mixture.mixture(docs, read_table(spark, d, "source_weights"), "doc_id")
+    return mixture.mixture(docs, read_table(spark, d, "source_weights"), "doc_id", weight=F.log2(F.char_length("text") + 2.0))
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
