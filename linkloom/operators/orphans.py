@@ -8,33 +8,55 @@ from pyspark.sql.window import Window
 
 from linkloom.session import lookup_join, materialize
 
-#: The filter never grows beyond this (nor beyond the session's spark.sql.optimizer.runtime.bloomFilter.maxNumBits); with
-#: more keys it lets more references through to the exact join.
-MAX_FILTER_BYTES = 8 << 20
+#: One filter, as large as the engine's own aggregate makes them (spark.sql.optimizer.runtime.bloomFilter.maxNumBits).
+SHARD_BYTES = 8 << 20
+#: Filters that are broadcast at most, 256 MB: enough for 220 million keys at one false positive in a hundred. With more
+#: keys more references pass on to the exact join, which settles them all the same.
+MAX_SHARDS = 32
 
 
-def bloom_filter(df: DataFrame, hashed: Column, items: int, fpp: float = 0.01, max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
-    """One row with the Bloom filter of a long column: the engine's own aggregate, merged from partial filters."""
+def bloom_shards(keys: DataFrame, hashed: Column, items: int, fpp: float = 0.01, shard_bytes: int = SHARD_BYTES, max_shards: int = MAX_SHARDS) -> DataFrame:
+    """(shard, filter): Bloom filters of a hash column, each of the keys whose hash falls to its shard.
+
+    As many shards as `items` keys need at the false-positive rate fpp. The engine's own aggregate merges the filters of
+    the partitions.
+    """
     from math import log
 
     from pyspark.sql.classic.column import Column as ClassicColumn
 
-    bits = min(int(-max(items, 1) * log(fpp) / log(2) ** 2) + 64, max_bytes * 8)
-    jvm = df.sparkSession._jvm
+    bits = int(-max(items, 1) * log(fpp) / log(2) ** 2) + 64
+    shards = min(max_shards, -(-bits // (shard_bytes * 8)))
+    jvm = keys.sparkSession._jvm
     to, expressions = jvm.org.apache.spark.sql.classic.ExpressionUtils, jvm.org.apache.spark.sql.catalyst.expressions
     long = lambda n: to.expression(F.lit(n).cast("long")._jc)
-    made = expressions.aggregate.BloomFilterAggregate(to.expression(hashed._jc), long(max(items, 1)), long(bits))
-    return df.agg(ClassicColumn(to.column(made.toAggregateExpression())).alias("filter"))
+    made = expressions.aggregate.BloomFilterAggregate(to.expression(hashed._jc), long(-(-max(items, 1) // shards)), long(min(bits // shards + 64, shard_bytes * 8)))
+    return keys.groupBy(shard_of(hashed, shards).alias("shard")).agg(ClassicColumn(to.column(made.toAggregateExpression())).alias("filter")).withColumn("shards", F.lit(shards))
+
 
+def shard_of(hashed: Column, shards: int) -> Column:
+    """The filter looks at the hash's bits; which shard it is, a second hash tells."""
+    return F.pmod(F.xxhash64(hashed, F.lit(shards)), F.lit(shards)).cast("int")
 
-def might_contain(filter_row: DataFrame, hashed: Column) -> Column:
-    """Whether the filter may hold the hash. The filter is a scalar subquery: made on the executors, sent to all once."""
+
+def might_contain(filters: DataFrame, hashed: Column) -> Column:
+    """Whether a key of this hash may be among those of the filters (a written bloom_shards). Each filter is a scalar
+    subquery: made on the executors, sent to all once."""
     from pyspark.sql.classic.column import Column as ClassicColumn
 
-    jvm = filter_row.sparkSession._jvm
+    jvm = filters.sparkSession._jvm
     to = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    test = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(filter_row.scalar()._jc), to.expression(hashed._jc))
-    return ClassicColumn(to.column(test))
+
+    def test(shard: int) -> Column:
+        own = filters.where(F.col("shard") == shard).select("filter").scalar()
+        found = jvm.org.apache.spark.sql.catalyst.expressions.BloomFilterMightContain(to.expression(own._jc), to.expression(hashed._jc))
+        return F.coalesce(ClassicColumn(to.column(found)), F.lit(False))
+
+    shards = (filters.select("shards").first() or [1])[0]
+    out = test(0)
+    for k in range(1, shards):
+        out = F.when(shard_of(hashed, shards) == k, test(k)).otherwise(out)
+    return out
 
 
 def lifetimes(parents: DataFrame, key: str, created: str, deleted: str) -> DataFrame:
@@ -73,8 +95,8 @@ def find_orphans(refs: DataFrame, parents: DataFrame, key: str, at: str, parent_
         return refs.withColumn("status", F.lit("missing"))
     kind = "string" if parents.schema[parent_key].dataType.typeName() == "string" else "long"
     hashed = F.xxhash64(F.col(key).cast(kind))
-    filter_row = bloom_filter(lives, F.xxhash64(F.col("key").cast(kind)), n)
-    maybe = F.coalesce(might_contain(filter_row, hashed), F.lit(False))
+    filters = materialize(bloom_shards(lives, F.xxhash64(F.col("key").cast(kind)), n), "filters")
+    maybe = might_contain(filters, hashed)
     sure = refs.where(~maybe).withColumn("status", F.lit("missing"))
     # spans of one key do not overlap, so the last one begun by then decides; a reference is looked up once
     packed = lives.groupBy("key").agg(F.min("first_created").alias("__first"), F.array_sort(F.collect_list(F.struct("since", "until"))).alias("__spans")).withColumnRenamed("key", key)

@@ -273,6 +273,19 @@ def test_orphans_against_brute_force(spark, monkeypatch, limit):
     assert orphans.orphan_report(got, "refs", "at").agg(F.sum("references")).first()[0] == len(want)
 
 
+@pytest.mark.parametrize("size, most, shards", [(8 << 20, 32, 1), (1024, 32, 12), (256, 4, 4)])
+def test_sharded_filters(spark, size, most, shards):
+    keys = spark.range(0, 20_000, 2).select(F.xxhash64("id").alias("h"))
+    made = session.materialize(orphans.bloom_shards(keys, F.col("h"), 10_000, shard_bytes=size, max_shards=most), "filters")
+    assert made.count() == shards
+    tested = spark.range(20_000).select("id", orphans.might_contain(made, F.xxhash64("id")).alias("may"))
+    assert tested.where("id % 2 = 0 and not may").count() == 0
+    wrong = tested.where("id % 2 = 1 and may").count()
+    assert wrong < (300 if shards != 4 else 10_000)
+    none = session.materialize(orphans.bloom_shards(keys.limit(0), F.col("h"), 0), "filters")
+    assert spark.range(5).where(orphans.might_contain(none, F.xxhash64("id"))).count() == 0
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_lookup_equals_join(spark, monkeypatch, how):
     monkeypatch.setattr(session.fits_broadcast, "__defaults__", (0,))
