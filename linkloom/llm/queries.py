@@ -36,9 +36,9 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_style_tree(spark: SparkSession, d: str) -> DataFrame:
-    """Presentations of each source's pages with their pages, contents and mean importance."""
+    """The elements of each source's merged page trees, with the entropies of their looks and contents."""
     tree = markup.style_tree(markup.page_nodes(read_table(spark, d, "documents"), "doc_id", "text", F.coalesce(_site(), F.lit(""))), "doc_id")
-    return tree.groupBy("site", "style").agg(F.max("style_pages").alias("style_pages"), F.count(F.lit(1)).alias("contents"), F.round(F.avg("importance"), 6).alias("importance"))
+    return tree.withColumns({c: F.round(c, 6) for c in ("presentation", "content", "importance")})
 
 
 def _leaks(spark: SparkSession, d: str) -> DataFrame:
