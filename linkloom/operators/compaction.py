@@ -15,6 +15,10 @@ from linkloom.session import lookup_join, materialize, scratch_path
 
 #: Size to which files are filled.
 TARGET_BYTES = 128 << 20
+#: Blocks that one file holds at most, so that its footer stays small: blocks are copied as they are, tiny ones stay tiny.
+FILE_BLOCKS = 20_000
+#: Files whose places one task decides.
+PLAN_FILES = 50_000
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -52,31 +56,45 @@ def _copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(done, columns=["path", "files", "rows", "blocks", "bytes"])
 
 
-def consolidate(spark: SparkSession, paths: list[str], target_dir: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
+def _packed(target_dir: str, target_bytes: int):
+    """The target files of one group of sources: filled in path order up to target_bytes and FILE_BLOCKS."""
+
+    def run(files: pd.DataFrame) -> pd.DataFrame:
+        files = files.sort_values("path")
+        name = f"{target_dir}/part-{files['signature'].iloc[0][:8]}-{files['shard'].iloc[0]:05d}"
+        bins: list[dict] = []
+        for f in files.itertuples():
+            last = bins[-1] if bins else None
+            if not last or last["bytes"] + f.bytes > target_bytes or last["blocks"] + f.blocks > FILE_BLOCKS:
+                bins.append(last := {"target": f"{name}-{len(bins):06d}.parquet", "paths": [], "rows": 0, "blocks": 0, "bytes": 0})
+            last["paths"].append(f.path)
+            for k in ("rows", "blocks", "bytes"):
+                last[k] += getattr(f, k)
+        return pd.DataFrame(bins)
+
+    return run
+
+
+def consolidate(spark: SparkSession, paths: list[str] | DataFrame, target_dir: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Copy Parquet files into few larger ones under target_dir: (path, files, rows, blocks, bytes) per written file.
 
-    Files of one schema are packed, in path order, until target_bytes; no page is decoded. Schema, block counts and row
-    totals are checked for each written file and in total. No files, or files without rows, give files without rows or
-    none. Only file entries (path, size, counts) are handled on the driver, never rows.
+    paths is a list or a table (path). Files of one schema are packed, in path order, until target_bytes; no page is
+    decoded. Schema, block counts and row totals are checked for each written file and in total. No files, or files
+    without rows, give files without rows or none. Footers are read, places decided and blocks copied in tasks: the
+    driver handles totals only.
     """
-    listed = spark.createDataFrame([(p,) for p in sorted(paths)], "path string")
-    feet = listed.repartition(max(1, min(len(paths), 256)), "path").mapInPandas(_footers, "path string, signature string, bytes long, rows long, blocks long").collect()
+    listed = spark.createDataFrame([(p,) for p in paths], "path string") if isinstance(paths, list) else paths.select("path")
+    n = listed.count() if not isinstance(paths, list) else len(paths)
+    feet = materialize(listed.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism)), "path").mapInPandas(_footers, "path string, signature string, bytes long, rows long, blocks long"), "footers")
     filesystem, root = _open(target_dir)
     filesystem.create_dir(root, recursive=True)
-    bins: list[dict] = []
-    for f in sorted(feet, key=lambda r: (r["signature"], r["path"])):
-        last = bins[-1] if bins else None
-        if not last or last["signature"] != f["signature"] or last["bytes"] + f["bytes"] > target_bytes:
-            bins.append(last := {"signature": f["signature"], "bytes": 0, "rows": 0, "blocks": 0, "paths": []})
-        last["paths"].append(f["path"])
-        for k in ("bytes", "rows", "blocks"):
-            last[k] += f[k]
-    todo = [(f"{target_dir}/part-{i:06d}.parquet", b["paths"], b["rows"], b["blocks"]) for i, b in enumerate(bins)]
-    plan = spark.createDataFrame(todo, "target string, paths array<string>, rows long, blocks long")
-    done = plan.repartition(max(1, len(todo)), "target").mapInPandas(_copies, "path string, files long, rows long, blocks long, bytes long").collect()
-    if sum(d["rows"] for d in done) != sum(f["rows"] for f in feet) or sum(d["files"] for d in done) != len(feet):
-        raise ValueError("rows or files are missing after consolidation")
-    return spark.createDataFrame([tuple(d) for d in done], "path string, files long, rows long, blocks long, bytes long")
+    sharded = feet.withColumn("shard", F.pmod(F.xxhash64("path"), F.lit(-(-max(n, 1) // PLAN_FILES))).cast("int"))
+    plan = materialize(sharded.groupBy("signature", "shard").applyInPandas(_packed(target_dir, target_bytes), "target string, paths array<string>, rows long, blocks long, bytes long"), "plan")
+    done = materialize(plan.repartition(max(1, plan.count()), "target").mapInPandas(_copies, "path string, files long, rows long, blocks long, bytes long"), "consolidated")
+    read, written = (t.agg(F.coalesce(F.sum("rows"), F.lit(0)), files).first() for t, files in ((feet, F.count(F.lit(1))), (done, F.coalesce(F.sum("files"), F.lit(0)))))
+    if tuple(read) != tuple(written):
+        raise ValueError(f"rows or files are missing after consolidation: {tuple(read)} read, {tuple(written)} written")
+    return done
 
 
 def consolidated(df: DataFrame, target_bytes: int = TARGET_BYTES) -> DataFrame:

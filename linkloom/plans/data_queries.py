@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions.readings import alias_reading, sql_alias, sql_squeeze, sql_title, title_reading
 from linkloom.operators import compaction, hierarchy, key_chunks, orphans, term_bitmaps
-from linkloom.session import read_table, whole_rows_once
+from linkloom.session import read_table, scratch_path, whole_rows_once
 
 
 def _copies(spark: SparkSession, d: str) -> DataFrame:
@@ -24,6 +24,14 @@ def p2_held(spark: SparkSession, d: str) -> DataFrame:
     return _copies(spark, d).groupBy(F.col("copy_of").alias("file_id")).agg(F.count(F.lit(1)).alias("deliveries"))
 
 
+def p2_small_files(spark: SparkSession, d: str) -> DataFrame:
+    """final_articles laid out as a thousand small files, consolidated and read again: every row with a digest of its text."""
+    small = scratch_path(spark, "small")
+    read_table(spark, d, "final_articles").repartition(1_000, "file_id").write.parquet(small)
+    table = compaction.consolidated(spark.read.parquet(small))
+    return table.select("file_id", "title", "page_id", F.md5("text").alias("digest"), F.size("article_names").cast("long").alias("names"))
+
+
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "aliases").withColumn("alias_key", alias_reading(F.col("alias")))
 
@@ -114,7 +122,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_held, p3_found, p3_frequencies, p4_found, p4_totals, p5_found, p5_paths, p5_descendants, p5_loops, p6_found, p6_report)}
+    return {f.__name__: f for f in (p2_found, p2_held, p2_small_files, p3_found, p3_frequencies, p4_found, p4_totals, p5_found, p5_paths, p5_descendants, p5_loops, p6_found, p6_report)}
 
 
 _P2 = f"""WITH k AS (SELECT DISTINCT file_id, coalesce({sql_title("title")}, chr(1)) AS t, coalesce({sql_squeeze("text")}, chr(1)) AS x FROM final_articles),
@@ -151,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": _P2 + "SELECT DISTINCT copy_of AS file_id, file_id AS copy_id FROM g WHERE copy_of <> file_id",
         "p2_held": _P2 + "SELECT copy_of AS file_id, count(*) AS deliveries FROM g GROUP BY 1",
+        "p2_small_files": "SELECT file_id, title, page_id, md5(text) AS digest, CAST(len(article_names) AS BIGINT) AS names FROM final_articles",
         "p3_found": _P3 + "SELECT alias, mark FROM m WHERE mark IS NOT NULL",
         "p3_frequencies": _P3 + "SELECT alias, uses, n_rows, pages, mark FROM m",
         "p4_found": _P4 + "SELECT key_kind, key_value, value AS winner FROM w WHERE r = 1",
