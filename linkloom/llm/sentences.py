@@ -62,13 +62,16 @@ QUOTES = set("«„“‘「『\"'‹")
 TITLES = set("《〈")
 #: Sentence terminals of all scripts by their Unicode property, without the Burmese comma, which has it too; and marks that
 #: end sentences though the property leaves them out: ellipsis and Tibetan strokes.
-STOPS = {c for c in map(chr, range(0x20000)) if regex.match(r"\p{Sentence_Terminal}", c)} - {"\u104a"} | set("…།༎")
+STOPS = set(regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, [*range(0xD800), *range(0xE000, 0x20000)])))) - {"\u104a"} | set("…།༎")
 #: Stops that mean more than one thing, or that are followed by a space like them; all others end a sentence by themselves.
 NARROW = set(".!?؟।॥۔\u2024‼‽⁇⁈⁉")
 WIDE = STOPS - NARROW
 LINE = re.compile(r"\r\n|[\n\r\v\f\x85\u2028\u2029]")
 ANNOTATION = re.compile(r"\[\[[^\[\]\n]*\]\]")
 ANCHOR = re.compile("[%s]+" % re.escape("".join(sorted(STOPS))))
+#: The stops of most lines, which are found faster by themselves; and all others.
+USUAL = re.compile("[.!?…。！？।॥؟]+")
+UNUSUAL = STOPS - set(".!?…。！？।॥؟")
 WORD_ENDS = set("([«„“‘”»\"「『（,;:/—–")
 NEXT_WORD = re.compile(r"[\w.\-’']+")
 LIST_LINE = re.compile(r"\s*(?:[*#•;:]|[-–]\s)")
@@ -213,6 +216,22 @@ def _next_kind(s: str, j: int, n: int) -> tuple[str, int]:
     return "mark", j
 
 
+_stop_kinds: dict[str, str] = {}
+
+
+def _stop_kind(stop: str) -> str:
+    """Kind of a run of stops: what it may mean besides the end of a sentence."""
+    if set(stop) <= WIDE and stop[0] != "…" or stop == "……":
+        kind = "wide"
+    elif len(stop) > 1 and set(stop) <= set(".…") or stop == "…":
+        kind = "dots"
+    else:
+        kind = "danda" if stop[0] in "।॥" else stop[-1] if stop[-1] in NARROW else "wide"
+    if len(_stop_kinds) < KNOWN_SCORES:
+        _stop_kinds[stop] = kind
+    return kind
+
+
 _kinds: dict[str, tuple[str, str]] = {}
 
 
@@ -262,7 +281,7 @@ def spots(line: str, label: bool = False) -> list[Spot]:
     opener = {c: o for o, c in pairs.items()}
     opens_at = sorted(pairs)
     reach = list(accumulate((pairs[o] for o in opens_at), max))  # how far the marks opened so far are open
-    places = [m.span() for m in ANCHOR.finditer(s, 0, n)]
+    places = [m.span() for m in (USUAL if UNUSUAL.isdisjoint(s) else ANCHOR).finditer(s, 0, n)]
     parting: set[int] = set()  # where the spaces are that may end a sentence
     if THAI.search(s) or (not places and HAN.search(s)):
         for m in re.finditer(r"\s+", s[:n]):
@@ -285,39 +304,40 @@ def spots(line: str, label: bool = False) -> list[Spot]:
             continue
         if s[i] == "." and j - i == 1 and 0 < i < n - 1 and s[i - 1].isdigit() and s[i + 1].isdigit():
             continue
-        end, closed = j, []
-        while True:  # closing marks after the stop, in French with a space before them
+        end, o = j, None  # o: where the last mark closed behind the stop was opened, -1 if nowhere
+        while end < n:  # closing marks after the stop, in French with a space before them
             k = end
             while k < n and s[k] in " \xa0\u202f" and end - k > -3:
                 k += 1
             if k < n and k in opener and (k == end or s[k] == "»") and opener[k] < i:
-                closed.append(opener[k])
+                o = opener[k]
                 end = k + 1
-            elif end < n and s[end] in "”»）」』" and end not in opener and end not in pairs:
-                closed.append(-1)
+            elif s[end] in "”»）」』" and end not in opener and end not in pairs:
+                o = -1
                 end += 1
             else:
                 break
         if end >= n:
             continue  # the end of the line, which is a boundary anyway
-        inside = covered(i, end)
+        inside = bool(pairs) and covered(i, end)
         stop = s[i:j]
         kind, at = _next_kind(s, end, n)
-        gap = at > end
-        stop_kind = "wide" if set(stop) <= WIDE and stop[0] != "…" or stop == "……" else "dots" if len(stop) > 1 and set(stop) <= set(".…") or stop == "…" else "danda" if stop[0] in "।॥" else stop[-1] if stop[-1] in NARROW else "wide"
+        stop_kind = _stop_kinds.get(stop) or _stop_kind(stop)
         word, low = _word_kind(s, i) if stop == "." else ("-", "")
-        spaced = i > 0 and s[i - 1].isspace()
-        o = closed[-1] if closed else None
-        quoted = "" if o is None else "lost" if o < 0 else "title" if s[o] in TITLES else "quote" if s[o] in QUOTES else "bracket"
-        opens = "" if o is None or o < 0 else "first" if o == first else "after" if s[last_end:o].strip() == "" else "colon" if o and s[o - 1] in "：:" else "mid"
-        ahead = s[at : at + 40]
-        nxt = NEXT_WORD.match(ahead)
-        nxt = nxt.group().lower().rstrip(".") if nxt else ahead[:1]
-        said = bool(closed) and bool(SAID_EN.match(ahead) if kind == "upper" else kind == "letter" and (SAID_AR.match(ahead) or SAID_HI.match(ahead) or SAID_ZH.match(ahead) or (quoted == "quote" and ahead[0] == "と")))
-        goes_on = kind == "letter" and bool(closed) and (bool(GOES_ON_ZH.match(ahead)) or ahead[0] in "はがをにのとも")
-        ordinal = word == "number" and nxt in AFTER_ORDINAL
-        devanagari = i > 0 and "ऀ" <= s[i - 1] <= "ॿ"
-        tail = s[at + 1 : at + 2]
+        quoted = opens = ""
+        said = goes_on = False
+        if o is not None:
+            ahead = s[at : at + 40]
+            quoted = "lost" if o < 0 else "title" if s[o] in TITLES else "quote" if s[o] in QUOTES else "bracket"
+            opens = "" if o < 0 else "first" if o == first else "after" if s[last_end:o].strip() == "" else "colon" if o and s[o - 1] in "：:" else "mid"
+            said = bool(SAID_EN.match(ahead) if kind == "upper" else kind == "letter" and (SAID_AR.match(ahead) or SAID_HI.match(ahead) or SAID_ZH.match(ahead) or (quoted == "quote" and ahead[0] == "と")))
+            goes_on = kind == "letter" and (bool(GOES_ON_ZH.match(ahead)) or ahead[0] in "はがをにのとも")
+        ordinal = False
+        if word == "number":
+            nxt = NEXT_WORD.match(s, at, at + 40)
+            ordinal = bool(nxt) and nxt.group().lower().rstrip(".") in AFTER_ORDINAL
+        spaced, devanagari = i > 0 and s[i - 1].isspace(), i > 0 and "ऀ" <= s[i - 1] <= "ॿ"
+        tail, gap = s[at + 1 : at + 2], at > end
         f = (inside, stop_kind, word, low if word in ("never", "maybe", "initial") else "", kind, gap, spaced, quoted, opens, said, goes_on, ordinal, devanagari, tail.islower())
         spot = Spot(end, f, opens or "none", None)
         if label:
@@ -506,8 +526,12 @@ def ends_unspaced(line: str, tagger: Tagger) -> list[int]:
 
 def sample(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS) -> list[str]:
     """At most `documents` distinct texts of at most TRAIN_CHARS characters, those whose hash is lowest."""
-    rows = df.select(F.col(text).alias("text")).where(F.char_length("text") <= TRAIN_CHARS).distinct().orderBy(F.xxhash64("text"), "text").limit(documents)
-    return [r["text"] for r in rows.collect()]
+    rows = df.select(F.col(text).alias("text"), F.xxhash64(text).alias("h")).where(F.char_length("text") <= TRAIN_CHARS)
+    last = rows.select("h").distinct().orderBy("h").limit(documents).agg(F.max("h")).first()[0]  # only hashes are moved
+    if last is None:
+        return []
+    own = rows.where(F.col("h") <= last).distinct().orderBy("h", "text").limit(documents)
+    return [r["text"] for r in own.collect()]
 
 
 def fit(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS, epochs: int = EPOCHS) -> Tagger:
@@ -517,7 +541,8 @@ def fit(df: DataFrame, text: str = "text", documents: int = TRAIN_DOCUMENTS, epo
 
 def has_stretches(df: DataFrame, text: str = "text") -> bool:
     """Whether any text has a stretch that only the second tagger can cut."""
-    return not df.where(F.col(text).rlike(STRETCH.pattern)).isEmpty()
+    # tried where a run of such letters begins only, so each character is looked at once or twice
+    return not df.where(F.col(text).rlike(f"(?<![{UNSPACED}])[{UNSPACED}]{{{LONG_STRETCH}}}")).isEmpty()
 
 
 def sentence_ends(texts: Column, tagger: Tagger, unspaced: Tagger | None = None) -> Column:
