@@ -84,7 +84,7 @@ def drop_infobox_prefix(c: Column, pack: LanguagePack = ENGLISH, ignore_case: bo
 
 
 def drop_simple_tables(c: Column, depth: int = 4) -> Column:
-    """Tables, innermost first, up to `depth` levels."""
+    """Tables, innermost first, up to `depth` levels; see rewriting.drop_tables for any depth."""
     for _ in range(depth):
         c = _drop(c, r"(?s)\{\|(?:(?!\{\|)(?!\|\}).)*\|\}")
     return c

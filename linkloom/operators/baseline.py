@@ -6,23 +6,29 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions import markup as m
 from linkloom.langpack import MONTHS, WEEKDAYS
 from linkloom.operators.dictionary import page_links
-from linkloom.session import lookup_join, spread
+from linkloom.operators.mentions import alias_places, first_word
+from linkloom.session import lookup_join, materialize, spread
+
+#: Words by which names are brought to the pages they may stand on; of a longer name the first so many.
+KEY_WORDS = 2
 
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 Found = tuple[int, int, str, str, str]  # start, end, entity, alias, round
 
 
-def may_link(alias: str, entity: str, excluded: set[str], known: set[str]) -> bool:
-    """Whether a link names something that may be looked for elsewhere."""
-    if not alias or alias in MONTHS or alias in WEEKDAYS or alias not in known:
-        return False
-    return entity not in excluded and not alias[0].islower() and not entity[:1].islower() and not alias[0].isdigit() and not alias.isnumeric()
+def linkable(links: DataFrame, counts: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Links (.., entity, alias) that name something that may be looked for elsewhere: no month, weekday or number, no
+    lower-case name, an entity that is known (counts: entity) and not excluded (entity)."""
+    a, e = F.col("alias"), F.col("entity")
+    fit = (a != "") & ~a.isin(*MONTHS, *WEEKDAYS) & ~m.is_number(a) & ~a.rlike(r"^[\p{Ll}\p{N}]") & ~e.rlike(r"^\p{Ll}")
+    named = links.where(fit).join(counts.select("entity").distinct(), "entity", "left_semi")
+    return named.join(excluded.select("entity").where("entity is not null").distinct(), "entity", "left_anti").select(links.columns)
 
 
 def anchors(text: str, masked: bool = False) -> tuple[str, list[Found]]:
@@ -43,16 +49,26 @@ def anchors(text: str, masked: bool = False) -> tuple[str, list[Found]]:
 def matches(text: str, aliases: list[tuple[str, str]], taken: list[Found], name: str) -> list[Found]:
     """Every place of every alias (alias, entity), the longest first; two of one entity do not overlap, and none
     overlaps an anchor."""
+    by_word: dict[str, list[str]] = {}
+    entities: dict[str, list[str]] = {}
+    for alias, entity in sorted(set(aliases)):
+        if alias not in entities:
+            by_word.setdefault(first_word(alias), []).append(alias)
+        entities.setdefault(alias, []).append(entity)
+    held = bytearray(len(text))
+    for s, e, *_ in taken:
+        held[s:e] = b"\x01" * (e - s)
     found: list[Found] = []
     by_entity: dict[str, list[tuple[int, int]]] = {}
-    for alias, entity in sorted(set(aliases), key=lambda x: (-len(x[0]), x)):
-        if alias not in text:
+    for size, alias, at in sorted((-len(a), a, at) for at, a in alias_places(text, by_word)):
+        end = at - size
+        if held.find(1, at, end) >= 0:
             continue
-        for h in re.finditer(rf"\b{re.escape(alias)}\b", text):
+        for entity in entities[alias]:
             own = by_entity.setdefault(entity, [])
-            if all(h.start() >= e or h.end() <= s for s, e in own) and all(h.start() >= t[1] or h.end() <= t[0] for t in taken):
-                own.append(h.span())
-                found.append((*h.span(), entity, alias, name))
+            if all(at >= e or end <= s for s, e in own):
+                own.append((at, end))
+                found.append((at, end, entity, alias, name))
     return found
 
 
@@ -67,7 +83,8 @@ def settle(found: list[Found], fixed: list[Found]) -> list[Found]:
     rows = sorted(set(found))
     sure = [x for i, x in enumerate(rows) if (not i or rows[i - 1][1] <= x[0]) and (i + 1 == len(rows) or rows[i + 1][0] >= x[1])]
     known = fixed + sure
-    doubtful = [x for x in rows if x not in set(sure)]
+    certain = set(sure)
+    doubtful = [x for x in rows if x not in certain]
     kept: list[Found] = []
     for x in doubtful:
         if kept and kept[-1][1] > x[0]:
@@ -84,30 +101,41 @@ def three_rounds(text: str, first: list[tuple[str, str]], second: list[tuple[str
     """Plain text and annotations: the links, then names of linked entities, titles and names of entities two links away."""
     plain, done = anchors(text)
     for aliases, name in ((first, "FIRST"), (second, "SECOND"), (third, "THIRD")):
-        masked = plain
+        if not aliases:
+            continue
+        masked = list(plain)
         for s, e, *_ in done:
-            masked = masked[:s] + "#" * (e - s) + masked[e:]
-        done += settle(matches(masked, aliases, done, name), done)
+            masked[s:e] = "#" * (e - s)
+        done += settle(matches("".join(masked), aliases, done, name), done)
     return plain, sorted(done)
 
 
-def annotate(pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "page_id", title: str = "title", text: str = "text") -> DataFrame:
-    """(page, text, mentions) of the three rounds. counts (alias, entity, n); near (page, entity): two links away.
+def annotate(pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "page_id", title: str = "title", text: str = "text", excluded: DataFrame | None = None) -> DataFrame:
+    """(page, text, mentions) of the three rounds. counts (alias, entity, n); near (page, entity): two links away; the links
+    of a page name what is looked for in the first round, but for excluded entities (entity).
 
-    Names are joined to the pages they may occur on; each page is then read on its own.
+    Names are first joined to the word sequences of the pages, so a page receives only names whose first words stand on it,
+    however many names its entities have; it is then read on its own.
     """
-    own = pages.withColumn("__plain", m.drop_own_links(F.col(text), F.col(title)))
-    linked = page_links(own, page, "__plain").select(page, "entity").distinct()
-    names = counts.select("entity", "alias").where((F.char_length("alias") > 1) & m.starts_upper(F.col("alias"))).distinct()
-
-    def gather(entities: DataFrame, name: str) -> DataFrame:
-        pairs = lookup_join(entities, names, ["entity"], "inner")
-        return pairs.groupBy(page).agg(F.array_sort(F.collect_set(F.struct("alias", "entity"))).alias(name))
-
-    titles = near.groupBy(page).agg(F.array_sort(F.collect_set(F.struct(F.col("entity").alias("alias"), "entity"))).alias("second"))
-    rows = spread(own.select(page, "__plain"))
-    for side in (gather(linked, "first"), titles, gather(near.select(page, "entity"), "third")):
-        rows = lookup_join(rows, side, [page])
+    own = materialize(pages.select(page, m.drop_own_links(F.col(text), F.col(title)).alias("__plain")), "plain")
+    linked = page_links(own, page, "__plain").select(page, "entity", F.substring_index("alias", "|", 1).alias("alias"))
+    linked = linkable(linked, counts, pages.sparkSession.createDataFrame([], "entity string") if excluded is None else excluded).select(page, "entity").distinct()
+    near = near.select(page, "entity").distinct()
+    names = counts.select("entity", "alias").where((F.char_length("alias") > 1) & m.starts_upper(F.col("alias"))).withColumn("kind", F.lit("name"))
+    titles = near.select("entity", F.col("entity").alias("alias"), F.lit("title").alias("kind"))
+    keyed = materialize(names.unionByName(titles).distinct().withColumn("words", _words(F.col("alias"))).where("words is not null and size(words) > 0"), "names")
+    lengths = sorted(r["n"] for r in keyed.select(F.least(F.size("words"), F.lit(KEY_WORDS)).alias("n")).distinct().collect())  # KEY_WORDS at most
+    keyed = keyed.select("entity", "alias", "kind", _sequence(F.slice("words", 1, KEY_WORDS)).alias("key"))
+    words = own.select(page, _words(_bare(F.col("__plain"))).alias("words"))
+    spans = [_runs(F.col("words"), n) for n in lengths] or [F.array().cast("array<bigint>")]
+    stands = words.select(page, F.explode(F.array_distinct(F.concat(*spans))).alias("key"))
+    hits = lookup_join(stands, keyed, ["key"], "inner", written=True).drop("key")
+    hits = hits.join(linked.withColumn("linked", F.lit(True)), [page, "entity"], "left").join(near.withColumn("near", F.lit(True)), [page, "entity"], "left")
+    pair = F.struct("alias", "entity")
+    of = lambda when, name: F.array_sort(F.collect_set(F.when(when, pair))).alias(name)
+    named = F.col("kind") == "name"
+    sides = hits.where("linked or near").groupBy(page).agg(of(named & F.col("linked"), "first"), of(~named & F.col("near"), "second"), of(named & F.col("near"), "third"))
+    rows = lookup_join(spread(own), sides, [page])
 
     @F.pandas_udf("text string, mentions array<struct<start:int,end:int,entity:string,alias:string,tag:string>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -116,4 +144,24 @@ def annotate(pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "
             done = [three_rounds(t or "", pairs(x), pairs(y), pairs(z)) for t, x, y, z in zip(texts, a, b, c)]
             yield pd.DataFrame({"text": [d[0] for d in done], "mentions": [[dict(zip(("start", "end", "entity", "alias", "tag"), f)) for f in d[1]] for d in done]})
 
-    return rows.select(page, run("__plain", "first", "second", "third").alias("r")).select(page, "r.text", "r.mentions")
+    # else the optimizer copies the rounds into a filter below an explode
+    return rows.select(page, run.asNondeterministic()("__plain", "first", "second", "third").alias("r")).select(page, "r.text", "r.mentions")
+
+
+def _bare(text: Column) -> Column:
+    """The text with each link as its alias, which stands second, or alone."""
+    return F.regexp_replace(F.regexp_replace(text, r"\[\[[^\[\]|]*\|([^\[\]|]*)[^\[\]]*\]\]", "$1"), r"\[\[([^\[\]|]*)\]\]", "$1")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(?U)\w+"), F.lit(0))
+
+
+def _runs(words: Column, n: int) -> Column:
+    """Keys of all runs of n words."""
+    made = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: _sequence(F.slice(words, i, n)))
+    return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<bigint>"))
+
+
+def _sequence(words: Column) -> Column:
+    return F.xxhash64(F.array_join(words, " "))

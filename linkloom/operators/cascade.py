@@ -76,7 +76,7 @@ def gather_facts(mentions: DataFrame, counts: DataFrame, redirects: DataFrame, p
     (entity), human and geo (title) may be of any size: each is joined by its key, none is sent whole. linked_id is the
     column of mentions with the page's id in edges, where page_id is another key.
     """
-    one = mentions.withColumn("__m", F.xxhash64("page_id", "line_no", "start", "alias"))
+    one = mentions.withColumn("__m", F.struct("page_id", "line_no", "start", "alias"))
     counts, redirects = materialize(counts, "counts"), materialize(redirects, "redirects")
     line = Window.partitionBy("page_id", "line_no").orderBy("start")
     one = one.withColumn("previous_alias", F.lag("alias").over(line))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from linkloom.functions import markup as m
 from linkloom.langpack import ENGLISH, LanguagePack
 from linkloom.operators.routing import is_media
-from linkloom.session import lookup_join
+from linkloom.session import lookup_join, materialize, salted_join
 
 
-def page_links(pages: DataFrame, key: str, text: str = "text", pattern: str = m.LINK) -> DataFrame:
+def page_links(pages: DataFrame, key: str, text: str = "text", pattern: str = m.LINK_WITH_BRACKETS) -> DataFrame:
     """(key, pos, entity, alias): the links of each page in text order."""
     return pages.select(key, F.posexplode(m.links(F.col(text), pattern)).alias("pos", "l")).select(key, "pos", "l.entity", "l.alias")
 
@@ -110,11 +110,14 @@ def best_entity(counts: DataFrame) -> DataFrame:
 
 
 def two_hops(edges: DataFrame) -> DataFrame:
-    """(src_id, dst_id): what the pages that src links to link to, without src's own links and src itself."""
-    first = edges.select("src_id", F.col("dst_id").alias("mid")).distinct()
-    second = edges.select(F.col("src_id").alias("mid"), "dst_id").distinct()
-    reached = first.join(second, "mid").where("src_id <> dst_id").select("src_id", "dst_id").distinct()
-    return reached.join(edges.select("src_id", "dst_id"), ["src_id", "dst_id"], "left_anti")
+    """(src_id, dst_id): what the pages that src links to link to, without src's own links and src itself. A page
+    that a large part of all pages link to is salted."""
+    edges = materialize(edges.select("src_id", "dst_id").distinct(), "edges")
+    second = edges.select(F.col("src_id").alias("mid"), "dst_id")
+    reached = salted_join(edges.select("src_id", F.col("dst_id").alias("mid")), second, ["mid"], "inner").where("src_id <> dst_id").select("src_id", "dst_id", F.lit(False).alias("own"))
+    # own links join the pairs, so that one shuffle with map-side combine both drops them and makes the pairs distinct
+    pairs = reached.unionByName(edges.withColumn("own", F.lit(True)))
+    return pairs.groupBy("src_id", "dst_id").agg(F.max("own").alias("own")).where("not own").drop("own")
 
 
 def all_entities_in(candidates: DataFrame, key: str, members: DataFrame) -> DataFrame:

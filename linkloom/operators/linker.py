@@ -174,8 +174,16 @@ def resolve_ids(entities: DataFrame, title_wid: DataFrame, known: DataFrame, tit
     return rows.join(title_wid.select(F.col("title").alias("__t"), "wid"), "__t").join(known, "wid").drop("__t")
 
 
-def with_fallback(neural: Column, greedy: Column) -> Column:
-    return F.coalesce(neural, greedy)
+def titles_of(places: DataFrame, known: DataFrame, title_wid: DataFrame) -> DataFrame:
+    """(idx, wid, title): places in the vocabulary (idx) with their ids (known: wid, idx) and titles (title_wid: title, wid)."""
+    return lookup_join(lookup_join(places, known.select("idx", "wid"), ["idx"], "inner"), title_wid.select("wid", "title"), ["wid"], "inner").select("idx", "wid", "title")
+
+
+def with_fallback(mentions: DataFrame, neural: DataFrame, greedy: DataFrame, key: str) -> DataFrame:
+    """(key, entity) of mentions (key): the numeric linker's choice (key, entity), else the greedy one."""
+    first = lookup_join(mentions.select(key), neural.select(key, F.col("entity").alias("__neural")), [key])
+    both = lookup_join(first, greedy.select(key, F.col("entity").alias("__greedy")), [key])
+    return both.select(key, F.coalesce("__neural", "__greedy").alias("entity"))
 
 
 # Types

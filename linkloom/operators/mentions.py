@@ -136,27 +136,49 @@ def acronym_pairs(text: str) -> list[tuple[int, str, int, str]]:
     return out
 
 
+_WORD = re.compile(r"\w+")
+
+
+def alias_places(text: str, by_word: dict[str, list[str]]) -> Iterator[tuple[int, str]]:
+    """(start, alias) of every place of every alias between word borders, in one pass over the words of text. by_word holds
+    the aliases under their first word; under '' those that begin with another sign."""
+    word = lambda c: c.isalnum() or c == "_"
+    for a in by_word.get("", ()):
+        for hit in re.finditer(rf"\b{re.escape(a)}\b", text):
+            yield hit.start(), a
+    for w in _WORD.finditer(text):
+        for a in by_word.get(w[0], ()):
+            at, end = w.start(), w.start() + len(a)
+            if text.startswith(a, at) and word(a[-1]) != (end < len(text) and word(text[end])):
+                yield at, a
+
+
+def first_word(alias: str) -> str:
+    head = _WORD.match(alias)
+    return head[0] if head else ""
+
+
 class AliasSet:
     """Aliases of a page, matched longest first at word borders, case-sensitive; entities may add theirs later."""
 
     def __init__(self, aliases: list[str]):
         self.aliases: set[str] = set()
+        self.by_word: dict[str, list[str]] = {}
         self.add(aliases)
 
     def add(self, aliases: list[str]) -> None:
-        self.aliases |= {a for a in aliases if a}
+        for a in aliases:
+            if a and a not in self.aliases:
+                self.aliases.add(a)
+                self.by_word.setdefault(first_word(a), []).append(a)
 
     def find(self, text: str) -> list[tuple[int, str]]:
         """Longer aliases win wherever they stand: all places of the longest are taken, then those of the next."""
-        places = []
-        for a in self.aliases:
-            if a in text:
-                places += [(-len(a), a, p.start()) for p in re.finditer(rf"\b{re.escape(a)}\b", text)]
-        taken: list[tuple[int, int]] = []
-        found = []
-        for size, a, at in sorted(places):
-            if all(at >= e or at - size <= s for s, e in taken):
-                taken.append((at, at - size))
+        places = sorted((-len(a), a, at) for at, a in alias_places(text, self.by_word))
+        taken, found = bytearray(len(text)), []
+        for size, a, at in places:
+            if taken.find(1, at, at - size) < 0:
+                taken[at : at - size] = b"\x01" * -size
                 found.append((at, a))
         return sorted(found)
 
@@ -196,24 +218,28 @@ def page_mentions(lines: list[str], own: list[str], entity_aliases: dict[str, li
             at = hit.end()
         gap(line[at:], len(text))
         text += line[at:]
-        free = lambda s, n: all(s >= b + k or s + n <= b for b, k, *_ in spans)
+        held = bytearray(len(text))
+        for b, k, *_ in spans:
+            held[b : b + k] = b"\x01" * k
+        free = lambda s, n: held.find(1, s, s + n) < 0
         for start, name, where, letters in acronym_pairs(text):
-            if free(start, len(name)):
-                spans.append((start, len(name), None, name, "acronym_entity"))
-            if free(where, len(letters)):
-                spans.append((where, len(letters), None, letters, "acronym"))
+            for at, part, tag in ((start, name, "acronym_entity"), (where, letters, "acronym")):
+                if free(at, len(part)):
+                    spans.append((at, len(part), None, part, tag))
+                    held[at : at + len(part)] = b"\x01" * len(part)
         texts.append(text)
         out += [dict(zip(("line_no", "start", "len", "entity", "alias", "tag"), (no, *s))) for s in sorted(spans, key=lambda s: s[:2])]
     return texts, out
 
 
 def find_mentions(pages: DataFrame, counts: DataFrame, redirects: DataFrame, page: str = "page_id", title: str = "title", text: str = "text", pack: LanguagePack = ENGLISH) -> DataFrame:
-    """(page, line_no, text, mentions) of linked pages.
+    """(page, line_no, text, mentions) of linked pages. Links of heading lines are read as plain words.
 
     counts (alias, entity, n) and redirects (source, target) give the names of the page itself and of the entities it
     links to. They are joined to the pages' entities, never sent whole: a page receives only the names of its own
     entities, and is then read on its own.
     """
+    pages = pages.withColumn(text, m.flatten_headers(F.col(text)))
     linked = pages.select(page, F.explode(F.array_distinct(F.transform(m.link_bodies(F.col(text)), m.link_entity))).alias("entity"))
     wanted = linked.unionByName(pages.select(page, F.col(title).alias("entity"))).distinct()
     names = counts.select("entity", "alias").unionByName(redirects.select(F.col("target").alias("entity"), F.regexp_replace("source", "'s$", "").alias("alias"))).distinct()
@@ -221,18 +247,22 @@ def find_mentions(pages: DataFrame, counts: DataFrame, redirects: DataFrame, pag
     given = lookup_join(wanted, of, ["entity"], "inner").groupBy(page).agg(F.array_sort(F.collect_list(F.struct("entity", "aliases"))).alias("names"))
     rows = lookup_join(spread(pages.select(page, title, text)), given, [page])
 
-    @F.pandas_udf(f"texts array<string>, mentions array<{MENTION}>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(f"array<struct<text:string,mentions:array<{MENTION}>>>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for titles, texts, names in batches:
             done = []
             for t, x, n in zip(titles, texts, names):
                 aliases = {e["entity"]: list(e["aliases"]) for e in n} if n is not None else {}
-                done.append(page_mentions((x or "").split("\n"), [t or "", *aliases.get(t, [])], aliases, pack))
-            yield pd.DataFrame({"texts": [d[0] for d in done], "mentions": [d[1] for d in done]})
-
-    read = rows.select(page, run(title, text, "names").alias("r"))
-    lines = read.select(page, "r.mentions", F.posexplode("r.texts").alias("line_no", "text"))
-    return lines.select(page, "line_no", "text", F.filter("mentions", lambda x: x["line_no"] == F.col("line_no")).alias("mentions"))
+                lines, found = page_mentions((x or "").split("\n"), [t or "", *aliases.get(t, [])], aliases, pack)
+                of: list[list[dict]] = [[] for _ in lines]
+                for f in found:
+                    of[f["line_no"]].append(f)
+                done.append([{"text": line, "mentions": own} for line, own in zip(lines, of)])
+            yield pd.Series(done)
+
+    # else the optimizer copies the reading of a page into a filter below the explode
+    read = rows.select(page, run.asNondeterministic()(title, text, "names").alias("r"))
+    return read.select(page, F.posexplode("r").alias("line_no", "x")).select(page, "line_no", "x.text", "x.mentions")
 
 
 def merge_ner(mentions: DataFrame, ner: DataFrame, keys: list[str], acronyms: DataFrame | None = None) -> DataFrame:

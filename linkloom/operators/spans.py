@@ -1,7 +1,7 @@
 """Operators on spans [start, end) inside a page or line: overlap, adjacency, nearness, visibility, merging.
 
 Overlap is decided by sweeping sorted ends with a running maximum, never by listing pairs; only interval_join, whose
-result is pairs, joins on the keys with the overlap as a residual condition.
+result is pairs, joins spans, cell by cell.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from linkloom.session import materialize
+
 
 def _over(keys: list[str], *order) -> Window:
     return Window.partitionBy(*keys).orderBy(*order)
@@ -68,13 +70,28 @@ def visible(occurrences: DataFrame, declarations: DataFrame, keys: list[str], at
     return occurrences.join(first, keys).where(seen).drop("__first")
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str = "start", end: str = "end", cell: int = 256) -> DataFrame:
     """Full outer join of two annotators' spans: (keys, l_start, l_end, r_start, r_end), a row per overlapping pair and
-    per span that overlaps none of the other side."""
-    a = left.select(*[F.col(k).alias(f"__l_{k}") for k in keys], F.col(start).alias("l_start"), F.col(end).alias("l_end"))
-    b = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], F.col(start).alias("r_start"), F.col(end).alias("r_end"))
-    on = [F.col(f"__l_{k}") == F.col(f"__r_{k}") for k in keys] + [F.col("l_start") < F.col("r_end"), F.col("r_start") < F.col("l_end")]
-    return a.join(b, on, "full_outer").select(*[F.coalesce(f"__l_{k}", f"__r_{k}").alias(k) for k in keys], "l_start", "l_end", "r_start", "r_end")
+    per span that overlaps none of the other side.
+
+    Spans meet in the cells, of `cell` positions, that they touch, so the spans of one key are compared with those near
+    them only, and a key with most spans is spread over its cells; a pair counts in the first cell both touch.
+    """
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*keys, F.col(start).cast("long").alias(f"{name}_start"), F.col(end).cast("long").alias(f"{name}_end"))
+        return materialize(rows.withColumn(f"{name}_id", F.monotonically_increasing_id()), f"{name}_spans")
+
+    def cells(df: DataFrame, name: str) -> DataFrame:
+        low = F.floor(F.col(f"{name}_start") / cell)
+        return df.withColumn(f"{name}_cell", low).withColumn("__cell", F.explode(F.sequence(low, F.greatest(low, F.floor(F.col(f"{name}_end") / cell)))))
+
+    a, b = side(left, "l"), side(right, "r")
+    meet = cells(a, "l").join(cells(b, "r"), [*keys, "__cell"])
+    pairs = materialize(meet.where("l_start < r_end and r_start < l_end and __cell = greatest(l_cell, r_cell)").drop("__cell", "l_cell", "r_cell"), "pairs")
+    only = [df.join(pairs.select(f"{n}_id"), f"{n}_id", "left_anti") for df, n in ((a, "l"), (b, "r"))]
+    out = pairs.unionByName(only[0], allowMissingColumns=True).unionByName(only[1], allowMissingColumns=True)
+    return out.select(*keys, "l_start", "l_end", "r_start", "r_end")
 
 
 def overlap_islands(spans: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -164,7 +164,11 @@ def test_rival_annotator(spark):
     assert [x[2] for x in baseline.settle(found, [])] == ["E1"]
     text, done = baseline.three_rounds("[[Paris]] and Paris near Lyon", [("Paris", "Paris")], [("Lyon", "Lyon")], [])
     assert text == "Paris and Paris near Lyon" and [(x[0], x[4]) for x in done] == [(0, "ANCHOR"), (10, "FIRST"), (21, "SECOND")]
-    assert baseline.may_link("Paris", "Paris", set(), {"Paris"}) and not baseline.may_link("May", "May", set(), {"May"})
+    names = ["Paris", "May", "lower", "7th", "12", "Out", "Unknown", ""]
+    links = spark.createDataFrame([(1, n, n) for n in names] + [(1, "eBay", "Bay"), (1, "May", "Merry May")], "page_id long, entity string, alias string")
+    known = spark.createDataFrame([(n,) for n in [*names[:6], "eBay"]], "entity string")
+    kept = baseline.linkable(links, known, spark.createDataFrame([("Out",)], "entity string"))
+    assert {(r["entity"], r["alias"]) for r in kept.collect()} == {("Paris", "Paris"), ("May", "Merry May")}
     pages = spark.createDataFrame([(1, "T", "[[Paris]] and Paris near Lyon")], "page_id long, title string, text string")
     counts = spark.createDataFrame([("Paris", "Paris", 2)], "alias string, entity string, n long")
     near = spark.createDataFrame([(1, "Lyon")], "page_id long, entity string")
