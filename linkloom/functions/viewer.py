@@ -32,6 +32,12 @@ def _tag(body: Column) -> Column:
     return F.when(body.startswith("==="), F.concat(F.lit("<h4>"), name, F.lit("</h4>"))).when(body.startswith("=="), F.concat(F.lit("<h2>"), name, F.lit("</h2>"))).when(F.trim(body) == "", "").otherwise(F.concat(F.lit("<p>"), body, F.lit("</p>")))
 
 
+def page_by_title(lines: DataFrame, titles: DataFrame, title_ids: DataFrame, title: str) -> DataFrame:
+    """(page_id, html) of the page of one title; titles: (page_id, title). A title that is not there has no row."""
+    own = lines.join(titles.where(F.col("title") == title).select("page_id"), "page_id", "left_semi")
+    return render_page(own, title_ids)
+
+
 def render_page(lines: DataFrame, title_ids: DataFrame, page: str = "page_id", line_no: str = "line_no", text: str = "text") -> DataFrame:
     """(page, html) of whole pages."""
     html = render_lines(lines, title_ids, page, line_no, text)

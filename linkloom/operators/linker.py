@@ -168,6 +168,22 @@ def greedy_choice(mentions: DataFrame, counts: DataFrame, key: str, alias: str =
     return known.groupBy(key).agg(best.alias("b")).select(key, F.col("b.entity").alias("entity"))
 
 
+def context_choice(mentions: DataFrame, counts: DataFrame, words: DataFrame, entities: DataFrame, key: str, unknown: str = "unk") -> DataFrame:
+    """(key, entity): the numeric linker's choice for mentions (key, alias, candidates, context: array of tokens).
+
+    The context's vector is the mean of its tokens' vectors (words: word, vector; that of `unknown` for others). Candidates,
+    joined by ###, with a vector (entities: entity, vector) are scored by its product with the context, made posterior by
+    softmax, and fused with the prior, the alias's counts (alias, entity, n) of each. Mentions none of whose candidates
+    has a vector have no row.
+    """
+    context = mean_vector(embed(mentions, key, "context", words, unknown).where("vector is not null"), [key]).withColumnRenamed("vector", "__context")
+    each = mentions.select(key, "alias", F.explode(F.array_distinct(F.split("candidates", JOIN))).alias("entity"))
+    scored = lookup_join(each, entities.select("entity", "vector"), ["entity"], "inner").join(context, key)
+    known = lookup_join(scored, counts.select("alias", "entity", F.col("n").alias("prior")), ["alias", "entity"]).fillna(0, ["prior"])
+    ranked = posterior(known.withColumn("prior", F.col("prior").cast("double")), key, dot(F.col("__context"), F.col("vector")))
+    return select_best(fuse(ranked, key, "prior", "posterior"), key, "joint", "entity")
+
+
 def resolve_ids(entities: DataFrame, title_wid: DataFrame, known: DataFrame, title: str = "entity") -> DataFrame:
     """entities with wid (of the title with underscores) and idx, only those that are known (wid, idx)."""
     rows = entities.withColumn("__t", F.translate(title, " ", "_"))

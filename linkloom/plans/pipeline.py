@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from linkloom.functions import rewriting
+from linkloom.functions.markup import word_tokens
 from linkloom.langpack import ENGLISH, LanguagePack
 from linkloom.operators import cascade, coref, dictionary, linker, mentions, routing
 from linkloom.session import lookup_join
@@ -25,6 +26,8 @@ class Supplied:
     corefs: DataFrame | None = None  # entity, coref
     genders: DataFrame | None = None  # name, gender
     ner: DataFrame | None = None  # page_id, line_no, start, end, alias, tag
+    word_vectors: DataFrame | None = None  # word, vector: with entity_vectors, open mentions are decided by their context
+    entity_vectors: DataFrame | None = None  # entity, vector
     sentence_end: DataFrame | None = None  # page_id, line_no, end_char: ends of the sentences in the lines without links
 
 
@@ -104,11 +107,18 @@ class Corpus:
         self._keep("annotated_line", parts.select("page_id", (F.row_number().over(order) - 1).alias("line_no"), "text"))
 
     def resolve(self) -> None:
-        """Stage 4: malformed lines dropped, candidates decided by use, coreferences carried forward, final texts."""
+        """Stage 4: malformed lines dropped, candidates decided by context where vectors are supplied and else by use,
+        coreferences carried forward, final texts."""
         lines = self.table("annotated_line").where(~mentions.is_malformed(F.col("text")))
         spans_ = lines.select("page_id", "line_no", F.posexplode(mentions.parse_annotations(F.col("text"))).alias("pos", "a"))
-        open_ = spans_.where(mentions.needs_linker(F.col("a.entity"), F.col("a.tag"))).select(F.concat_ws("/", "page_id", "line_no", "pos").alias("key"), F.col("a.alias").alias("alias"), F.col("a.entity").alias("candidates"))
-        best = linker.greedy_choice(open_, self.table("alias"), "key").withColumnRenamed("entity", "choice")
+        context = lines.select("page_id", "line_no", word_tokens(mentions.bare_text(F.col("text"))).alias("context"))
+        open_ = spans_.where(mentions.needs_linker(F.col("a.entity"), F.col("a.tag"))).join(context, ["page_id", "line_no"])
+        open_ = self._keep("open_mention", open_.select(F.concat_ws("/", "page_id", "line_no", "pos").alias("key"), F.col("a.alias").alias("alias"), F.col("a.entity").alias("candidates"), "context"))
+        best = linker.greedy_choice(open_, self.table("alias"), "key")
+        if self.supplied.word_vectors is not None and self.supplied.entity_vectors is not None:
+            by_context = linker.context_choice(open_, self.table("alias"), self.supplied.word_vectors, self.supplied.entity_vectors, "key")
+            best = linker.with_fallback(open_, by_context, best, "key")
+        best = best.withColumnRenamed("entity", "choice")
         chosen = lookup_join(spans_.withColumn("key", F.concat_ws("/", "page_id", "line_no", "pos")), best, ["key"])
         people = chosen.select("page_id", F.coalesce("choice", "a.entity").alias("entity")).where("entity is not null").distinct()
         genders = coref.gender_votes(people.select("entity").distinct(), "entity", "entity", self._given(self.supplied.genders, "name string, gender string")).where("gender is not null")
