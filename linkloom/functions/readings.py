@@ -23,15 +23,29 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
+# Signs that every reading leaves as they are: visible, in NFC with whatever stands beside them, no mark of a part or space.
+_PLAIN = r"[!-\"$-^`-~\u00a1-\u02ff\u2010-\u2027]+"
+#: Plain words with single spaces between them. Most names are, and need no further look.
+PLAIN = rf"^{_PLAIN}(?: {_PLAIN})*\z"
+
+
 def title_reading(c: Column) -> Column:
     """NFC; cut at the first '#'; underscores are spaces; one space for a run, trimmed; first character in upper case."""
-    s = F.trim(F.regexp_replace(F.regexp_replace(nfc(c), r"(?s)#.*$", ""), r"(?U)[\s_\x1c-\x1f]+", " "))
+    return F.when(c.rlike(PLAIN), _capital(c)).otherwise(_full_title_reading(c))
+
+
+def _capital(s: Column) -> Column:
     return F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1 << 30))
 
 
+def _full_title_reading(c: Column) -> Column:
+    s = F.trim(F.regexp_replace(F.regexp_replace(nfc(c), r"(?s)#.*$", ""), r"(?U)[\s_\x1c-\x1f]+", " "))
+    return _capital(s)
+
+
 def alias_reading(c: Column) -> Column:
     """NFC; one space for a run, trimmed; one final 's, ’s, ' or ’ cut off; trimmed again; null where nothing is left."""
-    s = F.trim(F.regexp_replace(squeeze(nfc(c)), "['’]s?$", ""))
+    s = F.trim(F.regexp_replace(F.when(c.rlike(PLAIN), c).otherwise(squeeze(nfc(c))), "['’]s?$", ""))
     return F.nullif(s, F.lit(""))
 
 
