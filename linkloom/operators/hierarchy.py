@@ -12,6 +12,7 @@ indexes its parents, walks them from the node to its local root, and the path of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,8 +29,8 @@ SHRINK = 0.75
 #: Path entries that a forest hands on at a time.
 PATH_ENTRIES = 1_000_000
 
-_LINK = "node string, up string, weight long, looped boolean, path array<string>"
-_FOREST = "node string, root string, depth long, looped boolean, loop string, path array<string>"
+_FOREST = "node string, root string, depth long, looped boolean"
+_WITH_PATHS = _FOREST + ", loop string, path array<string>"
 
 
 class Forest:
@@ -92,15 +93,32 @@ class Forest:
         if x in self.closes:
             self.closes[y] = self.closes.pop(x)
 
+    def _tops(self) -> dict[int, tuple[int, int]]:
+        """Per set without a loop its local root and the root's depth."""
+        return {rep: (n, depth) for n, p in enumerate(self.parent) if p < 0 for rep, depth in (self.find(n),)}
+
+    def roots(self) -> Iterator[pd.DataFrame]:
+        """(node, root, depth, looped) of every node with a link."""
+        names, find, top, closes = self.names, self.find, self._tops(), self.closes
+        nodes, roots, depths, loops = [], [], [], []
+        for n, p in enumerate(self.parent):
+            if p < 0:
+                continue
+            rep, depth = find(n)
+            looped = rep in closes
+            root, base = (p, depth - 1) if looped else top[rep]
+            nodes.append(names[n])
+            roots.append(names[root])
+            depths.append(depth - base)
+            loops.append(looped)
+        for i in range(0, len(nodes), PATH_ENTRIES):
+            part = slice(i, i + PATH_ENTRIES)
+            yield pd.DataFrame({"node": nodes[part], "root": roots[part], "depth": depths[part], "looped": loops[part]})
+
     def rows(self, with_paths: bool) -> Iterator[pd.DataFrame]:
         """(node, root, depth, looped, loop, path) of every node with a link; and one row with `loop`, the smallest name
         on it, for each node of the paths that make up a loop (with_paths only; self-made marks are no loop)."""
-        names, parent = self.names, self.parent
-        top: dict[int, tuple[int, int]] = {}
-        for n, p in enumerate(parent):
-            if p < 0:
-                rep, depth = self.find(n)
-                top[rep] = (n, depth)
+        names, parent, top = self.names, self.parent, self._tops()
         out, entries = [], 0
         for n, p in enumerate(parent):
             if p < 0:
@@ -139,53 +157,57 @@ def _forests(with_paths: bool, most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         forest = Forest()
         for b in batches:
-            for name, up, weight, path in zip(b["node"], b["up"], b["weight"].tolist(), b["path"]):
-                forest.add(name, up, weight, list(path) if with_paths else None)
+            paths = map(list, b["path"]) if with_paths else repeat(None)
+            for name, up, weight, path in zip(b["node"].tolist(), b["up"].tolist(), b["weight"].tolist(), paths):
+                forest.add(name, up, weight, path)
                 if forest.links == most:
-                    yield from forest.rows(with_paths)
+                    yield from forest.rows(True) if with_paths else forest.roots()
                     forest = Forest()
         if forest.links:
-            yield from forest.rows(with_paths)
+            yield from forest.rows(True) if with_paths else forest.roots()
 
     return run
 
 
 def _solve(links: DataFrame, with_paths: bool, most: int, forests: int, level: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(node, root, depth, looped, path) of every node of links (node, up, weight, looped, path), and the rows of loops.
+    """(node, root, depth, looped) of every node of links (node, up, weight, looped), and the rows of loops; with_paths
+    both have `path`.
 
     A looped node comes with itself as `up` and weight 0.
     """
-    made = materialize(links.mapInPandas(_forests(with_paths, most), _FOREST), "forest")
+    path = ["path"] if with_paths else []
+    made = materialize(links.select("node", "up", "weight", *path).mapInPandas(_forests(with_paths, most), _WITH_PATHS if with_paths else _FOREST), "forest")
     loops = [made.where("loop is not null").select("node", "loop")] if with_paths else []
-    held = made.where("loop is null").drop("loop")
+    held = made.where("loop is null").drop("loop") if with_paths else made
     roots = held.where("not looped").select(F.col("root").alias("node")).distinct()
     entered = materialize(held.join(roots, "node", "left_semi"), "entered")
     n = entered.count()
     if not n:
         return held, loops
-    up = entered.select("node", F.when(F.col("looped"), F.col("node")).otherwise(F.col("root")).alias("up"), F.when(F.col("looped"), 0).otherwise(F.col("depth")).alias("weight"), "looped", F.when(F.col("looped"), F.array("node")).otherwise(F.col("path")).alias("path"))
+    looped = F.col("looped")
+    own = [F.when(looped, F.array("node")).otherwise(F.col("path")).alias("path")] if with_paths else []
+    up = entered.select("node", F.when(looped, F.col("node")).otherwise(F.col("root")).alias("up"), F.when(looped, 0).otherwise(F.col("depth")).alias("weight"), "looped", *own)
     fewer = 1 if n <= most else max(-(-n // most), -(-forests // FAN_IN))
     gone = None
     if fewer > 1 and n > SHRINK * made.count():
-        up, gone = _thinned(up, level)
+        up, gone = _thinned(up, level, with_paths)
     up = up.coalesce(1) if fewer == 1 else up.repartition(fewer, F.pmod(F.xxhash64("node"), F.lit(fewer)))
     above, more = _solve(up, with_paths, most, fewer, level + 1)
     if gone is not None:
-        above = above.unionByName(_below(gone.select("node", F.col("up").alias("root"), F.col("weight").alias("depth"), "looped", "path"), materialize(above, "above"), with_paths))
+        above = above.unionByName(_below(gone.select("node", F.col("up").alias("root"), F.col("weight").alias("depth"), "looped", *path), materialize(above, "above"), with_paths))
     return _below(held, materialize(above, "above"), with_paths), loops + more
 
 
-def _thinned(links: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+def _thinned(links: DataFrame, level: int, with_paths: bool) -> tuple[DataFrame, DataFrame]:
     """links without some that others can do without, and these: a node with coin 1 whose parent has coin 0 is skipped, and
     its children point to its parent. A quarter of a long chain goes, wherever its links lie."""
     coin = lambda c: F.pmod(F.xxhash64(c, F.lit(level)), F.lit(2))
     skip = ~F.col("looped") & (coin("node") == 1) & (coin("up") == 0)
     gone = materialize(links.where(skip), "gone")
-    over = gone.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("weight").alias("__weight"), F.col("path").alias("__path"))
+    over = gone.select(F.col("node").alias("up"), F.col("up").alias("__up"), F.col("weight").alias("__weight"), *([F.col("path").alias("__path")] if with_paths else []))
     kept = lookup_join(links.where(~skip), over, ["up"])
-    hit = F.col("__up").isNotNull()
-    kept = kept.select("node", F.coalesce("__up", "up").alias("up"), (F.col("weight") + F.coalesce("__weight", F.lit(0))).alias("weight"), "looped", F.when(hit, F.concat("path", "__path")).otherwise(F.col("path")).alias("path"))
-    return kept, gone
+    path = [F.when(F.col("__up").isNotNull(), F.concat("path", "__path")).otherwise(F.col("path")).alias("path")] if with_paths else []
+    return kept.select("node", F.coalesce("__up", "up").alias("up"), (F.col("weight") + F.coalesce("__weight", F.lit(0))).alias("weight"), "looped", *path), gone
 
 
 def _below(held: DataFrame, above: DataFrame, with_paths: bool) -> DataFrame:
@@ -193,15 +215,15 @@ def _below(held: DataFrame, above: DataFrame, with_paths: bool) -> DataFrame:
     over = above.select(F.col("node").alias("root"), *[F.col(c).alias(f"up_{c}") for c in ("root", "depth", "looped", *(["path"] if with_paths else []))])
     found = lookup_join(held, over, ["root"])
     looped = F.col("looped") | F.coalesce("up_looped", F.lit(False))
-    path = F.concat("path", F.coalesce("up_path", F.array().cast("array<string>"))) if with_paths else F.col("path")
-    return found.select("node", F.coalesce("up_root", "root").alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), looped.alias("looped"), path.alias("path"))
+    path = [F.concat("path", F.coalesce("up_path", F.array().cast("array<string>"))).alias("path")] if with_paths else []
+    return found.select("node", F.coalesce("up_root", "root").alias("root"), (F.col("depth") + F.coalesce("up_depth", F.lit(0))).alias("depth"), looped.alias("looped"), *path)
 
 
 def _resolved(links: DataFrame, child: str, parent: str, with_paths: bool, forest_links: int) -> tuple[DataFrame, list[DataFrame]]:
     edges = links.select(F.col(child).alias("node"), F.col(parent).alias("up")).where("node is not null and up is not null")
     edges = edges.groupBy("node").agg(F.min("up").alias("up"))
-    path = F.array("node") if with_paths else F.array().cast("array<string>")
-    first = edges.select("node", "up", F.lit(1).cast("long").alias("weight"), F.lit(False).alias("looped"), path.alias("path"))
+    path = [F.array("node").alias("path")] if with_paths else []
+    first = edges.select("node", "up", F.lit(1).cast("long").alias("weight"), F.lit(False).alias("looped"), *path)
     return _solve(first, with_paths, forest_links, int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), 0)
 
 
@@ -214,7 +236,8 @@ def resolve_roots(links: DataFrame, child: str, parent: str, with_paths: bool =
     """
     rows, _ = _resolved(links, child, parent, with_paths, forest_links)
     sure = lambda c: F.when(~F.col("looped"), F.col(c)).alias(c)
-    return rows.select("node", sure("root"), sure("depth"), F.when(F.col("looped"), F.array().cast("array<string>")).otherwise(F.col("path")).alias("path"), "looped")
+    none = F.array().cast("array<string>")
+    return rows.select("node", sure("root"), sure("depth"), (F.when(F.col("looped"), none).otherwise(F.col("path")) if with_paths else none).alias("path"), "looped")
 
 
 def loop_members(links: DataFrame, looped: DataFrame, child: str, parent: str, forest_links: int = FOREST_LINKS) -> DataFrame:
