@@ -1,14 +1,16 @@
 """Markup residue: pages in wiki, HTML, Markdown and LaTeX syntax, alone or mixed, to clean text that keeps its structure.
 
 Each page is read once into a tree: elements are the tags that hold blocks, with their attributes; blocks have a kind
-(heading, list, code, formula, table, text) and a content. Clean text is written from the blocks in one plain notation.
+(heading, list, code, formula, table, text) and a content; marks are the pieces of markup that a block is or holds, named by
+their syntax. Clean text is written from the blocks in one plain notation. `found_kinds` merges the page trees of one site,
+tells on the merged tree of which kind of markup each element and mark is, and maps every page back onto it.
 `style_tree` merges the page trees of one site, element by element along their tag paths, into a site style tree: for
 every element the pages it is on, its presentations (the child sequences it has there) and its contents, each with their
 entropy over these pages, and from the leaves up the importance of the whole branch. `clean` drops the branches whose
 importance is low: page furniture, even if it differs a little from page to page.
 
-The importance cannot tell markup from plain text, and pages without tags have no branches; telling and removing the
-markup itself is done by the tree's construction.
+The importance cannot tell markup from plain text, and markup on page furniture is markup too: it decides what `clean` drops,
+not the kinds. Which characters are markup is decided where the page's tree is built.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +29,15 @@ from linkloom.session import distinct_over, lookup_join, materialize
 
 KINDS = ("heading", "list", "code", "formula", "table", "other")
 
+#: Kinds of the marks by their name; all other marks, and the elements, are 'other'.
+KIND_OF = {
+    **dict.fromkeys(("wiki:heading", "md:heading", "tex:heading", "html:heading"), "heading"),
+    **dict.fromkeys(("line:item", "tex:list", "tex:item", "html:item"), "list"),
+    **dict.fromkeys(("md:code", "tex:code", "html:code"), "code"),
+    **dict.fromkeys(("tex:formula", "html:formula"), "formula"),
+    **dict.fromkeys(("wiki:table", "md:table", "tex:table", "html:table"), "table"),
+}
+
 # Tag names that are markup.
 BLOCK_TAGS = "html body head header footer nav main section article aside div p center blockquote hr br ul ol dl dt dd li table tr td th thead tbody tfoot caption h1 h2 h3 h4 h5 h6 form figure figcaption title meta link script style noinclude includeonly onlyinclude gallery references".split()
 INLINE_TAGS = "a b i u s em strong small big sub sup span font tt code kbd samp var cite q abbr acronym img del ins strike nowiki ref label mark time bdi wbr poem noscript button input".split()
@@ -97,19 +109,44 @@ TEXT_BREAK = re.compile(r"\n\s*\n")
 
 @dataclass
 class Page:
-    kinds: set[str] = field(default_factory=set)
     held: list[tuple[str, str]] = field(default_factory=list)
+    marks: list[list[str]] = field(default_factory=list)  # of each piece held
+    loose: list[str] = field(default_factory=list)  # marks that have no place yet
+    placed: set[int] = field(default_factory=set)  # pieces held whose marks have one
 
-    def hold(self, kind: str, text: str) -> str:
+    def hold(self, kind: str, text: str, *marks: str) -> str:
         self.held.append((kind, text))
+        self.marks.append([*marks])
         return f"\x00{kind[0].upper()}{len(self.held) - 1}\x00"
 
-    def sub(self, pattern: re.Pattern, to, text: str, kind: str = "other") -> str:
+    def sub(self, pattern: re.Pattern, to, text: str, mark: str) -> str:
         out, n = pattern.subn(to, text)
         if n:
-            self.kinds.add(kind)
+            self.loose.append(mark)
+        return out
+
+    def inline(self, text: str) -> tuple[str, list[str]]:
+        """Text without the markup inside lines, and the marks of that."""
+        at = len(self.loose)
+        plain = _inline(self, text)
+        marks = self.loose[at:]
+        del self.loose[at:]
+        return plain, marks
+
+    def place(self, text: str) -> list[str]:
+        """Marks of the pieces held in the text, and of those held in them."""
+        out = []
+        for m in HOLD.finditer(text):
+            k = int(m[2])
+            if k not in self.placed:
+                self.placed.add(k)
+                out += self.marks[k] + self.place(self.held[k][1])
         return out
 
+    def rest(self) -> list[str]:
+        """Marks of what left nothing in the text: comments, templates, references, rules and what they held."""
+        return self.loose + [x for k, marks in enumerate(self.marks) if k not in self.placed for x in marks]
+
 
 def _template(body: str) -> str:
     """What a template leaves in the text."""
@@ -151,52 +188,52 @@ def _inline(page: Page, t: str) -> str:
     sub = page.sub
     if "[" in t:
         if "[[" in t:
-            t = sub(WIKI_FILE, "", t)
-            t = sub(WIKI_LINK, lambda m: m[2] if m[2] is not None else m[1], t)
+            t = sub(WIKI_FILE, "", t, "wiki:file")
+            t = sub(WIKI_LINK, lambda m: m[2] if m[2] is not None else m[1], t, "wiki:link")
         if "![" in t:
-            t = sub(MD_IMAGE, "", t)
+            t = sub(MD_IMAGE, "", t, "md:image")
         if "](" in t or "][" in t:
-            t = sub(MD_LINK, r"\1", t)
+            t = sub(MD_LINK, r"\1", t, "md:link")
         if "[^" in t:
-            t = sub(MD_NOTE, "", t)
+            t = sub(MD_NOTE, "", t, "md:note")
         if "//" in t or "mailto:" in t:
-            t = sub(WEB_LINK, lambda m: m[1] or "", t)
+            t = sub(WEB_LINK, lambda m: m[1] or "", t, "wiki:weblink")
     if "\\" in t:
-        t = sub(TEX_NOTE, "", t)
-        t = sub(TEX_DROP, "", t)
+        t = sub(TEX_NOTE, "", t, "tex:note")
+        t = sub(TEX_DROP, "", t, "tex:reference")
         while True:
             was = t
-            t = sub(TEX_WRAP, r"\1", t)
-            t = sub(TEX_SWITCH, r"\1", t)
+            t = sub(TEX_WRAP, r"\1", t, "tex:style")
+            t = sub(TEX_SWITCH, r"\1", t, "tex:switch")
             if t == was:
                 break
-        t = sub(TEX_BREAK, "\n", t)
-        t = sub(ESCAPE, r"\1", t)
+        t = sub(TEX_BREAK, "\n", t, "tex:break")
+        t = sub(ESCAPE, r"\1", t, "md:escape")
     if "`" in t:
-        t = sub(INLINE_CODE, r"\2", t)
+        t = sub(INLINE_CODE, r"\2", t, "md:inlinecode")
     if "~~" in t:
-        t = sub(STRIKE, r"\1", t)
+        t = sub(STRIKE, r"\1", t, "md:strike")
     if "''" in t:
         while True:
             was = t
-            t = sub(WIKI_QUOTES, r"\2", t)
+            t = sub(WIKI_QUOTES, r"\2", t, "wiki:emphasis")
             if t == was:
                 break
     if "*" in t:
-        t = sub(STRONG, r"\2", t)
+        t = sub(STRONG, r"\2", t, "md:emphasis")
         if "**" in t:
-            t = sub(STRONG_IN, r"\1", t)
+            t = sub(STRONG_IN, r"\1", t, "md:emphasis")
     if "_" in t:
-        t = sub(SWITCH, "", t)
-        t = sub(UNDER, r"\2", t)
+        t = sub(SWITCH, "", t, "wiki:switch")
+        t = sub(UNDER, r"\2", t, "md:emphasis")
     if "<" in t:
-        t = sub(BLOCK_TAG, "\n", t)
+        t = sub(BLOCK_TAG, "\n", t, "html:block")
         if "<" in t:
-            t = sub(TAG, "", t)
+            t = sub(TAG, "", t, "html:inline")
     if "&" in t and ENTITY.search(t):
         new = html.unescape(html.unescape(ENTITY.sub(lambda m: html.unescape(m[0]) if m[0].startswith("&amp") else m[0], t)))
         if new != t:
-            page.kinds.add("other")
+            page.loose.append("html:character")
             t = new.replace("\xa0", " ")
     return t
 
@@ -207,16 +244,15 @@ def _formula(page: Page, m: re.Match) -> str:
         return m[0]
     body = next(m[g] for g in ("m", "env", "dd", "br", "pa", "d") if m[g] is not None).strip()
     block = m["env"] is not None or m["dd"] is not None or m["br"] is not None or 'display="block"' in (m["ma"] or "")
-    page.kinds.add("formula")
-    return page.hold("formula", f"$$\n{body}\n$$" if block else f"${body}$")
+    return page.hold("formula", f"$$\n{body}\n$$" if block else f"${body}$", "tex:formula" if m["m"] is None else "html:formula")
 
 
 def _code(page: Page, m: re.Match) -> str:
     body = next(m[g] for g in ("fence", "tag", "env") if m[g] is not None)
     if m["tag"] is not None:
         body = html.unescape(re.sub(r"^\s*<code\b[^>]*>|</code\s*>\s*$", "", body, flags=re.I))
-    page.kinds.add("code")
-    return "\n\n" + page.hold("code", "```\n" + body.strip("\n") + "\n```") + "\n\n"
+    mark = "md:code" if m["fence"] is not None else "html:code" if m["tag"] is not None else "tex:code"
+    return "\n\n" + page.hold("code", "```\n" + body.strip("\n") + "\n```", mark) + "\n\n"
 
 
 def _list_line(page: Page, m: re.Match) -> str:
@@ -227,10 +263,9 @@ def _list_line(page: Page, m: re.Match) -> str:
         whole = m[0].lstrip()
         if STARRED.match(whole):
             return m[0]
-    page.kinds.add("list")
     ordered = m["n"] or (mark and mark[-1] == "#")
     depth = len(mark) - 1 if mark else 0
-    return "\n" + page.hold("list", "  " * depth + ("1. " if ordered else "- ")) + rest.strip() + "\n"
+    return "\n" + page.hold("list", "  " * depth + ("1. " if ordered else "- "), "line:item") + rest.strip() + "\n"
 
 
 def _structure(page: Page, text: str) -> str:
@@ -241,37 +276,38 @@ def _structure(page: Page, text: str) -> str:
     if "$" in t or "\\" in t or "<" in t:
         t = FORMULA.sub(lambda m: _formula(page, m), t)
     if "<!--" in t:
-        t = page.sub(COMMENT, "", t)
+        t = page.sub(COMMENT, "", t, "html:comment")
     if "{{" in t:
         while True:
             was = t
-            t = page.sub(TEMPLATE, lambda m: _template(m[1]), t)
+            t = page.sub(TEMPLATE, lambda m: _template(m[1]), t, "wiki:template")
             if t == was:
                 break
     if "<" in t and ENDS_REF in t.lower() or "/>" in t:
-        t = page.sub(REFERENCE, "", t)
+        t = page.sub(REFERENCE, "", t, "html:reference")
 
-    def table(rows: list[list[str]]) -> str:
-        page.kinds.add("table")
-        return "\n\n" + page.hold("table", _rows([[_inline(page, c) for c in r] for r in rows])) + "\n\n"
+    def table(rows: list[list[str]], mark: str) -> str:
+        cells = [[page.inline(c) for c in r] for r in rows]
+        inside = dict.fromkeys(x for r in cells for _, marks in r for x in marks)
+        return "\n\n" + page.hold("table", _rows([[c for c, _ in r] for r in cells]), mark, *inside) + "\n\n"
 
     if "{|" in t:
-        t = WIKI_TABLE.sub(lambda m: table(_wiki_rows(m[1])), t)
+        t = WIKI_TABLE.sub(lambda m: table(_wiki_rows(m[1]), "wiki:table"), t)
     if "<" in t:
-        t = HTML_TABLE.sub(lambda m: table([re.findall(r"<t[dh]\b[^>]*>(.*?)(?=</?t[dhr]\b|\Z)", r, re.S | re.I) for r in re.split(r"<tr\b[^>]*>", m[1], flags=re.I)]), t)
+        t = HTML_TABLE.sub(lambda m: table([re.findall(r"<t[dh]\b[^>]*>(.*?)(?=</?t[dhr]\b|\Z)", r, re.S | re.I) for r in re.split(r"<tr\b[^>]*>", m[1], flags=re.I)], "html:table"), t)
     if "|" in t:
-        t = PIPE_TABLE.sub(lambda m: table([re.split(r"(?<!\\)\|", r.strip().strip("|")) for i, r in enumerate(m[0].strip("\n").split("\n")) if i != 1]), t)
+        t = PIPE_TABLE.sub(lambda m: table([re.split(r"(?<!\\)\|", r.strip().strip("|")) for i, r in enumerate(m[0].strip("\n").split("\n")) if i != 1], "md:table"), t)
 
     def heading(level: int, body: str, style: str) -> str:  # from two signs on: a line with one is a list item
-        page.kinds.add("heading")
-        return "\n\n" + page.hold("heading", style + "\n" + "#" * max(2, level) + " " + " ".join(_inline(page, body).split())) + "\n\n"
+        plain, inside = page.inline(body)
+        return "\n\n" + page.hold("heading", style + "\n" + "#" * max(2, level) + " " + " ".join(plain.split()), style.partition(":")[0] + ":heading", *inside) + "\n\n"
 
     if "\\" in t:
-        t = TEX_TABLE.sub(lambda m: table([r.split("&") for r in re.split(r"\\\\|\\hline|\\toprule|\\midrule|\\bottomrule", m[2])]), t)
+        t = TEX_TABLE.sub(lambda m: table([r.split("&") for r in re.split(r"\\\\|\\hline|\\toprule|\\midrule|\\bottomrule", m[2])], "tex:table"), t)
         t = TEX_HEADING.sub(lambda m: heading(min(6, max(1, m[1].count("sub") + (2 if "section" in m[1] else 1))), m[2], "tex:" + m[1]), t)
-        t = page.sub(TEX_LIST, "\n\n", t, "list")
-        t = page.sub(TEX_ITEM, lambda m: "\n" + page.hold("list", "- ") + (f"{m[1]}: " if m[1] else ""), t, "list")
-        t = page.sub(TEX_FRAME, "", t)
+        t = page.sub(TEX_LIST, "\n\n", t, "tex:list")
+        t = TEX_ITEM.sub(lambda m: "\n" + page.hold("list", "- ", "tex:item") + (f"{m[1]}: " if m[1] else ""), t)
+        t = page.sub(TEX_FRAME, "", t, "tex:frame")
     if "<" in t:
         t = HTML_HEADING.sub(lambda m: heading(int(m[1][1]), m[3], f"html:{m[1].lower()}{m[2].lower()}"), t)
         ordered = [False]
@@ -281,10 +317,10 @@ def _structure(page: Page, text: str) -> str:
             if m["k"]:
                 ordered[0] = m["k"].lower() == "ol"
             if "<li" in tag:
-                return ("\n\n" if m["k"] else "\n") + page.hold("list", "1. " if ordered[0] else "- ")
+                return ("\n\n" if m["k"] else "\n") + page.hold("list", "1. " if ordered[0] else "- ", "html:item")
             return "\n\n" if "l>" in tag else "\n"
 
-        t = page.sub(HTML_ITEM, item, t, "list")
+        t = page.sub(HTML_ITEM, item, t, "html:item")
     if "=" in t:
         t = WIKI_HEADING.sub(lambda m: heading(len(m[1]), m[2], f"wiki:h{len(m[1])}"), t)
     if "##" in t:
@@ -292,21 +328,26 @@ def _structure(page: Page, text: str) -> str:
     if "===" in t or "---" in t:
         t = SETEXT.sub(lambda m: heading(1 if m[2][0] == "=" else 2, m[1], "md:h" + m[2][0]), t)
     if "----" in t or "*" in t or "_" in t:
-        t = page.sub(RULE, "\n", t)
+        t = page.sub(RULE, "\n", t, "wiki:rule")
     t = LIST_LINE.sub(lambda m: _list_line(page, m), t)
-    return INDENT_MARK.sub("", t) if page.held or page.kinds else t
+    return INDENT_MARK.sub("", t) if page.held or page.loose else t
 
 
 Node = tuple[int, str, str, str, str]  # element above (-1: the page), tag path, kind, content, child sequence
 
 
 def nodes(text: str) -> tuple[list[Node], set[str]]:
-    """The page's tree, elements (kind 'tag') before what they hold, and the kinds of markup in it."""
+    """The page's tree, elements (kind 'tag') before what they hold, marks (kind 'mark', their name the last step of their path)
+    behind all others, and the kinds of markup of its elements and marks."""
     if not SOME_MARKUP.search(text):
         return [(-1, "", "text", text, "")], set()
     page = Page()
     found = _tree(page, _structure(page, text))
-    return found, page.kinds
+    return found, {KIND_OF.get(step(path), "other") for _, path, kind, _, _ in found if kind in ("tag", "mark")}
+
+
+def step(path: str) -> str:
+    return path[path.rindex("/") + 1 :]
 
 
 def running_text(text: str) -> str | None:
@@ -320,7 +361,7 @@ def running_text(text: str) -> str | None:
         kind, body = page.held[int(m[2])]
         return body.partition("\n")[2] if kind == "heading" else "" if kind == "list" else body
 
-    return HOLD.sub(put, t) if page.kinds else None
+    return HOLD.sub(put, t) if page.held or page.loose else None
 
 
 #: Tags that hold blocks, and so are the elements of a page's tree.
@@ -333,23 +374,36 @@ def _tree(page: Page, t: str) -> list[Node]:
     out: list[Node] = []
     stack = [(-1, "", "")]  # index, tag path, tag of the open elements
     children: dict[int, list[str]] = {}
+    marks: dict[Node, None] = {}
+    paths: dict[tuple[str, str], str] = {}  # one string each, as a path may be long and hold many blocks
+
+    def mark(at: int, path: str, names: list[str]) -> None:
+        for x in names:
+            if (path, x) not in paths:
+                paths[path, x] = f"{path}/{x}"
+            marks[at, paths[path, x], "mark", "", ""] = None
 
     def held(part: str) -> None:
         at, path, _ = stack[-1]
-        for kind, body in _blocks(page, part):
+        for kind, body, names in _blocks(page, part):
+            if kind is None:
+                mark(at, path, names)
+                continue
             out.append((at, path, kind, body, ""))
             _next(children.setdefault(at, []), kind)
+            mark(len(out) - 1, path, names)
 
     pos = 0
     for m in ELEMENT.finditer(t) if "<" in t else ():
         held(t[pos : m.start()])
         pos = m.end()
-        page.kinds.add("other")
         tag = m[2].lower()
         if m[1]:
             if any(x[2] == tag for x in stack[1:]):
                 while stack.pop()[2] != tag:
                     pass
+            else:
+                mark(*stack[-1][:2], ["html:block"])
             continue
         if stack[-1][2] == "p":  # a paragraph ends where another block begins
             stack.pop()
@@ -359,8 +413,11 @@ def _tree(page: Page, t: str) -> list[Node]:
             out.append((at, f"{path}/{style}", "tag", "", ""))
             _next(children.setdefault(at, []), style)
             stack.append((len(out) - 1, f"{path}/{style}", tag))
+        elif m[3].endswith("/"):
+            mark(*stack[-1][:2], ["html:block"])
     held(t[pos:])
-    return [(a, path, kind, body, ",".join(children.get(k, ())) if kind == "tag" else "") for k, (a, path, kind, body, _) in enumerate(out)]
+    mark(-1, "", page.rest())
+    return [(a, path, kind, body, ",".join(children.get(k, ())) if kind == "tag" else "") for k, (a, path, kind, body, _) in enumerate(out)] + [*marks]
 
 
 def _next(sequence: list[str], child: str) -> None:
@@ -369,19 +426,20 @@ def _next(sequence: list[str], child: str) -> None:
         sequence.append(child)
 
 
-def _blocks(page: Page, t: str) -> list[tuple[str, str]]:
-    """(kind, content) of the blocks of a piece of text without elements."""
-    out: list[tuple[str, str]] = []
+def _blocks(page: Page, t: str) -> list[tuple[str | None, str, list[str]]]:
+    """(kind, content, marks) of the blocks of a piece of text without elements; kind is None where markup left no block."""
+    out: list[tuple[str | None, str, list[str]]] = []
     for part in TEXT_BREAK.split(t):
         if not part.strip():
             continue
-        plain = _inline(page, part)
+        plain, marks = page.inline(part)
         plain = "\n".join(x for x in (re.sub(r"[ \t]+", " ", x).strip() if x.strip() != "" else "" for x in plain.split("\n")) if x)
+        marks += page.place(plain)
         kind = "text"
         hold = HOLD.fullmatch(plain)
         if hold:
             kind, body = page.held[int(hold[2])]
-            out.append((kind, body.partition("\n")[2] if kind == "heading" else body))
+            out.append((kind, body.partition("\n")[2] if kind == "heading" else body, marks))
             continue
 
         def put(m: re.Match) -> str:
@@ -392,8 +450,8 @@ def _blocks(page: Page, t: str) -> list[tuple[str, str]]:
             if HOLD.match(plain) and HOLD.match(plain)[1] == "L":
                 kind = "list"
             plain = HOLD.sub(put, plain)
-        if plain:
-            out.append((kind, plain))
+        if plain or marks:
+            out.append((kind if plain else None, plain, marks))
     return out
 
 
@@ -402,7 +460,7 @@ def clean_text(text: str) -> tuple[str, set[str]]:
     found, kinds = nodes(text)
     if not kinds:
         return text, kinds
-    return "\n\n".join(body for _, _, kind, body, _ in found if kind != "tag"), kinds
+    return "\n\n".join(body for _, _, kind, body, _ in found if kind not in ("tag", "mark")), kinds
 
 
 def markup_kinds(texts: Column) -> Column:
@@ -420,19 +478,49 @@ _NODES = "array<struct<above:int,style:string,kind:string,content:string,childre
 
 
 def page_nodes(df: DataFrame, id_col: str, text: str, site: Column) -> DataFrame:
-    """(id, site, kinds, nodes): one row per distinct id and text, nodes in page order."""
+    """(id, site, kinds, nodes): one row per distinct id and text, elements and blocks in page order, without marks."""
     names = ("above", "style", "kind", "content", "children")
 
     @F.pandas_udf(f"kinds array<string>, nodes {_NODES}")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [nodes(t) if isinstance(t, str) else ([], set()) for t in batch]
-            yield pd.DataFrame({"kinds": [sorted(k) for _, k in made], "nodes": [[dict(zip(names, x)) for x in n] for n, _ in made]})
+            yield pd.DataFrame({"kinds": [sorted(k) for _, k in made], "nodes": [[dict(zip(names, x)) for x in n if x[2] != "mark"] for n, _ in made]})
 
     rows = df.select(F.col(id_col).alias("__id"), F.col(text).alias("__text"), site.alias("site"))
     return distinct_over(rows).select(F.col("__id").alias(id_col), "site", F.col("__text").isNull().alias("no_text"), run.asNondeterministic()("__text").alias("p")).select(id_col, "site", "no_text", "p.kinds", "p.nodes")
 
 
+def page_elements(df: DataFrame, id_col: str, text: str, site: Column) -> DataFrame:
+    """(id, site, elements): the elements and marks of each page's tree, once each, as a hash of their path and its last step,
+    attributes left out."""
+
+    @F.pandas_udf("array<struct<style:long,step:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(lambda t: [{"style": int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "big", signed=True), "step": step(x).partition(".")[0]} for x in sorted({path for _, path, kind, _, _ in nodes(t)[0] if kind in ("tag", "mark")})] if isinstance(t, str) else [])
+
+    return df.select(F.col(id_col), F.coalesce(site, F.lit("")).alias("site"), run.asNondeterministic()(text).alias("elements"))
+
+
+def merged(each: DataFrame, id_col: str, *element: str) -> DataFrame:
+    """(site, element, style_pages): what the pages' trees have at the same place is one element of their site's tree."""
+    return each.select(id_col, "site", *element).distinct().groupBy("site", *element).agg(F.count(F.lit(1)).alias("style_pages"))
+
+
+def found_kinds(df: DataFrame, id_col: str, text: str = "text", site: Column | None = None) -> DataFrame:
+    """(id, markup_kind): the kinds of markup of each page.
+
+    The page trees of a site are merged, the elements and marks of the merged tree get their kind, and each page is mapped
+    onto the tree: its kinds are those of the elements it has there. Those of low importance count as well, as what
+    all pages of a site share is on each of them.
+    """
+    each = materialize(page_elements(df, id_col, text, F.lit("") if site is None else site), "pages").select(id_col, "site", F.explode("elements").alias("e")).select(id_col, "site", "e.*")
+    kind = F.create_map(*[F.lit(x) for pair in KIND_OF.items() for x in pair])[F.col("step")]
+    tree = merged(each, id_col, "style", "step").select("site", "style", "step", F.coalesce(kind, F.lit("other")).alias("markup_kind"))
+    return lookup_join(each, tree, ["site", "style", "step"], "inner").select(id_col, "markup_kind").distinct()
+
+
 #: How much less a branch's own presentation counts with each presentation it has.
 DAMPING = 0.9
 
@@ -452,7 +540,7 @@ def style_tree(pages: DataFrame, id_col: str) -> DataFrame:
     """
     each = materialize(pages.select(id_col, "site", F.explode("nodes").alias("n")).where("n.style <> ''").select(id_col, "site", "n.style", "n.kind", F.xxhash64("n.content").alias("content"), "n.children").distinct(), "elements")
     tags = each.where("kind = 'tag'")
-    total = materialize(tags.select(id_col, "site", "style").distinct().groupBy("site", "style").agg(F.count(F.lit(1)).alias("style_pages")), "totals")
+    total = materialize(merged(tags, id_col, "style"), "totals")
     looks = tags.groupBy("site", "style", "children").agg(F.countDistinct(id_col).alias("pages"))
     looks = looks.groupBy("site", "style").agg(F.count(F.lit(1)).alias("styles"), (F.log(F.sum("pages")) - F.sum(F.col("pages") * F.log("pages")) / F.sum("pages")).alias("nats"))
     held = each.where("kind <> 'tag'").groupBy("site", "style", "content").agg(F.countDistinct(id_col).alias("pages"))

@@ -21,9 +21,9 @@ def p1_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Kinds of markup of each document: (doc_id, markup_kind)."""
-    docs = spread(read_table(spark, d, "documents").select("doc_id", "text").where("text <> ''"))
-    return docs.select("doc_id", F.explode(markup.markup_kinds(F.col("text"))).alias("markup_kind")).distinct()
+    """Kinds of markup of each document, by its source's style tree: (doc_id, markup_kind)."""
+    docs = spread(read_table(spark, d, "documents").select("doc_id", "text", "source").where("text <> ''"))
+    return markup.found_kinds(docs, "doc_id", site=_site())
 
 
 def _site() -> F.Column:
