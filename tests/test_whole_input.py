@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from linkloom.plans import reference_queries as q
+from linkloom.session import scratch_root
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
@@ -108,3 +109,15 @@ def test_cascade_reads_lines_and_page_ids(spark, files):
     assert got[7, 0, 0] == ("###".join(people), "alias_match_multiple_candidates")
     assert got[8, 0, 0] == ("Berlin", "alias_match_match_candidate")
     assert got[4, 0, 0] == ("Berlin", "alias_match_popular_entity")  # its link stands in a later line
+
+
+def test_pages_get_only_names_they_may_hold(spark, files):
+    names = [f"Q{i:04d} Quarter of the town" for i in range(2000)]
+    texts = [f"[[Town|the town|annotation]] and {names[i]}, ½ {names[-1]} [[Other]]\nQ0007 Quarter of the town." for i in range(300)]
+    d = files([(i, i, "T", t, ["Town"]) for i, t in enumerate(texts)], [("Town", 1), ("T", 2)], [(a, "Town", 3) for a in names] + [("+ and", "Town", 2)])
+    root = scratch_root(spark).removeprefix("file://")
+    used = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(root) for f in fs)
+    before = used()
+    got = {(r["file_id"], r["line_no"], r["alias"]) for r in q.line_mentions(spark, d).where("tag = 'alias_match'").collect()}
+    assert got == {(i, *x) for i in range(300) for x in ((0, names[i]), (0, names[-1]), (1, names[7]))}
+    assert used() - before < 1 << 20  # every page with all names: 15 MB
