@@ -13,10 +13,12 @@ from linkloom.functions import markup as m
 from linkloom.langpack import MONTHS, WEEKDAYS
 from linkloom.operators.dictionary import page_links
 from linkloom.operators.mentions import alias_places, first_word
+from linkloom.operators.orphans import bloom_shards, might_contain
 from linkloom.session import lookup_join, materialize, spread
 
-#: Words by which names are brought to the pages they may stand on; of a longer name the first so many.
-KEY_WORDS = 2
+#: Words by which names are brought to the pages they may stand on; of a longer name the first so many. With fewer, all
+#: names of a family ("Treaty of ..") would go to each page that holds one of them.
+KEY_WORDS = 8
 
 _LINK = re.compile(r"\[\[([^\[\]]*)\]\]")
 Found = tuple[int, int, str, str, str]  # start, end, entity, alias, round
@@ -25,12 +27,15 @@ Found = tuple[int, int, str, str, str]  # start, end, entity, alias, round
 def linkable(links: DataFrame, counts: DataFrame, excluded: DataFrame) -> DataFrame:
     """Links (.., entity, alias) that name something that may be looked for elsewhere: no month, weekday or number, no
     lower-case name, an entity that is known (counts: entity) and not excluded (entity)."""
-    a, e = F.col("alias"), F.col("entity")
-    fit = (a != "") & ~a.isin(*MONTHS, *WEEKDAYS) & ~m.is_number(a) & ~a.rlike(r"^[\p{Ll}\p{N}]") & ~e.rlike(r"^\p{Ll}")
-    named = links.where(fit).join(counts.select("entity").distinct(), "entity", "left_semi")
+    named = links.where(_nameable()).join(counts.select("entity").distinct(), "entity", "left_semi")
     return named.join(excluded.select("entity").where("entity is not null").distinct(), "entity", "left_anti").select(links.columns)
 
 
+def _nameable() -> Column:
+    a, e = F.col("alias"), F.col("entity")
+    return (a != "") & ~a.isin(*MONTHS, *WEEKDAYS) & ~m.is_number(a) & ~a.rlike(r"^[\p{Ll}\p{N}]") & ~e.rlike(r"^\p{Ll}")
+
+
 def anchors(text: str, masked: bool = False) -> tuple[str, list[Found]]:
     """The text without link signs, or with links as '#', and the links as spans of it."""
     out, at, size, found = [], 0, 0, []
@@ -110,32 +115,51 @@ def three_rounds(text: str, first: list[tuple[str, str]], second: list[tuple[str
     return plain, sorted(done)
 
 
-def annotate(pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "page_id", title: str = "title", text: str = "text", excluded: DataFrame | None = None) -> DataFrame:
+def annotate(
+    pages: DataFrame, counts: DataFrame, near: DataFrame, page: str = "page_id", title: str = "title", text: str = "text", excluded: DataFrame | None = None,
+    ids: DataFrame | None = None, source: str | None = None,
+) -> DataFrame:
     """(page, text, mentions) of the three rounds. counts (alias, entity, n); near (page, entity): two links away; the links
     of a page name what is looked for in the first round, but for excluded entities (entity).
 
+    With ids (entity, id), near is (source, id), each pair once, where source is a column of pages: pairs stay numbers, and
+    are only compared with the names that stand on a page.
+
     Names are first joined to the word sequences of the pages, so a page receives only names whose first words stand on it,
-    however many names its entities have; it is then read on its own.
+    however many names its entities have; it is then read on its own. Until then names are numbers.
     """
-    own = materialize(pages.select(page, m.drop_own_links(F.col(text), F.col(title)).alias("__plain")), "plain")
-    linked = page_links(own, page, "__plain").select(page, "entity", F.substring_index("alias", "|", 1).alias("alias"))
-    linked = linkable(linked, counts, pages.sparkSession.createDataFrame([], "entity string") if excluded is None else excluded).select(page, "entity").distinct()
-    near = near.select(page, "entity").distinct()
+    if ids is None:
+        near = near.select(F.col(page).alias("__source"), F.col("entity").alias("__id")).where("__id is not null").distinct()
+        ids, source = near.select(F.col("__id").alias("entity"), "__id").distinct(), page
+    else:
+        near, ids = near.select(F.col(source).alias("__source"), F.col("id").alias("__id")), ids.select("entity", F.col("id").alias("__id"))
+    own = materialize(pages.select(page, F.col(source).alias("__source"), m.drop_own_links(F.col(text), F.col(title)).alias("__plain")), "plain")
+    linked = page_links(own, page, "__plain").select(page, "entity", F.substring_index("alias", "|", 1).alias("alias")).where(_nameable())
+    if excluded is not None:
+        linked = linked.join(excluded.select("entity").where("entity is not null").distinct(), "entity", "left_anti")
+    # that its entity is known goes without saying where one of its names is found
+    linked = linked.select(page, F.xxhash64("entity").alias("hash"), F.col("entity").alias("linked")).distinct()
     names = counts.select("entity", "alias").where((F.char_length("alias") > 1) & m.starts_upper(F.col("alias"))).withColumn("kind", F.lit("name"))
-    titles = near.select("entity", F.col("entity").alias("alias"), F.lit("title").alias("kind"))
-    keyed = materialize(names.unionByName(titles).distinct().withColumn("words", _words(F.col("alias"))).where("words is not null and size(words) > 0"), "names")
-    lengths = sorted(r["n"] for r in keyed.select(F.least(F.size("words"), F.lit(KEY_WORDS)).alias("n")).distinct().collect())  # KEY_WORDS at most
-    keyed = keyed.select("entity", "alias", "kind", _sequence(F.slice("words", 1, KEY_WORDS)).alias("key"))
-    words = own.select(page, _words(_bare(F.col("__plain"))).alias("words"))
+    titles = ids.select("entity", F.col("entity").alias("alias"), F.lit("title").alias("kind"))
+    keyed = names.unionByName(titles).where("entity is not null").withColumn("words", _words(F.col("alias"))).where("words is not null and size(words) > 0")
+    keyed = keyed.select("entity", F.struct("alias", "kind").alias("name"), F.least(F.size("words"), F.lit(KEY_WORDS)).alias("n"), _sequence(F.slice("words", 1, KEY_WORDS)).alias("key"))
+    keyed = lookup_join(keyed.groupBy("entity", "n", "key").agg(F.collect_set("name").alias("names")), ids, ["entity"])
+    keyed = materialize(keyed.select("entity", "n", "key", "names", "__id", F.xxhash64("entity").alias("hash"), F.monotonically_increasing_id().alias("no")), "names")
+    lengths = sorted(r["n"] for r in keyed.select("n").distinct().collect())  # KEY_WORDS at most
+    filters = materialize(bloom_shards(keyed, F.col("key"), keyed.count()), "filters")
+    words = own.select(page, "__source", _words(_bare(F.col("__plain"))).alias("words"))
     spans = [_runs(F.col("words"), n) for n in lengths] or [F.array().cast("array<bigint>")]
-    stands = words.select(page, F.explode(F.array_distinct(F.concat(*spans))).alias("key"))
-    hits = lookup_join(stands, keyed, ["key"], "inner", written=True).drop("key")
-    hits = hits.join(linked.withColumn("linked", F.lit(True)), [page, "entity"], "left").join(near.withColumn("near", F.lit(True)), [page, "entity"], "left")
+    stands = words.select(page, "__source", F.explode(F.array_distinct(F.concat(*spans))).alias("key")).where(might_contain(filters, F.col("key")))
+    hits = lookup_join(stands, keyed.select("key", "no", "hash", "__id"), ["key"], "inner", written=True).drop("key")
+    hits = hits.join(linked, [page, "hash"], "left").drop("hash").join(near.withColumn("near", F.lit(True)), ["__source", "__id"], "left")
+    hits = hits.where("near or linked is not null").select(page, "no", "linked", "near")
+    hits = lookup_join(hits, keyed.select("no", "entity", "names"), ["no"], "inner", written=True).withColumn("linked", F.col("linked") == F.col("entity"))
+    found = hits.where("linked or near").select(page, "entity", "linked", "near", F.explode("names").alias("name")).select(page, "entity", "linked", "near", "name.*")
     pair = F.struct("alias", "entity")
     of = lambda when, name: F.array_sort(F.collect_set(F.when(when, pair))).alias(name)
     named = F.col("kind") == "name"
-    sides = hits.where("linked or near").groupBy(page).agg(of(named & F.col("linked"), "first"), of(~named & F.col("near"), "second"), of(named & F.col("near"), "third"))
-    rows = lookup_join(spread(own), sides, [page])
+    sides = found.groupBy(page).agg(of(named & F.col("linked"), "first"), of(~named & F.col("near"), "second"), of(named & F.col("near"), "third"))
+    rows = spread(own.select(page, "__plain")).join(sides, [page], "left")  # sides lie by page already
 
     @F.pandas_udf("text string, mentions array<struct<start:int,end:int,entity:string,alias:string,tag:string>>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

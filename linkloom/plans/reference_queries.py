@@ -862,11 +862,9 @@ def correct_context_count(spark, d):
 def baseline_rounds(spark, d):
     """Every file is annotated on its own; its page only tells the entities two links away, none without a page_id."""
     files = read_table(spark, d, "final_articles").select("file_id", "page_id", "title", "text")
-    names = _ids(spark, d)
-    hops = dictionary.two_hops(_edges(spark, d))
-    near = hops.join(names.select(F.col("page_id").alias("dst_id"), F.col("title").alias("entity")), "dst_id").select(F.col("src_id").alias("page_id"), "entity")
-    near = materialize(files.select("file_id", "page_id").join(near, "page_id").select("file_id", "entity"), "near")  # read twice
-    out = baseline.annotate(files.drop("page_id"), materialize(_pruned(spark, d), "pruned"), near, "file_id")
+    hops = dictionary.two_hops(_edges(spark, d)).select(F.col("src_id").alias("page_id"), F.col("dst_id").alias("id"))
+    names = _ids(spark, d).select(F.col("title").alias("entity"), F.col("page_id").alias("id"))
+    out = baseline.annotate(files, _pruned(spark, d), hops, "file_id", ids=names, source="page_id")
     return out.select("file_id", F.explode("mentions").alias("x")).select("file_id", "x.*")
 
 

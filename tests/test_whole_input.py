@@ -121,3 +121,15 @@ def test_pages_get_only_names_they_may_hold(spark, files):
     got = {(r["file_id"], r["line_no"], r["alias"]) for r in q.line_mentions(spark, d).where("tag = 'alias_match'").collect()}
     assert got == {(i, *x) for i in range(300) for x in ((0, names[i]), (0, names[-1]), (1, names[7]))}
     assert used() - before < 1 << 20  # every page with all names: 15 MB
+
+
+def test_a_page_is_not_annotated_through_a_whole_family(spark, files):
+    titles = [f"Treaty of Town{i:04d}" for i in range(2000)]
+    texts = [(i, i, f"P{i}", f"[[Hub|Hub|annotation]] signed the {titles[i]}.", ["Hub"]) for i in range(300)]
+    d = files([*texts, (900, 900, "Hub", "x", titles)], [("Hub", 900), *((t, 1000 + i) for i, t in enumerate(titles)), *((f"P{i}", i) for i in range(300))])
+    root = scratch_root(spark).removeprefix("file://")
+    used = lambda: sum(os.path.getsize(os.path.join(at, f)) for at, _, fs in os.walk(root) for f in fs)
+    before = used()
+    got = {(r["file_id"], r["entity"], r["tag"]) for r in q.baseline_rounds(spark, d).collect()}
+    assert got == {(i, *x) for i in range(300) for x in (("Hub", "ANCHOR"), (titles[i], "SECOND"))}
+    assert used() - before < 1 << 20  # every page with the titles of all treaties: several MB
